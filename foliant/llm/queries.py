@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.sources.tables import table
 
-from . import encoding, one_form, pieces, sentences, survivor
+from . import encoding, leakage, one_form, pieces, sentences, spam, survivor
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,8 +68,30 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     return encoding.decode(encoding.encode(table(spark, d, "documents")), encoding.pieces(spark))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item."""
+    got = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return got.where(F.col("slots_equal") >= leakage.SLOTS).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items that leaked: documents, longest share, re-parameterised copies."""
+    got = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return got.groupBy("item_id").agg(
+        F.count("*").alias("documents"),
+        F.round(F.max("share"), 3).alias("longest_share"),
+        F.count_if(F.col("slots_equal") < leakage.SLOTS).alias("reparameterised"),
+    )
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword, link and tag pages."""
+    return spam.spam_pages(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_one_form, p3_found, p3_records, p6_found, p6_pieces, p7_ids, p7_decoded)
+    f.__name__: f
+    for f in (p1_found, p2_found, p2_one_form, p3_found, p3_records, p6_found, p6_pieces, p7_ids, p7_decoded, p8_found, p8_items, p9_found)
 }
 
 _VALUE = "({0} IS NOT NULL AND lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13) || '　')) NOT IN ({1}))"
