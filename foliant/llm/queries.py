@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.sources.tables import table
 
-from . import encoding, leakage, one_form, pieces, sentences, spam, survivor
+from . import encoding, leakage, one_form, pieces, sentences, spam, survivor, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,22 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return survivor.surviving_records(rows, survivor.metadata_survivors(rows, table(spark, d, "source_trust")), survivor.METADATA_FIELDS)
 
 
+def _p4_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    previews = truncation.field_values(table(spark, d, "citation_records"), 0, "retrieval_source", "chunk_text_preview")
+    summaries = truncation.field_values(table(spark, d, "research_result_items"), 1, "metadata_source", "case_summary")
+    return truncation.cut_values({"citation_records": previews, "research_result_items": summaries})
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values that were cut off."""
+    return _p4_verdicts(spark, d).where("cut").select("table_name", "ord")
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Share of cut values per source."""
+    return truncation.cut_shares(_p4_verdicts(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that had to be cut: those with a second piece."""
     return pieces.oversized_pieces(table(spark, d, "case_chunks")).where("piece_no = 1").select("ord")
@@ -91,7 +107,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_one_form, p3_found, p3_records, p6_found, p6_pieces, p7_ids, p7_decoded, p8_found, p8_items, p9_found)
+    for f in (p1_found, p2_found, p2_one_form, p3_found, p3_records, p4_found, p4_shares, p6_found, p6_pieces, p7_ids, p7_decoded, p8_found, p8_items, p9_found)
 }
 
 _VALUE = "({0} IS NOT NULL AND lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13) || '　')) NOT IN ({1}))"

@@ -124,7 +124,8 @@ class _Text:
             return True
         c = t[k]
         if k == j:
-            return _cjk(c) and c not in "，、；：" and not "　" <= c <= "〿" or c in "「『《"
+            near = j > 1 and (_cjk(t[j - 2]) or t[j - 1] in "」』")
+            return _cjk(c) and not "　" <= c <= "〿" or c in "「『《" or (near and (c.isdigit() or c.isupper()))
         if t.count("\n", j, k) > 1:
             return True
         if c.islower() or c in ",;:)]»”」』，、；：—–-":
@@ -143,6 +144,8 @@ class _Text:
             return _cjk(nxt) and not t.startswith(CJK_CONTINUE, j) and not "　" <= nxt <= "〿"
         if any(c in _STERM_SET for c in core):
             if core[-1] in "!?" and not nxt.isspace():
+                if i and _cjk(t[i - 1]) and (nxt.isdigit() or nxt.isupper()):
+                    return True
                 return (_cjk(nxt) and not "　" <= nxt <= "〿") or nxt in "「『《" or nxt in _OPEN.replace("\\", "")
             if not nxt.isspace():
                 return nxt not in "，、；：,;:)」』）"
@@ -151,13 +154,17 @@ class _Text:
         prev = t[i - 1] if i > self.start else ""
         head = t[self.start : i] if i - self.start <= 6 else ""
         if not nxt.isspace():
-            if not (_cjk(nxt) or nxt in "「『《") or "　" <= nxt <= "〿" and nxt not in "「『《":
-                return bool(
-                    prev and (_cjk(prev) or prev in ")」』》") and nxt.isdigit() and (_CJK_LIST_AHEAD.match(t, j) or _cjk(prev))
-                )
+            if nxt.isdigit() or nxt.isupper():
+                # no blank behind a Chinese sentence
+                return bool(prev) and (_cjk(prev) or prev in ")」』》" and any(map(_cjk, t[max(self.start, i - 8) : i])))
+            if not _cjk(nxt) and nxt not in "「『《" or "　" <= nxt <= "〿" and nxt not in "「『《":
+                return False
             if head and _LIST_NO.match(head):
                 return False
-            return bool(prev) and (_cjk(prev) or prev.isdigit() or prev in ")]」』》%\"”»")
+            if prev.isalpha() and not _cjk(prev) and prev not in "ºª":
+                m = _WORD_BACK.search(t, max(self.start, i - 24), i)
+                return bool(m) and len(m.group()) > 1 and m.group().lower() not in NEVER_FINAL
+            return bool(prev) and (_cjk(prev) or prev.isdigit() or prev in "ºª)]」』》%\"”»")
         k = j
         while k < n and t[k].isspace():
             k += 1
@@ -197,6 +204,8 @@ class _Text:
 
     def letter_ends(self, at: int) -> bool:
         """A single capital before the stop: the letter of a party may end a sentence, an initial may not."""
+        if at > self.start and self.t[at - 1] in "/-–" + "0123456789":
+            return True
         b = self.t[max(self.start, at - 24) : at].rstrip()
         if not b or b[-1] == ".":
             return False
