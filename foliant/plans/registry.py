@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import corpus, retrieval
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-CORE_QUERIES: dict[str, Query] = {}
-CORE_ORACLE_SQL: dict[str, str] = {}
+CORE_QUERIES: dict[str, Query] = retrieval.QUERIES | corpus.QUERIES
+CORE_ORACLE_SQL: dict[str, str] = retrieval.ORACLE_SQL | corpus.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Case numbers by count."""
-    return spark.read.parquet(f"{data_dir}/case_chunks.parquet").groupBy("authoritative_case_number").count()
+    """Weighted ranking of the chunks for the stated evaluation items."""
+    return retrieval.bm25_top(spark, data_dir)
