@@ -277,7 +277,7 @@ def split_spans(text: str | None) -> list[tuple[int, int]]:
         if i < pos:
             continue
         c = view[i]
-        if c == "." and i + 1 < n and ((d := view[i + 1]) in _NO_END_BEFORE or d.isdigit() and view[i - 1].isdigit()):
+        if c == "." and i + 1 < n and ((d := view[i + 1]) in _NO_END_BEFORE and not (i and _cjk(view[i - 1])) or d.isdigit() and view[i - 1].isdigit()):
             pos = i + 1
             continue
         if span := _SPAN.get(c):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.sources.tables import cut_lineage
+from foliant.sources.tables import cut_lineage, written
 
 from .charforms import KEEP_LENGTH
 from .sentences import _HEADING, MAYBE_FINAL, NEVER_FINAL, split_spans
@@ -52,64 +52,68 @@ LIMIT_SHARE, LIMIT_CASES = 0.01, 5
 _MARK = re.compile(r"(?:\s*(?:\.{2,}|…|‥|\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)))+\s*$")
 _STRONG = re.compile(r"[。｡！？!?](?:[\"”»」』’')）\]》]|\s)*$")
 _DOT = re.compile(r"[.．](?:[\"”»」』’')）\]》]|\s)*$")
-_OPEN_END = re.compile(r"[,;:，；：､、(（\[«“「『《/&–—-]$")
+_OPEN_END = frozenset(",;:，；：､、(（[«“「『《/&–—-")
+_DOTTED_WORD = re.compile(r"([^\W\d_]+)[.．]$")
 _LAST_WORD = re.compile(r"[^\W\d_一-鿿]+$")
 _PAIRS = {"「": "」", "『": "』", "«": "»", "“": "”", "(": ")", "《": "》"}
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _stream(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Signs of a text with a start sign before each unit, and for each sign: event, stop behind, part of a Latin word.
+class _Streams:
+    """The signs of many texts in one array, with a start sign before each unit.
 
-    Stops: 1 a full stop, 2 dots or an ellipsis.
-
-    Events: 0 inside a token, 1 a unit ends here, 2 it goes on, 3 open (a capital follows).
+    ``event`` per sign: 0 inside a token or unknown, 1 a unit ends here, 2 it goes
+    on, 3 open (a capital follows). ``stop``: 1 a full stop behind, 2 dots or an
+    ellipsis. ``first`` and ``last``: place of the first and last sign of each
+    text, -1 for a text without signs.
     """
-    from .fold import BASE, codes_of
-    from .leakage import _is_han, _letters
-
-    codes = codes_of(text)
-    signs = BASE[codes]
-    digit = (signs >= 48) & (signs <= 57)
-    keep = digit | ((signs >= 97) & (signs <= 122)) | _letters()[signs]
-    at = np.flatnonzero(keep)
-    n = len(at)
-    if not n:
-        z = np.zeros(0, np.int64)
-        return z.astype(np.uint32), z, z, z.astype(bool)
-    s = np.where(digit, 48, signs)[at].astype(np.uint32)
-    han = _is_han(s)
-    gap = np.empty(n, np.int64)
-    gap[:-1], gap[-1] = np.diff(at), 2
-    behind = codes[np.minimum(at + 1, len(codes) - 1)]
-    behind[-1] = 0 if at[-1] + 1 >= len(codes) else behind[-1]
-    after_han = np.append(han[1:], True)
-    token_end = han | (gap > 1) | after_han
-    event = np.where(token_end, 2, 0)
-    # next sign after blanks only: a capital leaves the matter open, a Han sign after a Han sign begins a new unit
-    blank = (gap > 1) & ((behind == 32) | (behind == 0x3000) | (behind == 10) | (behind == 0xA0))
-    nxt = np.append(codes[at[1:]], 0)
-    capital = ((nxt >= 65) & (nxt <= 90)) | ((nxt >= 0xC0) & (nxt <= 0xDE))
-    event[blank & capital] = 3
-    event[blank & (gap == 2) & han & np.append(han[1:] | (s[1:] == 48), False)] = 1
-    ends = np.searchsorted(at, [e for _, e in spans], "left") - 1
-    starts = np.searchsorted(at, [b for b, _ in spans], "left")
-    event[ends[:-1][ends[:-1] >= 0]] = 1
-    second = codes[np.minimum(at + 2, len(codes) - 1)]
-    dot = np.where((behind == 0x2026) | ((behind == 46) & (second == 46)), 2, (behind == 46).astype(np.int64))
-    out = np.insert(s, starts, 1)
-    where = np.arange(n) + np.searchsorted(starts, np.arange(n), "right")
-    ev, dt, lt = np.zeros(len(out), np.int64), np.zeros(len(out), np.int64), np.zeros(len(out), bool)
-    ev[where], dt[where], lt[where] = event, dot, ~han & (s != 48)
-    # nothing is known about the last token of a value
-    last = len(out) - 1
-    if lt[last] or out[last] == 48:
-        while last >= 0 and (lt[last] or out[last] == 48) and (last == len(out) - 1 or ev[last] == 0):
-            last -= 1
-        ev[last + 1 :] = 0
-    else:
-        ev[last:] = 0
-    return out, ev, dt, lt
+
+    def __init__(self, texts: list[str], spans: list[list[tuple[int, int]]]) -> None:
+        from .fold import BASE
+        from .leakage import _is_han, _letters
+
+        codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+        offset = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        counts = np.fromiter((len(x) for x in spans), np.int64, len(spans))
+        flat = np.array([p for x in spans for p in x], np.int64).reshape(-1, 2) + np.repeat(offset, counts)[:, None]
+        signs = BASE[codes]
+        digit = (signs >= 48) & (signs <= 57)
+        at = np.flatnonzero(digit | ((signs >= 97) & (signs <= 122)) | _letters()[signs])
+        n = len(at)
+        s = np.where(digit, 48, signs)[at].astype(np.uint32)
+        han = _is_han(s)
+        gap = np.append(np.diff(at), 2)
+        behind, second = (codes[np.minimum(at + k, len(codes) - 1)] if len(codes) else codes for k in (1, 2))
+        token_end = han | (gap > 1) | np.append(han[1:], True)
+        event = np.where(token_end, 2, 0)
+        blank = (gap > 1) & ((behind == 32) | (behind == 0x3000) | (behind == 10) | (behind == 0xA0))
+        nxt = np.append(codes[at[1:]], 0)
+        event[blank & (((nxt >= 65) & (nxt <= 90)) | ((nxt >= 0xC0) & (nxt <= 0xDE)))] = 3
+        # a Han sign, one blank and a Han sign or a figure: a new unit without any mark
+        event[blank & (gap == 2) & han & np.append(han[1:] | (s[1:] == 48), False)] = 1
+        ends = np.searchsorted(at, flat[:, 1], "left") - 1
+        final = np.zeros(len(flat), bool)
+        final[np.cumsum(counts)[counts > 0] - 1] = True
+        event[ends[~final & (ends >= 0)]] = 1
+        stop = np.where((behind == 0x2026) | ((behind == 46) & (second == 46)), 2, (behind == 46).astype(np.int64))
+        # nothing is known about the last token of a text
+        lo, hi = np.searchsorted(at, offset, "left"), np.searchsorted(at, offset + sizes, "left") - 1
+        token = np.cumsum(np.concatenate([[True], token_end[:-1]])) if n else np.zeros(0, np.int64)
+        some = hi >= lo
+        unknown = np.zeros((token[-1] if n else 0) + 1, bool)
+        unknown[token[hi[some]]] = True
+        event[unknown[token]] = 0
+        starts = np.searchsorted(at, flat[:, 0], "left")
+        shift = np.searchsorted(starts, np.arange(n), "right")
+        self.signs = np.insert(s, starts, 1)
+        where = np.arange(n) + shift
+        self.event, self.stop = np.zeros(len(self.signs), np.int64), np.zeros(len(self.signs), np.int64)
+        self.event[where], self.stop[where] = event, stop
+        self.first, self.last = np.full(len(texts), -1), np.full(len(texts), -1)
+        self.first[some], self.last[some] = where[lo[some]] - 1, where[hi[some]]
+        # where a text has signs before its first unit begins there is none; its first sign is then the first place
+        self.first[some] = np.maximum(self.first[some], 0)
 
 
 def _hashes(s: np.ndarray) -> dict[int, np.ndarray]:
@@ -130,26 +134,26 @@ def _hashes(s: np.ndarray) -> dict[int, np.ndarray]:
 def _final(text: str) -> tuple[str, str, bool, list[tuple[int, int]], bool]:
     """(text without cut mark, class of its end, whether a heading, its units, whether it had a mark)."""
     t = text.rstrip(" \t\r\n　\xa0​﻿")
-    m = _MARK.search(t)
+    m = _MARK.search(t, max(0, len(t) - 16))
     if m:
         t = t[: m.start()].rstrip()
     if not t:
         return t, "none", False, [], bool(m)
-    spans = split_spans(t)
+    spans, tail = split_spans(t), max(0, len(t) - 8)
     unit = t[spans[-1][0] :] if spans else t
     single = len(spans) == 1 and spans[0][0] == len(t) - len(t.lstrip())
     heading = single and len(unit) <= 48 and bool(_HEADING.match(unit.translate(KEEP_LENGTH)))
     flat = unit.replace("（", "(").replace("）", ")").replace("｢", "「").replace("｣", "」")
     if any(flat.count(o) > flat.count(c) for o, c in _PAIRS.items()) or flat.count('"') % 2:
         kind = "open"
-    elif m := _STRONG.search(t):
+    elif m := _STRONG.search(t, tail):
         kind = "quoted" if len(m.group().strip()) > 1 and m.group().strip()[-1] in "\"”»」』" else "strong"
-    elif (m2 := _DOT.search(t)) and m2.group().strip()[-1] in "\"”»」』":
+    elif (m2 := _DOT.search(t, tail)) and m2.group().strip()[-1] in "\"”»」』":
         kind = "quoted"
     elif m2:
-        w = re.search(r"([^\W\d_]+)[.．]$", t)
+        w = _DOTTED_WORD.search(t, max(0, len(t) - 24))
         kind = "abbreviation" if w and w.group(1).lower() in NEVER_FINAL - MAYBE_FINAL and len(w.group(1)) > 1 else "dot"
-    elif _OPEN_END.search(t):
+    elif t[-1] in _OPEN_END:
         kind = "open"
     elif t[-1] in ")）]】》」』»”\"":
         kind = "closed"
@@ -160,76 +164,101 @@ def _final(text: str) -> tuple[str, str, bool, list[tuple[int, int]], bool]:
 
 _VALUE_SCHEMA = pa.schema(
     [("t", pa.int32()), ("ord", pa.int64()), ("source", pa.string()), ("len", pa.int32()), ("kind", pa.string()), ("heading", pa.bool_()),
-     ("marked", pa.bool_()), ("single", pa.bool_()), ("short", pa.bool_()), ("word", pa.string()), ("c24", pa.int64()), ("c12", pa.int64()), ("c6", pa.int64())]
+     ("marked", pa.bool_()), ("single", pa.bool_()), ("short", pa.bool_()), ("word", pa.string()), ("c24", pa.int64()), ("c12", pa.int64()),
+     ("c6", pa.int64()), ("bare", pa.string()), ("spans", pa.list_(pa.int32()))]
 )
+BATCH = 2000
+
+
+def _rows(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First pass: how each value ends, its units, and the contexts it asks for."""
     for b in batches:
-        rows = []
-        for t, o, src, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if not text or text.isspace():
+        for lo in range(0, b.num_rows, BATCH):
+            rows = [r for r in zip(*(c.to_pylist() for c in b.slice(lo, BATCH).columns), strict=True) if r[3] and not r[3].isspace()]
+            if not rows:
                 continue
-            bare, kind, heading, spans, marked = _final(text)
-            s = _stream(bare, spans)[0] if bare else np.zeros(0, np.uint32)
-            tail = s[-24:]
-            h = _hashes(np.concatenate([np.full(24 - len(tail), 3, np.uint32), tail]))
-            # figures alone are no context
-            figures = np.cumsum(tail[::-1] == 48)
-            c = [int(h[k][-1]) if len(s) >= k and figures[k - 1] < k - 1 else None for k in CONTEXTS]
-            w = _LAST_WORD.search(bare)
-            word = w.group().lower() if w and kind == "none" else None
-            rows.append((t, o, src, len(text), kind, heading, marked, len(spans) == 1 and len(bare) <= 40, len(s) <= 6, word, *c))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _VALUE_SCHEMA, strict=True)], schema=_VALUE_SCHEMA)
-
-
-_EVENT_SCHEMA = pa.schema(
-    [("h", pa.int64()), ("word", pa.string())] + [(c, pa.int64()) for c in COUNTS]
-)
+            finals = [_final(r[3]) for r in rows]
+            x = _Streams([f[0] for f in finals], [f[3] for f in finals])
+            size = np.where(x.last >= 0, x.last - x.first + 1, 0)
+            figures = np.cumsum(x.signs == 48)
+            hashes, contexts = _hashes(x.signs), []
+            for k in CONTEXTS:
+                h = hashes[k]
+                ok = (size >= k) & (x.last >= k - 1)
+                end = np.where(ok, x.last, k - 1)
+                if len(h):
+                    # figures alone are no context
+                    inside = figures[end] - np.where(end >= k, figures[np.maximum(end - k, 0)], 0)
+                    ok &= inside < k - 1
+                    contexts.append(pa.array(h[np.minimum(end - k + 1, len(h) - 1)], pa.int64(), mask=~ok))
+                else:
+                    contexts.append(pa.nulls(len(rows), pa.int64()))
+            words = [(_LAST_WORD.search(f[0], max(0, len(f[0]) - 40)) if f[1] == "none" else None) for f in finals]
+            yield _rows(
+                [
+                    [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [len(r[3]) for r in rows], [f[1] for f in finals], [f[2] for f in finals],
+                    [f[4] for f in finals], [len(f[3]) == 1 and len(f[0]) <= 40 for f in finals], size <= 6, [w.group().lower() if w else None for w in words],
+                    *contexts, [f[0] for f in finals], [[p for ab in f[3] for p in ab] for f in finals],
+                ],
+                _VALUE_SCHEMA,
+            )
+
+
+_EVENT_SCHEMA = pa.schema([("h", pa.int64()), ("word", pa.string())] + [(c, pa.int64()) for c in COUNTS])
+_WORD = re.compile(r"[^\W\d_一-鿿]+")
 
 
 def _events(slots: np.ndarray):
+    """Second pass: what follows the contexts asked for, and the words of the corpus, counted per batch."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = np.zeros(SLOTS, dtype=bool)
         asked[slots] = True
+        words: Counter = Counter()
         for b in batches:
-            for lo in range(0, b.num_rows, 4000):
-                finals = [_final(t) for t in b.column(3).slice(lo, 4000).to_pylist() if t and not t.isspace()]
-                parts, words = [], Counter()
-                for t, _, _, spans, _ in finals:
-                    if not t:
+            for lo in range(0, b.num_rows, BATCH):
+                part = b.slice(lo, BATCH)
+                texts, spans = part.column(0).to_pylist(), [list(zip(x[::2], x[1::2], strict=True)) for x in part.column(1).to_pylist()]
+                for t in texts:
+                    ws = _WORD.findall(t.lower())
+                    words.update(ws[:-1] if ws and t and t[-1].isalpha() else ws)
+                x = _Streams(texts, spans)
+                if len(x.signs) <= 24:
+                    continue
+                begin = np.zeros(len(x.signs), np.int64)
+                begin[x.first[x.first >= 0]] = x.first[x.first >= 0]
+                begin = np.maximum.accumulate(begin)
+                place = np.flatnonzero(x.event)
+                for k, h in _hashes(x.signs).items():
+                    at = place[place - begin[place] + 1 >= k]
+                    hk = h[at - k + 1]
+                    sel = asked[hk & (SLOTS - 1)]
+                    at, hk = at[sel], hk[sel]
+                    if not len(at):
                         continue
-                    parts.append(_stream(t, spans))
-                    ws = re.findall(r"[^\W\d_一-鿿]+", t.lower())
-                    words.update(ws[:-1] if _LAST_WORD.search(t) else ws)
-                out: list[list] = [[] for _ in _EVENT_SCHEMA]
-                if parts:
-                    sep = np.array([2], np.uint32)
-                    s = np.concatenate([x for p in parts for x in (sep, p[0])])
-                    ev = np.concatenate([x for p in parts for x in ([0], p[1])])
-                    dot = np.concatenate([x for p in parts for x in ([0], p[2])])
-                    place = np.flatnonzero(ev)
-                    first = np.concatenate([np.full(len(p[0]) + 1, i) for i, p in zip(np.cumsum([0, *[len(p[0]) + 1 for p in parts[:-1]]]), parts, strict=True)])
-                    for k, h in _hashes(s).items() if len(s) > 24 else ():
-                        at = place[place - first[place] >= k]
-                        hk = h[at - k + 1]
-                        sel = asked[hk & (SLOTS - 1)]
-                        at, hk = at[sel], hk[sel]
-                        keys, inv = np.unique(hk, return_inverse=True)
-                        e, d = ev[at], dot[at]
-                        cols = [np.bincount(inv, weights=w, minlength=len(keys)).astype(np.int64) for w in (e == 1, e == 2, e == 3, (e == 1) & (d == 1), (e == 2) & (d == 1), (e == 1) & (d == 2), (e == 2) & (d == 2))]
-                        for dst, src in zip(out, [keys, [None] * len(keys), *cols], strict=True):
-                            dst.extend(src.tolist() if isinstance(src, np.ndarray) else src)
-                for w, n in words.items():
-                    for dst, x in zip(out, (None, w, n, 0, 0, 0, 0, 0, 0), strict=True):
-                        dst.append(x)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _EVENT_SCHEMA, strict=True)], schema=_EVENT_SCHEMA)
+                    keys, inv = np.unique(hk, return_inverse=True)
+                    e, d = x.event[at], x.stop[at]
+                    wanted = (e == 1, e == 2, e == 3, (e == 1) & (d == 1), (e == 2) & (d == 1), (e == 1) & (d == 2), (e == 2) & (d == 2))
+                    counts = [np.bincount(inv, weights=w, minlength=len(keys)).astype(np.int64) for w in wanted]
+                    yield _rows([keys, pa.nulls(len(keys), pa.string()), *counts], _EVENT_SCHEMA)
+            if len(words) > 50_000:
+                yield from _word_rows(words)
+        yield from _word_rows(words)
 
     return work
 
 
+def _word_rows(words: Counter) -> Iterator[pa.RecordBatch]:
+    if words:
+        z = np.zeros(len(words), np.int64)
+        yield _rows([pa.nulls(len(words), pa.int64()), list(words), np.fromiter(words.values(), np.int64, len(words)), *[z] * (len(COUNTS) - 1)], _EVENT_SCHEMA)
+        words.clear()
+
+
 def _share(ends: str, goes: str, contexts: tuple[int, ...] = CONTEXTS) -> Column:
     """Share of ends after the longest context with enough cases; null where none has."""
     sums = [(F.col(f"e{k}.{ends}"), F.col(f"e{k}.{ends}") + F.col(f"e{k}.{goes}")) for k in contexts]
@@ -238,11 +267,12 @@ def _share(ends: str, goes: str, contexts: tuple[int, ...] = CONTEXTS) -> Column
 
 def judged(values: DataFrame) -> DataFrame:
     """Verdict for every non-blank value of (t int, ord, source, text): t, ord, source, ``cut`` and the evidence."""
-    ends = cut_lineage(values.mapInArrow(_ends, _ddl(_VALUE_SCHEMA)))
+    passed = written(values.mapInArrow(_ends, _ddl(_VALUE_SCHEMA)))  # read by both halves: units are found once
+    ends = passed.drop("bare", "spans")
     asked = ends.select("t", "ord", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("h")) for k in CONTEXTS])).alias("x"))
     asked = asked.where("x.h IS NOT NULL").select("t", "ord", "x.k", "x.h")
     slots = asked.select(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
-    counts = values.mapInArrow(_events(slots), _ddl(_EVENT_SCHEMA))
+    counts = passed.select("bare", "spans").mapInArrow(_events(slots), _ddl(_EVENT_SCHEMA))
     counts = cut_lineage(counts.groupBy("h", "word").agg(*[F.sum(c).alias(c) for c in COUNTS]))
     events = counts.where("h IS NOT NULL").select("h", F.struct(*COUNTS).alias("e"))
     # one row a value: the counts of its contexts
@@ -295,7 +325,7 @@ def judged(values: DataFrame) -> DataFrame:
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {"int32": "int", "int64": "bigint", "string": "string", "bool": "boolean"}
+    names = {"int32": "int", "int64": "bigint", "string": "string", "bool": "boolean", "list<item: int32>": "array<int>", "list<element: int32>": "array<int>"}
     return ", ".join(f"{f.name} {names[str(f.type)]}" for f in schema)
 
 
