@@ -60,8 +60,8 @@ def keep_paragraphs(c: Column) -> Column:
 
 
 def multiline(c: Column) -> Column:
-    """``keep_paragraphs`` after no-break spaces and byte-order marks are gone."""
-    return keep_paragraphs(F.regexp_replace(F.regexp_replace(c, " ", " "), "﻿", ""))
+    """``keep_paragraphs`` after no-break spaces became spaces and byte-order marks are gone."""
+    return keep_paragraphs(F.translate(c, "\u00a0\ufeff", " "))
 
 
 def without_lines(c: Column, equal: tuple[str, ...] = (), holding: tuple[str, ...] = ()) -> Column:
@@ -168,7 +168,7 @@ def mixed_tokens(c: Column, hints: tuple[str, ...] = lexicon.HINTS) -> Column:
         lambda x: F.replace(F.regexp_replace(x, r"\s+", ""), F.lit("proc."), F.lit("proc")),
     )
     words = F.regexp_extract_all(t, F.lit(f"({LATIN_WORD})"))
-    twins = F.filter(F.transform(words, lambda w: F.translate(w, ACCENTED, PLAIN)), lambda w: ~F.array_contains(words, w))
+    twins = F.array_compact(F.transform(words, lambda w: F.nullif(F.translate(w, ACCENTED, PLAIN), w)))
     return F.concat(cases, F.regexp_extract_all(t, F.lit(f"({REFERENCE})")), words, twins, han_tokens(t, hints))
 
 
@@ -194,13 +194,13 @@ def overlap_tokens(c: Column) -> Column:
 def char_ngrams(c: Column, low: int = 2, high: int = 4) -> Column:
     """n-grams over the non-blank characters of a text, and its Han signs."""
     t = F.regexp_replace(F.lower(half_width(c)), BLANK, "")
-    grams = [
-        F.when(
-            F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i, n=n: F.substr(t, i, F.lit(n)))
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(low, high + 1)
-    ]
-    return F.concat(*grams, F.regexp_extract_all(t, F.lit(f"([{HAN}])")))
+
+
+    def of(n: int) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))
+        return F.when(F.length(t) >= n, parts).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[of(n) for n in range(low, high + 1)], F.regexp_extract_all(t, F.lit(f"([{HAN}])")))
 
 
 def slug(c: Column, index: Column) -> Column:

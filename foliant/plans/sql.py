@@ -44,7 +44,7 @@ def mixed_tokens(c: str) -> str:
         "lambda x: replace(regexp_replace(x, '\\s+', '', 'g'), 'proc.', 'proc'))"
     )
     words = f"regexp_extract_all({t}, {q(text.LATIN_WORD)})"
-    twins = f"list_filter(list_transform({words}, lambda w: translate(w, {q(text.ACCENTED)}, {q(text.PLAIN)})), lambda w: NOT list_contains({words}, w))"
+    twins = f"list_filter(list_transform({words}, lambda w: nullif(translate(w, {q(text.ACCENTED)}, {q(text.PLAIN)}), w)), lambda w: w IS NOT NULL)"
     han = (
         f"flatten(list_transform(regexp_extract_all({t}, '[{text.HAN}]+'), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE "
         f"[r] || list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) || list_filter({listed(lexicon.HINTS)}, lambda h: contains(r, h)) END))"
