@@ -293,9 +293,12 @@ def judged(values: DataFrame) -> DataFrame:
         .where((F.col("n") >= LIMIT_CASES) & (F.col("n") >= LIMIT_SHARE * F.col("all_n")))
         .select("lt", "ls", "ll")
     )
+    # values without a word to look up are spread by a key of their own, not gathered under null
+    own = F.coalesce("word", F.concat(F.lit("\0"), F.col("ord").cast("string")))
     got = (
         ends.join(seen, ["t", "ord"], "left")
-        .join(trie, "word", "left")
+        .withColumn("asked_word", own)
+        .join(trie.withColumnRenamed("word", "asked_word"), "asked_word", "left")
         .join(limits, (F.col("t") == F.col("lt")) & F.col("source").eqNullSafe(F.col("ls")) & (F.col("len") == F.col("ll")), "left")
     )
     kind = F.col("kind")
