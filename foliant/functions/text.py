@@ -5,6 +5,8 @@ Every function gives null for null, and '' stays ''.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -27,6 +29,11 @@ CASE_REFERENCE = r"(?:proc\.?[ \t\n]*)?[a-z]{0,6}[ \t\n]*[0-9]{1,5}[ \t\n]*/[ \t
 CASE_NUMBER = r"\b[0-9]{1,5}/[0-9]{4}\b"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where lambdas inside use it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def nfkc(c: Column) -> Column:
     """Unicode compatibility form."""
     return F.arrow_udf(_nfkc, T.StringType())(c)
@@ -162,28 +169,31 @@ def mixed_tokens(c: Column, hints: tuple[str, ...] = lexicon.HINTS) -> Column:
     accent-free twin, Han runs with pairs and hints. A case reference is met by
     the second pattern too and so counts twice, on purpose.
     """
-    t = F.trim(F.lower(half_width(c)))
-    cases = F.transform(
-        F.regexp_extract_all(t, F.lit(rf"(?U)(?<![\p{{L}}\p{{N}}_])({CASE_REFERENCE})(?![\p{{L}}\p{{N}}_])")),
-        lambda x: F.replace(F.regexp_replace(x, r"\s+", ""), F.lit("proc."), F.lit("proc")),
-    )
-    words = F.regexp_extract_all(t, F.lit(f"({LATIN_WORD})"))
-    twins = F.array_compact(F.transform(words, lambda w: F.nullif(F.translate(w, ACCENTED, PLAIN), w)))
-    return F.concat(cases, F.regexp_extract_all(t, F.lit(f"({REFERENCE})")), words, twins, han_tokens(t, hints))
+
+    def of(t: Column) -> Column:
+        cases = F.transform(
+            F.regexp_extract_all(t, F.lit(rf"(?U)(?<![\p{{L}}\p{{N}}_])({CASE_REFERENCE})(?![\p{{L}}\p{{N}}_])")),
+            lambda x: F.replace(F.regexp_replace(x, r"\s+", ""), F.lit("proc."), F.lit("proc")),
+        )
+        words = F.regexp_extract_all(t, F.lit(f"({LATIN_WORD})"))
+        with_twins = let(words, lambda ws: F.concat(ws, F.array_compact(F.transform(ws, lambda w: F.nullif(F.translate(w, ACCENTED, PLAIN), w)))))
+        return F.concat(cases, F.regexp_extract_all(t, F.lit(f"({REFERENCE})")), with_twins, han_tokens(t, hints))
+
+    return let(F.trim(F.lower(half_width(c))), of)
 
 
 def light_tokens(c: Column) -> Column:
     """Latin and figure runs, and Han pairs (single signs kept)."""
-    t = F.lower(half_width(c))
-    pairs = F.flatten(
-        F.transform(
-            F.regexp_extract_all(t, F.lit(f"([{HAN}]+)")),
-            lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(
-                F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))
-            ),
-        )
-    )
-    return F.concat(F.regexp_extract_all(t, F.lit("([a-zà-öø-ÿ0-9]+)")), pairs)
+
+    def pairs(r: Column) -> Column:
+        two = F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))
+        return F.when(F.length(r) == 1, F.array(r)).otherwise(two)
+
+    def of(t: Column) -> Column:
+        han = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(f"([{HAN}]+)")), pairs))
+        return F.concat(F.regexp_extract_all(t, F.lit("([a-zà-öø-ÿ0-9]+)")), han)
+
+    return let(F.lower(half_width(c)), of)
 
 
 def overlap_tokens(c: Column) -> Column:
@@ -193,14 +203,15 @@ def overlap_tokens(c: Column) -> Column:
 
 def char_ngrams(c: Column, low: int = 2, high: int = 4) -> Column:
     """n-grams over the non-blank characters of a text, and its Han signs."""
-    t = F.regexp_replace(F.lower(half_width(c)), BLANK, "")
-
 
-    def of(n: int) -> Column:
+    def of(t: Column, n: int) -> Column:
         parts = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))
         return F.when(F.length(t) >= n, parts).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of(n) for n in range(low, high + 1)], F.regexp_extract_all(t, F.lit(f"([{HAN}])")))
+    def every(t: Column) -> Column:
+        return F.concat(*[of(t, n) for n in range(low, high + 1)], F.regexp_extract_all(t, F.lit(f"([{HAN}])")))
+
+    return let(F.regexp_replace(F.lower(half_width(c)), BLANK, ""), every)
 
 
 def slug(c: Column, index: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.functions import text
+from foliant.functions import lexicon, text
 from foliant.operators import evaluation, routing, search
 from foliant.sources.tables import table
 
@@ -305,3 +305,55 @@ ORACLE_SQL = {
  concat_ws('｜', CASE WHEN coalesce(trim(court), '') = '' THEN 'unknown' ELSE court END, CASE WHEN coalesce(trim(authoritative_case_number), '') = '' THEN 'unknown' ELSE authoritative_case_number END, CASE WHEN coalesce(trim(authoritative_decision_date), '') = '' THEN 'unknown' ELSE authoritative_decision_date END) AS citation_label,
  concat_ws('::', CASE WHEN coalesce(trim(court), '') = '' THEN 'unknown' ELSE court END, CASE WHEN coalesce(trim(authoritative_case_number), '') = '' THEN 'unknown' ELSE authoritative_case_number END, CASE WHEN coalesce(trim(language), '') = '' THEN 'unknown' ELSE language END, CASE WHEN coalesce(trim(case_type), '') = '' THEN 'unknown' ELSE case_type END) AS source_group_key FROM citation_records""",
 }
+
+
+def _any(c: str, terms) -> str:
+    return f"len(list_filter({sql.listed(terms)}, lambda x: contains({c}, x)))"
+
+
+def _routes_sql() -> str:
+    low = "lower(n)"
+    for k, v in sorted(lexicon.VARIANTS.items(), key=lambda kv: -len(kv[0])):
+        low = f"replace({low}, {sql.q(k)}, {sql.q(v)})"
+    connectors = " + ".join(f"((length(n) - length(replace(n, {sql.q(t)}, ''))) // {len(t)})" for t in lexicon.CONNECTORS)
+    edge, end = "(?:^|[^\\p{L}\\p{N}_])", "(?:$|[^\\p{L}\\p{N}_])"
+    kinds = " ".join(f"WHEN '{k}' THEN %s" for k in routing.STRATEGIES)
+    strategy = "CASE query_type " + kinds % tuple(f"'{v[0]}'" for v in routing.STRATEGIES.values()) + " END"
+    mode = "CASE query_type " + kinds % tuple(f"'{v[1]}'" for v in routing.STRATEGIES.values()) + " END"
+    decompose = "CASE query_type " + kinds % tuple({True: "true", False: "false", None: "multi_issue"}[v[2]] for v in routing.STRATEGIES.values()) + " END"
+    return f"""
+WITH a AS (SELECT ord, {sql.squeeze("regexp_replace(" + sql.half("card_title") + ", '\\s*/\\s*', '/', 'g')")} AS n FROM research_result_items),
+ b AS (SELECT *, {low} AS l FROM a),
+ c AS (SELECT *, {_any('l', lexicon.PT_WORDS)} AS pt, length(regexp_replace(n, '[^{text.HAN}]', '', 'g')) AS han, len(regexp_extract_all(l, '[a-zà-öø-ÿ]+')) AS words,
+   length(regexp_replace(n, '[^A-Za-z]', '', 'g')) AS letters, regexp_matches(l, {sql.q(edge + '[0-9]{1,6}/[0-9]{4}(?:/[a-z]{1,3})?' + end)}) AS has_case,
+   regexp_matches(n, {sql.q(edge + '[0-9]{1,5}/[0-9]{4}' + end)}) AS is_case, {_any("' ' || l || ' '", lexicon.ISSUE_CONNECTORS)} >= 2 AS multi_issue,
+   {_any('n', lexicon.CONCEPTS)} AS concepts, {_any('n', lexicon.FACTS)} AS facts, {connectors} AS connectors, length(regexp_replace(n, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS signs FROM b),
+ d AS (SELECT *, (han >= 1 AND words >= 2) OR (han >= 2 AND (contains(l, 'liberdade condicional') OR contains(l, 'recurso'))) AS mixed,
+   length(n) <= 2 OR signs = 0 OR 1 - signs / greatest(length(n), 1) > 0.45 OR lower(n) IN ({', '.join(map(sql.q, lexicon.NOISE))}) AS noisy FROM c),
+ e AS (SELECT *, CASE WHEN has_case AND (pt > 0 OR mixed) THEN 'case_number_lookup_pt_mixed' WHEN is_case THEN 'case_number_lookup' WHEN pt > 0 OR (letters >= 6 AND han >= 2) OR mixed THEN 'portuguese_or_mixed'
+   WHEN noisy THEN 'ambiguous_or_noisy' WHEN concepts >= 1 AND facts >= 1 THEN 'mixed_fact_legal_query' WHEN concepts >= 2 OR (concepts >= 1 AND connectors >= 2) THEN 'multi_issue_legal_query'
+   WHEN concepts = 1 THEN 'single_legal_concept' ELSE 'ambiguous_or_noisy' END AS query_type FROM d)
+SELECT ord, query_type, {strategy} AS routing_strategy, {mode} AS retrieval_mode, {decompose} AS decomposition_recommended FROM e"""
+
+
+def _parts_sql() -> str:
+    n = sql.squeeze("regexp_replace(" + sql.half("card_title") + ", '\\s*/\\s*', '/', 'g')")
+    return f"""
+WITH a AS (SELECT ord, {n} AS n FROM research_result_items WHERE card_title IS NOT NULL),
+ b AS (SELECT ord, n, list_filter([n] || list_transform(regexp_split_to_array(n, '[,，;；、和與及]|(?i) e | ou '), lambda x: trim(x)) || list_filter({sql.listed(lexicon.CONCEPTS)}, lambda x: contains(n, x)), lambda x: length(x) >= 2) AS p FROM a),
+ c AS (SELECT ord, CASE WHEN len(p) = 0 THEN [n] ELSE list_filter(p, lambda x, i: list_position(p, x) = i)[1:{routing.SUBQUERIES}] END AS p FROM b)
+SELECT ord, unnest(range(0, len(p)))::INT AS position, unnest(p) AS subquery FROM c"""
+
+
+def _overlap_sql() -> str:
+    toks = lambda c: f"list_distinct(regexp_extract_all(lower({sql.half('coalesce(' + c + ', chr(32))')}), '[a-zà-öø-ÿ0-9{text.HAN}]+'))"
+    share = lambda e, p: f"CASE WHEN len({e}) = 0 AND len({p}) = 0 THEN 1.0 WHEN len({e}) = 0 THEN 0.0 ELSE len(list_intersect({e}, {p})) / len({e}) END"
+    return f"""
+WITH m AS (SELECT pdf_url, legal_basis AS lb, holding AS h FROM (SELECT *, row_number() OVER (PARTITION BY pdf_url ORDER BY ord DESC) AS rn FROM case_metadata WHERE trim(pdf_url) <> '') WHERE rn = 1),
+ x AS (SELECT coalesce(language, '') AS language, list_distinct(coalesce(m.lb, [])) AS e1, list_distinct(coalesce(i.legal_basis, [])) AS p1, {toks('m.h')} AS e2, {toks('i.holding')} AS p2, coalesce(m.h, '') AS e3, coalesce(i.holding, '') AS p3
+   FROM research_result_items i JOIN m USING (pdf_url) WHERE trim(i.pdf_url) <> '')
+SELECT language, count(*) AS rows, round(avg({share('e1', 'p1')}), 6) AS set_overlap, round(avg({share('e2', 'p2')}), 6) AS token_overlap,
+ round(avg(CASE WHEN e3 = '' AND p3 = '' THEN 1.0 WHEN e3 = '' OR p3 = '' THEN 0.0 WHEN contains(p3, e3) OR contains(e3, p3) THEN 1.0 ELSE 0.0 END), 6) AS containment FROM x GROUP BY 1"""
+
+
+ORACLE_SQL |= {"routes": _routes_sql(), "query_parts": _parts_sql(), "overlap_scores": _overlap_sql()}

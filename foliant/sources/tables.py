@@ -44,3 +44,15 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: rows of a side that may be broadcast after they have been counted
+BROADCAST_ROWS = 500_000
+
+
+def counted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows, computed once and counted; marked for broadcast only if there are no more than ``most``."""
+    from pyspark.sql import functions as F
+
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= most else kept
