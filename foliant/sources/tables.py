@@ -56,3 +56,12 @@ def counted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
     kept = cut_lineage(df)
     return F.broadcast(kept) if kept.count() <= most else kept
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as there are cores, where a small file would leave cores idle.
+
+    Large inputs have more partitions than cores and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
