@@ -107,7 +107,7 @@ def clean_preview(c: Column, n: int = 180) -> Column:
 
 def spaced_sentences(c: Column) -> Column:
     """Parts after a terminator that blanks follow (a text without such blanks stays whole)."""
-    return F.filter(F.transform(F.split(c, r"(?<=[。.!?；;])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"(?<=[。.!?；;])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def case_key(c: Column) -> Column:
@@ -241,3 +241,48 @@ def labelled(c: Column, labels: tuple[str, ...], stops: tuple[str, ...] = ()) ->
     end = rf"(?:\n|$|{'|'.join(stops)})" if stops else r"(?:\n|$)"
     v = F.trim(F.regexp_extract(c, rf"(?:{alt})[ \t]*[:：][ \t]*(.*?){end}", 1))
     return F.when(v != "", v)
+
+
+def header(c: Column) -> Column:
+    """struct(decision_date, case_number, case_type) of a card line: the first date, the first case number behind it, the rest."""
+    line = squeeze(c)
+    date = F.regexp_extract(line, r"([0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2})", 1)
+    rest = F.regexp_extract(line, r"[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2}(.*)$", 1)
+    case = F.regexp_extract(rest, r"([0-9]{1,5}/[0-9]{4}(?:-[A-Z]{1,3})?)", 1)
+    kind = F.trim(F.regexp_replace(F.regexp_extract(rest, r"[0-9]{1,5}/[0-9]{4}(?:-[A-Z]{1,3})?(.*)$", 1), r"^[^\p{L}]+", ""))
+    return F.struct(F.nullif(date, F.lit("")).alias("decision_date"), F.nullif(case, F.lit("")).alias("case_number"), F.nullif(kind, F.lit("")).alias("case_type"))
+
+
+def distinct_ignoring_case(items: Column, limit: int) -> Column:
+    """First spelling of each element, case aside, blanks dropped, ``limit`` at most (the feature's own size)."""
+    clean = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
+    return let(clean, lambda a: let(F.transform(a, F.lower), lambda low: F.slice(F.filter(a, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, limit)))
+
+
+def as_list(c: Column, limit: int = 8) -> Column:
+    """A delimited text, or a JSON list of texts, as a clean list; null gives an empty one."""
+    listed = F.from_json(c, "array<string>")
+    parts = F.when(F.startswith(F.trim(c), F.lit("[")) & listed.isNotNull(), listed).otherwise(F.split(c, "[;；\n、|]"))
+    return F.coalesce(distinct_ignoring_case(parts, limit), F.array().cast("array<string>"))
+
+
+def json_block(c: Column) -> Column:
+    """The JSON object inside a text (fences and talk around it dropped); null where there is no valid one."""
+    block = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
+    return F.when(F.try_parse_json(block).isNotNull() & (block != ""), block)
+
+
+def block(c: Column, heads: tuple[str, ...], stops: tuple[str, ...]) -> Column:
+    """Text behind the first heading up to the first stop heading; null where there is no heading."""
+    found = F.regexp_extract(c, rf"(?is)(?:{'|'.join(heads)})\s*[:：]?\s*(.+?)(?:{'|'.join(stops)}|$)", 1)
+    return F.nullif(F.trim(found), F.lit(""))
+
+
+def head_and_tail(c: Column, n: int, mark: str = "\n...\n") -> Column:
+    """The text if it has at most n characters, else its first and last n/2 around a mark."""
+    return F.when(F.length(c) <= n, c).otherwise(F.concat(F.substring(c, 1, n // 2), F.lit(mark), F.right(c, F.lit(n // 2))))
+
+
+def length_route(c: Column, short: int = 3800, medium: int = 14000) -> Column:
+    """short, medium or long."""
+    return F.when(F.length(c) <= short, "short").when(F.length(c) <= medium, "medium").otherwise("long")

@@ -49,3 +49,23 @@ def kind(c: Column) -> Column:
         .when(is_sentence(c) & (language(c) == "pt"), "text_pt")
         .otherwise("other")
     )
+
+
+def links(html: Column) -> Column:
+    """Links of a page as array<struct<kind,language,url>>, in order."""
+    hrefs = F.regexp_extract_all(html, F.lit("(?i)<a\\b[^>]*?href\\s*=\\s*[\"']([^\"']+)[\"']"))
+    return F.transform(hrefs, lambda u: F.struct(kind(u).alias("kind"), language(u).alias("language"), u.alias("url")))
+
+
+def text_link(found: Column) -> Column:
+    """Chinese judgment text before Portuguese before any other that is no pdf; null where there is none."""
+    first = lambda test: F.element_at(F.transform(F.filter(found, test), lambda x: x["url"]), 1)
+    size = lambda test: F.size(F.filter(found, test)) > 0
+    zh, pt, other = (lambda x: x["kind"] == "text_zh"), (lambda x: x["kind"] == "text_pt"), (lambda x: x["kind"] != "pdf")
+    return F.when(size(zh), first(zh)).when(size(pt), first(pt)).when(size(other), first(other))
+
+
+def pdf_link(found: Column) -> Column:
+    """First pdf; null where there is none."""
+    pdfs = F.filter(found, lambda x: x["kind"] == "pdf")
+    return F.when(F.size(pdfs) > 0, F.element_at(F.transform(pdfs, lambda x: x["url"]), 1))

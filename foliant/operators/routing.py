@@ -81,7 +81,7 @@ def route(df: DataFrame, query: str = "query") -> DataFrame:
 def subqueries(query: Column, limit: int = SUBQUERIES) -> Column:
     """The query, its parts at separators, then its concepts; distinct, non-blank, ``limit`` at most (the feature's own size)."""
     q = normal_query(query)
-    parts = F.transform(F.split(q, "[,，;；、和與及]|(?i) e | ou "), F.trim)
+    parts = F.transform(F.split(q, "[,，;；、和與及]|(?i) e | ou "), lambda x: F.trim(x))
     concepts = F.filter(F.array(*[F.lit(t) for t in lexicon.CONCEPTS]), lambda t: F.contains(q, t))
     every = F.filter(F.concat(F.array(q), parts, concepts), lambda x: F.length(x) >= 2)
     picked = F.slice(F.array_distinct(every), 1, limit)

@@ -248,12 +248,39 @@ def event_properties(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type", "k").agg(F.count("*").alias("events"))
 
 
+def card_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Date, case number and type read from the raw text of every card."""
+    return table(spark, d, CARDS).select("ord", text.header(F.col("raw_card_text")).alias("h")).select("ord", "h.*")
+
+
+def clean_bases(spark: SparkSession, d: str) -> DataFrame:
+    """Legal bases of every returned item as a clean list: trimmed, each once whatever its case, eight at most as shown."""
+    got = text.distinct_ignoring_case(F.coalesce("legal_basis", F.array().cast("array<string>")), 8)
+    return table(spark, d, "research_result_items").select("ord", F.array_join(got, "; ").alias("bases"), F.size(got).alias("n"))
+
+
+def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts behind blank-followed terminators per chunk (the plain splitter; Chinese without blanks stays whole)."""
+    parts = text.spaced_sentences(F.col("chunk_text"))
+    return table(spark, d, "case_chunks").select("ord", F.coalesce(F.size(parts), F.lit(0)).alias("parts"), F.md5(F.array_join(parts, "|")).alias("digest"))
+
+
+def text_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Full texts by the length route of a prompt."""
+    return table(spark, d, "merge_case_rows").groupBy(text.length_route(F.col("full_text"), 400, 1200).alias("route")).agg(F.count("*").alias("texts"))
+
+
+def paragraphs_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Digest of every document in the paragraph-keeping form."""
+    return table(spark, d, "case_chunks").select("ord", F.md5(text.keep_paragraphs(F.col("chunk_text"))).alias("digest"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p5_found, ordered_dedupe_reasons, first_cards, duplicate_keys, card_addresses, page_repeats, corpus_layout, packed_chunks, chunk_counters, case_profiles,
         metadata_attached, row_choice, field_choice, coverage_counts, baseline_against_model, two_key_lookup, population, text_quality, page_validity, card_metrics,
-        contaminated_cards, normal_texts, legal_basis_counts, holding_sentences, case_cards, envelopes, latest_by_court, new_per_day, event_windows, event_properties,
+        contaminated_cards, normal_texts, legal_basis_counts, holding_sentences, case_cards, envelopes, latest_by_court, new_per_day, event_windows, event_properties, card_headers, clean_bases, sentence_counts, text_routes, paragraphs_kept,
     )
 }
 
@@ -368,3 +395,17 @@ ORACLE_SQL = {
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS events, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2",
     "event_properties": "SELECT event_type, (props->>'$.k')::INT AS k, count(*) AS events FROM events GROUP BY 1, 2",
 }
+
+_LINE = sql.squeeze("raw_card_text")
+_REST = f"regexp_extract({_LINE}, '[0-9]{{1,2}}/[0-9]{{1,2}}/(?:19|20)[0-9]{{2}}(.*)$', 1)"
+_NUM = "[0-9]{1,5}/[0-9]{4}(?:-[A-Z]{1,3})?"
+_MARKED = "regexp_replace(chunk_text, '([。.!?；;])\\s+', '\\1' || chr(1), 'g')"
+ORACLE_SQL |= {
+    "card_headers": f"""SELECT ord, nullif(regexp_extract({_LINE}, '([0-9]{{1,2}}/[0-9]{{1,2}}/(?:19|20)[0-9]{{2}})', 1), '') AS decision_date, nullif(regexp_extract({_REST}, '({_NUM})', 1), '') AS case_number,
+ nullif(trim(regexp_replace(regexp_extract({_REST}, '{_NUM}(.*)$', 1), '^[^\\p{{L}}]+', '')), '') AS case_type FROM {CARDS}""",
+    "clean_bases": """WITH a AS (SELECT ord, list_filter(list_transform(coalesce(legal_basis, []), lambda x: trim(x)), lambda x: x <> '') AS l FROM research_result_items),
+ b AS (SELECT ord, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i)[1:8] AS l FROM a) SELECT ord, coalesce(array_to_string(l, '; '), '') AS bases, len(l)::INT AS n FROM b""",
+    "sentence_counts": f"SELECT ord, coalesce(len(p), 0)::INT AS parts, md5(array_to_string(p, '|')) AS digest FROM (SELECT ord, list_filter(list_transform(string_split({_MARKED}, chr(1)), lambda x: trim(x)), lambda x: x <> '') AS p FROM case_chunks)",
+    "text_routes": "SELECT CASE WHEN length(full_text) <= 400 THEN 'short' WHEN length(full_text) <= 1200 THEN 'medium' ELSE 'long' END AS route, count(*) AS texts FROM merge_case_rows GROUP BY 1",
+    "paragraphs_kept": r"""SELECT ord, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(chunk_text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '(?m)^ | $', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM case_chunks""",
+}
