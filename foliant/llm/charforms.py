@@ -81,7 +81,7 @@ def _one_form() -> dict[str, str]:
         if len(n) > 1 and n[0] in LOOKALIKE:
             out[c] = ud.normalize("NFC", LOOKALIKE[n[0]] + n[1:])
     out["\t"] = " "
-    out[" "] = out[" "] = out["\x85"] = "\n"
+    out["\u2028"] = out["\u2029"] = out["\x85"] = "\n"
     for a, b in _INVISIBLE_RANGES:
         for cp in range(a, b + 1):
             out.pop(chr(cp), None)

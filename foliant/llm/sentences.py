@@ -84,7 +84,7 @@ def _table(dtype: type, chars: str = "") -> np.ndarray:
 _IS_TRIGGER = _table(bool, _STERM + ".…‥\n" + "".join(_SPAN))
 _IS_ODD = _table(bool, regex.sub(r"[^\p{M}\p{Cf}]", "", _ALL) + "".join(_LIGATURES))
 _IS_ODD[[ord(c) for c in regex.findall(f"[{INVISIBLE_PY}]", _ALL)]] = True
-_IS_ODD[ord("﻿")] = True
+_IS_ODD[ord("\ufeff")] = True
 _FOLD_TO = np.arange(0x110000, dtype=np.uint32)
 for _c, _d in (KEEP_LENGTH | {ord("｡"): "。", ord("．"): "."}).items():
     _FOLD_TO[_c] = ord(_d)

@@ -133,7 +133,7 @@ def _hashes(s: np.ndarray) -> dict[int, np.ndarray]:
 
 def _final(text: str) -> tuple[str, str, bool, list[tuple[int, int]], bool]:
     """(text without cut mark, class of its end, whether a heading, its units, whether it had a mark)."""
-    t = text.rstrip(" \t\r\n　\xa0​﻿")
+    t = text.rstrip(" \t\r\n　\xa0\u200b\ufeff")
     m = _MARK.search(t, max(0, len(t) - 16))
     if m:
         t = t[: m.start()].rstrip()
