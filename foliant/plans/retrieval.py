@@ -357,3 +357,20 @@ SELECT language, count(*) AS rows, round(avg({share('e1', 'p1')}), 6) AS set_ove
 
 
 ORACLE_SQL |= {"routes": _routes_sql(), "query_parts": _parts_sql(), "overlap_scores": _overlap_sql()}
+
+
+def _fan_out_sql() -> str:
+    n = sql.squeeze("regexp_replace(" + sql.half("text") + ", '\\s*/\\s*', '/', 'g')")
+    asked = f"SELECT query_id, {sql.light_tokens('sub')} AS tokens FROM s"
+    ranked = sql.bm25("research_result_items", "ord", {"t": (sql.light_tokens("case_summary"), 1.0)}, asked, "ord", TOP)
+    return f"""
+WITH a AS (SELECT item_id AS qid, {n} AS n FROM eval_items WHERE item_id % {EVERY} = 0),
+ b AS (SELECT qid, n, list_filter([n] || list_transform(regexp_split_to_array(n, '[,，;；、和與及]|(?i) e | ou '), lambda x: trim(x)) || list_filter({sql.listed(lexicon.CONCEPTS)}, lambda x: contains(n, x)), lambda x: length(x) >= 2) AS p FROM a),
+ c AS (SELECT qid, CASE WHEN len(p) = 0 THEN [n] ELSE list_filter(p, lambda x, i: list_position(p, x) = i)[1:{routing.SUBQUERIES}] END AS p FROM b),
+ s AS (SELECT qid * 100 + i AS query_id, sub FROM (SELECT qid, unnest(range(0, len(p))) AS i, unnest(p) AS sub FROM c)),
+ h AS ({ranked})
+SELECT (h.query_id // 100)::VARCHAR || ':' || h.ord AS chunk_id, r.language, max(h.score) AS score, count(DISTINCT s.sub)::INT AS queries
+FROM h JOIN s ON s.query_id = h.query_id JOIN research_result_items r ON r.ord = h.ord GROUP BY ALL"""
+
+
+ORACLE_SQL["fan_out_merged"] = _fan_out_sql()
