@@ -138,3 +138,23 @@ ORACLE_SQL: dict[str, str] = {
     "p6_found": "SELECT ord FROM case_chunks WHERE length(chunk_text) > 1600",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
+
+
+def _p2_sql() -> str:
+    def pairs(name: str, col: str) -> str:
+        forms = one_form.one_form_query(f"(SELECT * FROM {name} WHERE {col} IS NOT NULL)", col, "ord")
+        f = f"(SELECT ord, raw, c FROM ({forms}) WHERE trim(c, ' ' || chr(10)) <> '')"
+        return f"SELECT '{name}' AS table_name, a.ord AS ord_a, b.ord AS ord_b FROM {f} a JOIN {f} b ON a.c = b.c AND a.ord < b.ord AND a.raw <> b.raw"
+
+    return pairs("case_chunks", "chunk_text") + " UNION ALL " + pairs("research_result_items", "case_summary")
+
+
+ORACLE_SQL["p2_found"] = _p2_sql()
+ORACLE_SQL["p2_one_form"] = f"SELECT ord, c AS one_form FROM ({one_form.one_form_query('research_result_items', 'case_summary', 'ord')})"
+ORACLE_SQL["p3_records"] = (
+    "WITH f AS (" + ORACLE_SQL["p3_found"] + "), g AS (SELECT sentence_id, field_name, ord FROM f WHERE table_name = 'case_metadata'), v AS (SELECT ord, "
+    + ", ".join(f"any_value({c}) AS {c}" for c in survivor.METADATA_FIELDS)
+    + " FROM case_metadata GROUP BY ord) SELECT sentence_id, "
+    + ", ".join(f"max(CASE WHEN field_name = '{c}' THEN {c} END) AS {c}" for c in survivor.METADATA_FIELDS)
+    + " FROM g JOIN v USING (ord) GROUP BY sentence_id"
+)
