@@ -28,8 +28,9 @@ def good_detail(c: Column) -> Column:
 def contaminated(c: Column, labels: tuple[str, ...]) -> Column:
     """More than one case number, more than one date or more than six labels: several cards in one."""
     n = F.size(F.filter(F.array(*[F.lit(x) for x in labels]), lambda x: F.contains(c, x)))
-    many = lambda p: F.size(F.array_distinct(F.regexp_extract_all(c, F.lit(f"({p})")))) > 1
-    return F.coalesce(many(CASE) | many(DATE) | (n > 6), F.lit(False))
+    several = lambda t, p: F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(f"({p})")))) > 1
+    undated = F.regexp_replace(c, DATE, " ")  # a date holds what looks like a case number
+    return F.coalesce(several(undated, CASE) | several(c, DATE) | (n > 6), F.lit(False))
 
 
 def page_validity(cards: DataFrame, page: str) -> DataFrame:

@@ -373,7 +373,7 @@ ORACLE_SQL = {
  (SELECT page_number, count(*) AS cards, count(*) FILTER ({_P('case_number')}) AS with_case, count(*) FILTER ({_P('pdf_url')} OR {_P('text_url_or_action')}) AS with_document FROM {CARDS} GROUP BY 1))""",
     "card_metrics": f"""SELECT *, with_case / cards >= 0.6 AS case_ok, with_date / cards >= 0.6 AS date_ok, with_document / cards >= 0.6 AS document_ok, with_type / cards >= 0.6 AS type_ok FROM
  (SELECT count(*) AS cards, count(*) FILTER ({_P('case_number')}) AS with_case, count(*) FILTER ({_P('decision_date')}) AS with_date, count(*) FILTER ({_P('pdf_url')} OR {_P('text_url_or_action')}) AS with_document, count(*) FILTER ({_P('case_type')}) AS with_type FROM {CARDS})""",
-    "contaminated_cards": f"""SELECT ord, page_number FROM {CARDS} WHERE len(list_distinct(regexp_extract_all(raw_card_text, '{quality.CASE}'))) > 1 OR len(list_distinct(regexp_extract_all(raw_card_text, '{quality.DATE}'))) > 1
+    "contaminated_cards": f"""SELECT ord, page_number FROM {CARDS} WHERE len(list_distinct(regexp_extract_all(regexp_replace(raw_card_text, '{quality.DATE}', ' ', 'g'), '{quality.CASE}'))) > 1 OR len(list_distinct(regexp_extract_all(raw_card_text, '{quality.DATE}'))) > 1
  OR len(list_filter({sql.listed(LABELS)}, lambda x: contains(raw_card_text, x))) > 6""",
     "normal_texts": f"""SELECT ord, md5({sql.ranking_text('case_summary')}) AS ranking_md5, md5(CASE WHEN length({sql.squeeze('case_summary')}) <= 220 THEN {sql.squeeze('case_summary')} ELSE substr({sql.squeeze('case_summary')}, 1, 220) || '...' END) AS preview_md5,
  CASE WHEN length(case_summary) <= 60 THEN case_summary ELSE substr(case_summary, 1, 57) || '...' END AS clipped FROM research_result_items""",

@@ -59,3 +59,9 @@ def test_empty_results_have_an_envelope(spark):
     got = {r.query_id: r for r in cards.envelope(c, q, 5).collect()}
     assert got[1].result_count == 2 and [x.ord for x in got[1].results] == [7, 8] and got[1].diagnostics.fallback_used == 1
     assert got[2].result_count == 0 and not got[2].diagnostics.success
+
+
+def test_contaminated_cards(spark):
+    rows = [("01/05/2018 129/2026 Processo sumário",), ("01/05/2018 129/2026 e 130/2026",), ("01/05/2018 02/05/2018 129/2026",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "t string")
+    assert [r.x for r in df.select(quality.contaminated(F.col("t"), ("Data",)).alias("x")).collect()] == [False, True, True, False, False]
