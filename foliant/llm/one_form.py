@@ -82,7 +82,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, b.num_rows, 4000):
             con.register("src", pa.Table.from_batches([b.slice(lo, 4000)]))
-            yield from con.execute(sql).to_arrow_table().cast(_DIGEST_ARROW).to_batches()
+            yield from con.sql(sql).to_arrow_table().cast(_DIGEST_ARROW).to_batches()
             con.unregister("src")
 
 
@@ -93,7 +93,7 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, b.num_rows, 4000):
             con.register("src", pa.Table.from_batches([b.slice(lo, 4000)]))
-            yield from con.execute(sql).to_arrow_table().cast(schema).to_batches()
+            yield from con.sql(sql).to_arrow_table().cast(schema).to_batches()
             con.unregister("src")
 
 
@@ -118,7 +118,7 @@ def look_alike_pairs(df: DataFrame, id_col: str = "ord", text_col: str = "chunk_
     """
     rows = (
         _source(df, id_col, text_col)
-        .where(F.length("t") > 0)
+        .where((F.length("t") > 0) & F.col("ord").isNotNull())
         .mapInArrow(_digests, "ord bigint, look string, spelling string")
         .select("ord", F.unhex("look").alias("look"), F.unhex("spelling").alias("spelling"))
     )
