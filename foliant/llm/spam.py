@@ -7,7 +7,11 @@ their length speak for the prose of a language, so that keyword pages cannot mak
 their own words look normal. The second fits the curve ln(frequency) over
 ln(rank) of each page (slope, residual) and measures how far its distribution
 diverges from same-language prose; pages are then held against the prose pages of
-their language and length class.
+their language and length class. Each distinct text counts once in both, however
+many copies it has. Twice the length gives no fewer distinct words and at most
+twice as many, so classes of the same language with enough distinct pages bound
+what is usual in a class that has few pages or mostly poor ones; where no class
+has enough, and for words of no known language, fixed figures stand in.
 
 Defined results: null, empty and blank pages and pages without any letter are not
 judged and not listed; copies get the same verdict each; a page in several
@@ -21,9 +25,10 @@ as many as an average page has distinct words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,6 +45,12 @@ POOR = 0.7
 VERDICT, CREDIT = 2.55, 1.5
 #: a vocabulary as rich as prose speaks for a page unless it diverges by OUTRIGHT
 RICH, OUTRIGHT = 0.1, 3.0
+#: distinct pages from which a class speaks for its neighbours
+ENOUGH = 20
+#: most that the divergence of prose falls from one length class to the next: ln 2 for the entropy, and what medians stray
+FALL = 1.0
+#: prose of no known language: ln(words) over ln(tokens), entropy over ln(words), cross entropy
+WORDS_AT, WORDS_SLOPE, ENTROPY, CROSS_ENTROPY = 0.8, 0.66, 0.9, 5.5
 
 _TOKENS = r"\p{Han}|[a-z]+"
 _COUNT = f"""
@@ -51,13 +62,13 @@ UNION ALL
 SELECT lang, lb::INT, vb::INT, '' AS tok, sum(n)::BIGINT, count(DISTINCT doc)::BIGINT FROM c GROUP BY ALL
 """
 _CURVE = f"""
-WITH f AS (SELECT doc, tok, count(*) AS n FROM
-             (SELECT doc, unnest(regexp_extract_all(t, '{_TOKENS}')) AS tok FROM src) GROUP BY ALL),
-     r AS (SELECT f.doc, f.tok, f.n, p.p, p.lang, row_number() OVER (PARTITION BY f.doc ORDER BY f.n DESC, f.tok) AS r,
+WITH f AS (SELECT doc, any_value(digest) AS digest, any_value(label) AS label, tok, count(*) AS n FROM
+             (SELECT doc, digest, lang AS label, unnest(regexp_extract_all(t, '{_TOKENS}')) AS tok FROM src) GROUP BY doc, tok),
+     r AS (SELECT f.doc, f.digest, f.label, f.tok, f.n, p.p, p.lang, row_number() OVER (PARTITION BY f.doc ORDER BY f.n DESC, f.tok) AS r,
                   sum(f.n) OVER (PARTITION BY f.doc) AS total
            FROM f LEFT JOIN profile p ON p.tok = f.tok)
-SELECT doc, max(total)::BIGINT AS tokens, count(*)::BIGINT AS words,
-       coalesce(max_by(lang, w), '') AS lang,
+SELECT doc, any_value(digest)::BIGINT AS digest, max(total)::BIGINT AS tokens, count(*)::BIGINT AS words,
+       coalesce(max_by(lang, w), '') AS lang, any_value(label) AS label,
        coalesce(any_value(slope), 0)::DOUBLE AS slope, coalesce(any_value(residual), 0)::DOUBLE AS residual,
        any_value(ce)::DOUBLE AS cross_entropy, any_value(kl)::DOUBLE AS divergence
 FROM (SELECT *, sum(CASE WHEN lang IS NOT NULL THEN n END) OVER (PARTITION BY doc, lang) AS w,
@@ -74,7 +85,7 @@ def _folded(b: pa.RecordBatch) -> pa.Table:
     from .fold import fold
 
     texts = [fold(t) if t else "" for t in b.column("t").to_pylist()]
-    return pa.table({"doc": b.column("doc"), "lang": b.column("lang"), "t": texts})
+    return pa.table({c: texts if c == "t" else b.column(c) for c in b.schema.names})
 
 
 def _run(sql: str, schema: pa.Schema, profile: pa.Table | None = None):
@@ -97,31 +108,50 @@ _COUNT_SCHEMA = pa.schema(
     [("lang", pa.string()), ("lb", pa.int32()), ("vb", pa.int32()), ("tok", pa.string()), ("n", pa.int64()), ("df", pa.int64())]
 )
 _CURVE_SCHEMA = pa.schema(
-    [("doc", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]
+    [("doc", pa.int64()), ("digest", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64()), ("lang", pa.string()), ("label", pa.string())]
     + [(c, pa.float64()) for c in ("slope", "residual", "cross_entropy", "divergence")]
 )
 
 
 def _source(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     code = F.substring(F.lower(F.trim(F.coalesce(df[lang_col], F.lit("")))), 1, 2)
-    return df.select(df[id_col].cast("bigint").alias("doc"), code.alias("lang"), df[text_col].alias("t")).where(F.length("t") > 0)
+    src = df.select(df[id_col].cast("bigint").alias("doc"), code.alias("lang"), df[text_col].alias("t")).where(F.length("t") > 0)
+    # the letters alone: copies that differ in blanks, figures or marks are copies
+    return src.withColumn("digest", F.xxhash64(F.regexp_replace(F.lower("t"), r"[^\p{L}]+", "")))
+
+
+def _fixed_words(length_class: Column) -> Column:
+    return F.lit(WORDS_AT) + (length_class + 0.5) * (WORDS_SLOPE * log(2))
+
+
+def _at_least(classes: DataFrame) -> DataFrame:
+    """(lang, lb, least): what other classes of the language leave as ln(words) of prose in a class; a row a class."""
+    donors = classes.where(F.col("pages") >= ENOUGH).select("lang", F.col("lb").alias("j"), F.col("usual").alias("u"))
+    gap = F.greatest(F.col("j") - F.col("lb"), F.lit(0))
+    floors = classes.join(F.broadcast(donors), "lang", "left").groupBy("lang", "lb").agg(F.max(F.col("u") - gap * log(2)).alias("least"))
+    return floors.select("lang", "lb", F.coalesce("least", _fixed_words(F.col("lb"))).alias("least"))
 
 
 def prose_profile(src: DataFrame) -> DataFrame:
     """(tok, p, lang): probability of each usual word in the prose of the language that uses it most."""
-    counts = src.mapInArrow(_run(_COUNT, _COUNT_SCHEMA), "lang string, lb int, vb int, tok string, n bigint, df bigint")
+    once = src.where("lang <> ''").dropDuplicates(["lang", "digest"]).select("doc", "lang", "t")
+    counts = once.mapInArrow(_run(_COUNT, _COUNT_SCHEMA), "lang string, lb int, vb int, tok string, n bigint, df bigint")
     counts = cut_lineage(
-        counts.where("lang <> ''").groupBy("lang", "lb", "vb", "tok").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+        counts.groupBy("lang", "lb", "vb", "tok").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     )
     pages = counts.where("tok = ''")
     # weighted median of the vocabulary class, per language and length class: a few rows each
     klass = W.partitionBy("lang", "lb")
     below = F.sum("df").over(klass.orderBy("vb"))
-    rich = (
+    pages = (
         pages.withColumn("below", below)
         .withColumn("all", F.sum("df").over(klass))
         .withColumn("median", F.min(F.when(F.col("below") * 2 >= F.col("all"), F.col("vb"))).over(klass))
-        .where(F.col("vb") >= F.col("median") - int(10 * POOR))
+    )
+    classes = pages.groupBy("lang", "lb").agg((F.max("median") / 10).alias("usual"), F.max("all").alias("pages"))
+    rich = (
+        pages.join(F.broadcast(_at_least(classes)), ["lang", "lb"])
+        .where(F.col("vb") >= F.greatest(F.col("median"), F.floor(F.col("least") * 10)) - int(10 * POOR))
         .select("lang", "lb", "vb")
     )
     kept = counts.join(F.broadcast(rich), ["lang", "lb", "vb"])  # classes: languages x log2 lengths x tenths of log vocabulary
@@ -145,23 +175,42 @@ def page_curves(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     profile = prose_profile(src).toArrow()  # bounded, see the module text
     curves = src.mapInArrow(
         _run(_CURVE, _CURVE_SCHEMA, profile),
-        "doc bigint, tokens bigint, words bigint, lang string, slope double, residual double, cross_entropy double, divergence double",
+        "doc bigint, digest bigint, tokens bigint, words bigint, lang string, label string, slope double, residual double, cross_entropy double, divergence double",
     )
+    # no word of any prose: the language the page is said to have, else none
+    stray = F.col("lang") == ""
+    said = F.when(F.col("label").isin(profile["lang"].unique().to_pylist()), F.col("label")).otherwise("")
+    curves = curves.withColumn("stray", stray).withColumn("lang", F.when(stray, said).otherwise(F.col("lang"))).drop("label")
     curves = cut_lineage(curves.withColumn("length_class", F.floor(F.log2("tokens")).cast("int")))
-    rich = curves.groupBy("lang", "length_class").agg(F.percentile_approx(F.ln("words"), 0.5, 1000).alias("usual_words"))
-    kept = curves.join(F.broadcast(rich), ["lang", "length_class"])  # a row per language and log2 length
-    prose = kept.where(F.ln("words") >= F.col("usual_words") - POOR).groupBy("lang", "length_class").agg(
-        *[F.percentile_approx(c, 0.5, 1000).alias(f"usual_{c}") for c in ("slope", "residual", "divergence")]
+    once = curves.dropDuplicates(["lang", "digest"]).withColumn("lb", F.col("length_class"))
+    known = F.col("lang") != ""
+    own = once.groupBy("lang", "lb").agg(F.percentile_approx(F.ln("words"), 0.5, 1000).alias("usual"), F.count("*").alias("pages"))
+    rich = own.join(F.broadcast(_at_least(own)), ["lang", "lb"]).select(
+        "lang", "lb", F.when(known, F.greatest("usual", "least")).otherwise(_fixed_words(F.col("lb"))).alias("usual_words")
+    )
+    prose = once.join(F.broadcast(rich), ["lang", "lb"]).where(known & ~F.col("stray") & (F.ln("words") >= F.col("usual_words") - POOR))
+    rare = prose.groupBy("lang").agg(F.percentile_approx("cross_entropy", 0.5, 1000).alias("usual_cross_entropy"))
+    figures = prose.groupBy("lang", "lb").agg(
+        F.count("*").alias("pages"), *[F.percentile_approx(c, 0.5, 1000).alias(f"usual_{c}") for c in ("slope", "residual", "divergence")]
     )
-    rare = kept.where(F.ln("words") >= F.col("usual_words") - POOR).groupBy("lang").agg(
-        F.percentile_approx("cross_entropy", 0.5, 1000).alias("usual_cross_entropy")
+    donors = figures.where(F.col("pages") >= ENOUGH).select("lang", F.col("lb").alias("j"), F.col("usual_divergence").alias("u"))
+    caps = rich.join(F.broadcast(donors), "lang").groupBy("lang", "lb").agg(
+        F.min(F.col("u") + F.greatest(F.col("j") - F.col("lb"), F.lit(0)) * FALL).alias("most")
     )
-    held = kept.join(F.broadcast(prose), ["lang", "length_class"], "left").join(F.broadcast(rare), "lang", "left")
+    classes = rich.join(F.broadcast(figures), ["lang", "lb"], "left").join(F.broadcast(caps), ["lang", "lb"], "left").join(F.broadcast(rare), "lang", "left")
+    classes = classes.withColumn("usual_cross_entropy", F.when(known, F.coalesce("usual_cross_entropy", F.lit(CROSS_ENTROPY))).otherwise(-log(FLOOR)))
+    # a class without any prose, in a language without a class that speaks for it
+    fixed = F.col("usual_cross_entropy") - ENTROPY * F.col("usual_words")
+    classes = classes.withColumn("usual_divergence", F.coalesce(F.least("usual_divergence", "most"), fixed))
+    held = curves.join(
+        F.broadcast(classes.drop("pages", "most").withColumnRenamed("lb", "length_class")), ["lang", "length_class"]
+    )  # a row per language and log2 length
     excess = F.col("divergence") - F.col("usual_divergence")
     poorer = F.col("usual_words") - F.ln("words")
     rarer = F.col("cross_entropy") - F.col("usual_cross_entropy")
     score = excess + (F.least(rarer, F.lit(CREDIT)) + F.least(poorer, F.lit(CREDIT))) / 2
-    verdict = (score >= VERDICT) & ((poorer > RICH) | (excess > OUTRIGHT))
+    # prose said to be in another language diverges as much, but is not poor
+    verdict = (score >= VERDICT) & F.when(F.col("stray"), poorer > POOR).otherwise((poorer > RICH) | (excess > OUTRIGHT))
     return held.withColumn("excess", excess).withColumn("score", score).withColumn("is_spam", F.coalesce(verdict, F.lit(False)))
 
 

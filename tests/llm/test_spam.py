@@ -33,3 +33,30 @@ def test_copies_share_the_verdict_and_empty_table(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, tok string")
     assert 2000 in {r.doc_id for r in spam_pages(df).collect()}
     assert page_curves(df.limit(0)).count() == 0
+
+
+SCHEMA = "doc_id bigint, text string, lang string, tok string"
+
+
+def test_one_spam_page_as_a_third_of_all_rows(spark):
+    r = random.Random(5)
+    keys = " ".join(r.choice(KEYS) for _ in range(80))
+    other = " | ".join(r.choice(KEYS) for _ in range(90))
+    rows = [(i, prose(r, r.randrange(8, 40)), "pt", "x") for i in range(400)]
+    rows += [(1000 + i, keys, "pt", "x") for i in range(200)] + [(2000, other, "pt", "x")]
+    assert {x.doc_id for x in spam_pages(spark.createDataFrame(rows, SCHEMA)).collect()} == set(range(1000, 1200)) | {2000}
+
+
+def test_a_length_class_of_spam_alone(spark):
+    r = random.Random(6)
+    rows = [(i, prose(r, r.randrange(8, 40)), "pt", "x") for i in range(400)]
+    rows += [(1000 + i, " ".join(r.choice(KEYS) for _ in range(1400 + i)), "pt", "x") for i in range(30)] + [(2000, " ".join(KEYS * 900), "pt", "x")]
+    assert {x.doc_id for x in spam_pages(spark.createDataFrame(rows, SCHEMA)).collect()} == set(range(1000, 1030)) | {2000}
+
+
+def test_no_known_language_has_a_fixed_reference(spark):
+    r = random.Random(7)
+    words = ["".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(3)) for _ in range(700)]
+    rows = [(i, prose(r, r.randrange(8, 40)), "pt", "x") for i in range(400)]
+    rows += [(1000, " ".join(r.choice(words[:9]) for _ in range(900)), "", "x"), (1001, " ".join(words), None, "x")]
+    assert {x.doc_id for x in spam_pages(spark.createDataFrame(rows, SCHEMA)).collect()} == {1000}
