@@ -33,6 +33,11 @@ def p2_one_form(spark: SparkSession, d: str) -> DataFrame:
     return one_form.one_form(table(spark, d, "research_result_items"), text_col="case_summary")
 
 
+def p2_chunk_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk in its one form."""
+    return one_form.one_form(table(spark, d, "case_chunks"), text_col="chunk_text")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The row whose value survives, per group and field."""
     merged = survivor.merge_row_survivors(table(spark, d, "merge_case_rows"))
@@ -107,7 +112,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_one_form, p3_found, p3_records, p4_found, p4_shares, p6_found, p6_pieces, p7_ids, p7_decoded, p8_found, p8_items, p9_found)
+    for f in (p1_found, p2_found, p2_one_form, p2_chunk_forms, p3_found, p3_records, p4_found, p4_shares, p6_found, p6_pieces, p7_ids, p7_decoded, p8_found, p8_items, p9_found)
 }
 
 _VALUE = "({0} IS NOT NULL AND lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13) || '　')) NOT IN ({1}))"
@@ -151,6 +156,7 @@ def _p2_sql() -> str:
 
 ORACLE_SQL["p2_found"] = _p2_sql()
 ORACLE_SQL["p2_one_form"] = f"SELECT ord, c AS one_form FROM ({one_form.one_form_query('research_result_items', 'case_summary', 'ord')})"
+ORACLE_SQL["p2_chunk_forms"] = f"SELECT ord, c AS one_form FROM ({one_form.one_form_query('case_chunks', 'chunk_text', 'ord')})"
 ORACLE_SQL["p3_records"] = (
     "WITH f AS (" + ORACLE_SQL["p3_found"] + "), g AS (SELECT sentence_id, field_name, ord FROM f WHERE table_name = 'case_metadata'), v AS (SELECT ord, "
     + ", ".join(f"any_value({c}) AS {c}" for c in survivor.METADATA_FIELDS)

@@ -36,3 +36,17 @@ def test_nulls_and_empty_table(spark):
     assert pairs(spark, [(1, None, None, None), (2, "", None, None)]) == set()
     df = spark.createDataFrame([], "ord bigint, chunk_text string")
     assert look_alike_pairs(df).count() == 0 and one_form(df).count() == 0
+
+
+def test_chunks_come_out_in_one_form(spark, tmp_path):
+    from foliant.llm.queries import ORACLE_SQL, QUERIES
+
+    rows = [(i, t) for i, t in enumerate([*SAME, None, ""])]
+    spark.createDataFrame(rows, "ord bigint, chunk_text string").write.parquet(f"{tmp_path}/case_chunks.parquet")
+    got = {(r["ord"], r.one_form) for r in QUERIES["p2_chunk_forms"](spark, str(tmp_path)).collect()}
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW case_chunks AS FROM read_parquet('{tmp_path}/case_chunks.parquet/*.parquet')")
+    assert got == set(con.execute(ORACLE_SQL["p2_chunk_forms"]).fetchall())
+    assert len({f for i, f in got if i < len(SAME)}) == 1 and len(got) == len(rows)
