@@ -158,29 +158,38 @@ def same_figure(f: str, g: str) -> bool:
     return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
 
 
-def _stretches(q: np.ndarray, k: np.ndarray, band: np.ndarray, common: np.ndarray, size: int, win: int) -> tuple[float, float, int, int] | None:
-    """Best stretch of meetings (item place q, document place k): share, own share, first and last document place."""
-    best = None
-    values, counts = np.unique(band, return_counts=True)
-    for b in values[np.argsort(-counts)][:4]:
-        sel = np.abs(band - b) <= 1
-        order = np.argsort(k[sel], kind="stable")
-        qs, ks, cs = q[sel][order], k[sel][order], common[sel][order]
+def _stretches(q: np.ndarray, k: np.ndarray, band: np.ndarray, common: np.ndarray, size: int, win: int) -> list[tuple[float, int, int, int]]:
+    """Stretches of meetings (item place q, document place k), longest first: share, own share, first and last document place."""
+    found = []
+    by_band = np.argsort(band, kind="stable")
+    ordered = band[by_band]
+    values = np.unique(ordered)
+    # a band with its neighbours: every meeting is looked at three times, however many bands there are
+    for lo, hi in zip(np.searchsorted(ordered, values - 1).tolist(), np.searchsorted(ordered, values + 1, "right").tolist(), strict=True):
+        if hi - lo < 0.05 * size:
+            continue
+        sel = by_band[lo:hi]
+        sel = sel[np.argsort(k[sel], kind="stable")]
+        qs, ks, cs = q[sel], k[sel], common[sel]
         cuts = np.concatenate([[0], np.flatnonzero(ks[1:] - ks[:-1] > _GAP) + 1, [len(ks)]])
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if hi - lo < 0.05 * size:
+        for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if end - first < 0.05 * size:
                 continue
-            part = slice(lo, hi)
+            part = slice(first, end)
             places = np.unique(qs[part])
             span = int(places[-1] - places[0]) + win
             covered = win + int(np.minimum(np.diff(places), win).sum())
             own = np.unique(qs[part][~cs[part]])
             own_covered = (win + int(np.minimum(np.diff(own), win).sum())) if len(own) else 0
-            share = span / size
             # a changed word at an end hides up to a window of the stretch
-            if (span + win) / size >= SHARE and covered / span >= DENSITY and (best is None or share > best[0]):
-                best = (share, own_covered, int(ks[lo]), int(ks[hi - 1]) + win)
-    return best
+            if (span + win) / size >= SHARE and covered / span >= DENSITY:
+                found.append((span / size, own_covered, int(ks[first]), int(ks[end - 1]) + win))
+    # neighbouring bands see one stretch several times: the longest stands for what it covers
+    kept: list[tuple[float, int, int, int]] = []
+    for s in sorted(found, key=lambda s: -s[0]):
+        if all(2 * (min(s[3], t[3]) - max(s[2], t[2])) < s[3] - s[2] for t in kept):
+            kept.append(s)
+    return kept
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("share", pa.float64()), ("slots_equal", pa.float64())])
@@ -224,15 +233,23 @@ def _held(block: _Block, text: str) -> Iterator[tuple[int, float, float]]:
     enough = n + follows >= 0.08 * block.sizes[keys // width]
     for r in np.unique(keys[enough] // width):
         sel = rows == r
-        got = _stretches(q[sel], k[sel], band[sel], block.common[i[sel]], size[r], block.win[r])
-        if got:
-            share, own, a, z = got
+        theirs, rest = block.figures[r], None
+        for share, own, a, z in _stretches(q[sel], k[sel], band[sel], block.common[i[sel]], size[r], block.win[r]):
             mine = figures(_TAG.sub(" ", text)[int(at[a]) : int(at[min(z, len(at)) - 1]) + 1])
-            theirs = block.figures[r]
             if len(mine) >= 2:
-                yield block.id[r], share, sum(any(same_figure(f, g) for g in theirs) for f in mine) / len(mine)
+                equal = sum(any(same_figure(f, g) for g in theirs) for f in mine) / len(mine)
             elif own / size[r] >= OWN:
-                yield block.id[r], share, 1.0
+                equal = 1.0
+            else:
+                continue
+            if equal >= SLOTS:
+                yield block.id[r], share, equal
+                break
+            rest = rest or (block.id[r], share, equal)
+        else:
+            # no stretch with figures of the item: the longest one is another filling of the template
+            if rest:
+                yield rest
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -41,3 +41,18 @@ def test_blocks_give_the_same(spark, monkeypatch):
     a = set(run(spark, [(1, PT), (2, ZH)]))
     monkeypatch.setattr(leakage, "BLOCK", 10)
     assert set(run(spark, [(1, PT), (2, ZH)])) == a == {(1, 1), (2, 2)}
+
+
+def test_a_true_stretch_beside_a_longer_refilled_copy(spark):
+    refilled = PT.translate(str.maketrans("0123456789", "9876543210"))
+    got = run(spark, [(1, refilled + PROSE * 5 + PT[100:330]), (2, refilled + PROSE * 5)])
+    assert got[1, 1].slots_equal >= SLOTS and got[1, 1].share < 0.7
+    assert got[2, 1].slots_equal < SLOTS and got[2, 1].share > 0.9
+
+
+def test_repeats_of_a_clause_do_not_hide_the_stretch(spark):
+    clause, filler = PT[:90], "Outra matéria sem relação alguma ocupa o resto deste parágrafo, palavra por palavra. " * 3
+    # one letter in twenty-five changed: few windows are left
+    reworded = "".join("x" if i % 25 == 0 and c.isalpha() else c for i, c in enumerate(PT[140:]))
+    got = run(spark, [(1, (clause + filler) * 12 + reworded), (2, (clause + filler) * 12)])
+    assert set(got) == {(1, 1)} and got[1, 1].slots_equal >= SLOTS
