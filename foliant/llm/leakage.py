@@ -42,15 +42,16 @@ _MASK = np.uint64((1 << 24) - 1)
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|&[a-z]{2,6};|\[([^\[\]]{0,200})\]\([^()\s]{0,300}\)")
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Signs of the template of a text and the position of each in the text without markup."""
+def template(text: str) -> tuple[np.ndarray, np.ndarray, str]:
+    """Signs of the template of a text, the position of each in the text without markup, and that text."""
     from .fold import BASE, _SPELLED_AT, SPELLED, codes_of
 
     if "<" in text or "](" in text or "&" in text:
         text = _TAG.sub(lambda m: m.group(1) or " ", text)
     codes = codes_of(text)
     if _SPELLED_AT[codes].any():
-        codes = codes_of("".join(SPELLED.get(c, c) for c in text))
+        text = "".join(SPELLED.get(c, c) for c in text)
+        codes = codes_of(text)
     signs = BASE[codes]
     digit = (signs >= 48) & (signs <= 57)
     word = digit | ((signs >= 97) & (signs <= 122)) | _letters()[signs]
@@ -60,7 +61,7 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray]:
         first = np.ones(len(at), dtype=bool)
         first[1:] = ~((signs[1:] == _ZERO) & (signs[:-1] == _ZERO))
         signs, at = signs[first], at[first]
-    return signs, at
+    return signs, at, text
 
 
 _LETTERS: list[np.ndarray] = []
@@ -102,7 +103,7 @@ class _Block:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         hashes, rows, places, self.size, self.id, self.win, self.figures = [], [], [], [], [], [], []
         for k, (item_id, text) in enumerate(items):
-            signs, _ = template(text)
+            signs, _, plain = template(text)
             w = HAN if _is_han(signs).mean() > 0.4 else LATIN
             h9, h20 = _windows(signs) if len(signs) >= LATIN + 1 else (np.zeros(0, np.uint64),) * 2
             h = h9 if w == HAN else h20
@@ -112,7 +113,7 @@ class _Block:
             self.size.append(len(signs))
             self.id.append(item_id)
             self.win.append(w)
-            self.figures.append(figures(text))
+            self.figures.append(figures(plain))
         h, self.row, self.place = np.concatenate(hashes), np.concatenate(rows), np.concatenate(places)
         order = np.argsort(h, kind="stable")
         self.h, self.row, self.place = h[order], self.row[order], self.place[order]
@@ -212,7 +213,7 @@ def _scan(items: list[tuple[int, str]]):
 
 
 def _held(block: _Block, text: str) -> Iterator[tuple[int, float, float]]:
-    signs, at = template(text)
+    signs, at, plain = template(text)
     if len(signs) <= LATIN:
         return
     h9, h20 = _windows(signs)
@@ -235,7 +236,7 @@ def _held(block: _Block, text: str) -> Iterator[tuple[int, float, float]]:
         sel = rows == r
         theirs, rest = block.figures[r], None
         for share, own, a, z in _stretches(q[sel], k[sel], band[sel], block.common[i[sel]], size[r], block.win[r]):
-            mine = figures(_TAG.sub(" ", text)[int(at[a]) : int(at[min(z, len(at)) - 1]) + 1])
+            mine = figures(plain[int(at[a]) : int(at[min(z, len(at)) - 1]) + 1])
             if len(mine) >= 2:
                 equal = sum(any(same_figure(f, g) for g in theirs) for f in mine) / len(mine)
             elif own / size[r] >= OWN:

@@ -56,3 +56,13 @@ def test_repeats_of_a_clause_do_not_hide_the_stretch(spark):
     reworded = "".join("x" if i % 25 == 0 and c.isalpha() else c for i, c in enumerate(PT[140:]))
     got = run(spark, [(1, (clause + filler) * 12 + reworded), (2, (clause + filler) * 12)])
     assert set(got) == {(1, 1)} and got[1, 1].slots_equal >= SLOTS
+
+
+def test_figures_are_read_where_the_stretch_is(spark):
+    menu = "".join(f"[Secção de processos cíveis número {i}](https://exemplo.test/{i}) " for i in range(20))
+    foreign = PROSE + "Ficaram pagas as custas de 55.555,11 e de 44.444,22 patacas. " * 9
+    spelled = "Oﬃcio… " * 40
+    labelled = PT.replace("73.180,19", "[73.180,19](https://exemplo.test/a)").replace("67.889,34", "[67.889,34](https://exemplo.test/b)")
+    got = run(spark, [(1, menu + PT + foreign), (2, spelled + PT + foreign), (3, labelled + foreign), (4, menu + PT.translate(str.maketrans("0123456789", "9876543210")) + PT[240:300])])
+    assert {k for k, r in got.items() if r.slots_equal >= SLOTS} == {(1, 1), (2, 1), (3, 1)}
+    assert got[1, 1].slots_equal == got[2, 1].slots_equal == got[3, 1].slots_equal == 1.0
