@@ -53,6 +53,12 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return survivor.surviving_records(rows, survivor.metadata_survivors(rows, table(spark, d, "source_trust")), survivor.METADATA_FIELDS)
 
 
+def p3_merge_records(spark: SparkSession, d: str) -> DataFrame:
+    """One surviving record per decision of merge_case_rows."""
+    rows = table(spark, d, "merge_case_rows")
+    return survivor.surviving_records(rows, survivor.merge_row_survivors(rows), survivor.MERGE_FIELDS)
+
+
 def _p4_verdicts(spark: SparkSession, d: str) -> DataFrame:
     previews = truncation.field_values(table(spark, d, "citation_records"), 0, "retrieval_source", "chunk_text_preview")
     summaries = truncation.field_values(table(spark, d, "research_result_items"), 1, "metadata_source", "case_summary")
@@ -112,7 +118,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_one_form, p2_chunk_forms, p3_found, p3_records, p4_found, p4_shares, p6_found, p6_pieces, p7_ids, p7_decoded, p8_found, p8_items, p9_found)
+    for f in (p1_found, p2_found, p2_one_form, p2_chunk_forms, p3_found, p3_records, p3_merge_records, p4_found, p4_shares, p6_found, p6_pieces, p7_ids, p7_decoded, p8_found, p8_items, p9_found)
 }
 
 _VALUE = "({0} IS NOT NULL AND lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13) || '　')) NOT IN ({1}))"
@@ -164,3 +170,10 @@ ORACLE_SQL["p3_records"] = (
     + ", ".join(f"max(CASE WHEN field_name = '{c}' THEN {c} END) AS {c}" for c in survivor.METADATA_FIELDS)
     + " FROM g JOIN v USING (ord) GROUP BY sentence_id"
 )
+ORACLE_SQL["p3_merge_records"] = (
+    "WITH f AS (" + ORACLE_SQL["p3_found"] + "), g AS (SELECT sentence_id, field_name, ord FROM f WHERE table_name = 'merge_case_rows'), v AS (SELECT ord, "
+    + ", ".join(f"any_value({c}) AS {c}" for c in survivor.MERGE_FIELDS)
+    + " FROM merge_case_rows GROUP BY ord) SELECT sentence_id, "
+    + ", ".join(f"max(CASE WHEN field_name = '{c}' THEN {c} END) AS {c}" for c in survivor.MERGE_FIELDS)
+    + " FROM g JOIN v USING (ord) GROUP BY sentence_id"
+)

@@ -63,3 +63,13 @@ def test_merge_rows_latest_then_smallest(spark):
     df = spark.createDataFrame(rows, "ord bigint, sentence_id string, authoritative_case_number string, authoritative_decision_date string, court string, case_type string, full_text string, ingested_at timestamp")
     got = {(r.field_name, r.ord) for r in survivor.merge_row_survivors(df).collect()}
     assert got == {("authoritative_case_number", 1), ("court", 1), ("full_text", 1)}
+
+
+def test_merge_rows_come_out_as_records(spark, tmp_path):
+    from foliant.llm.queries import QUERIES
+
+    rows = [(1, "5", "1/2020", None, "A", None, "x", T0), (2, "5", "2/2020", "-", "B", None, None, T0 - dt.timedelta(hours=1)), (3, "005", None, "2020-01-02", "C", None, "z", None), (4, "6", "9/2020", None, "D", None, "y", T0)]
+    df = spark.createDataFrame(rows, "ord bigint, sentence_id string, authoritative_case_number string, authoritative_decision_date string, court string, case_type string, full_text string, ingested_at timestamp")
+    df.write.parquet(f"{tmp_path}/merge_case_rows.parquet")
+    got = [tuple(r) for r in QUERIES["p3_merge_records"](spark, str(tmp_path)).collect()]
+    assert got == [("5", "1/2020", "2020-01-02", "A", None, "x")]
