@@ -1,14 +1,19 @@
 """Best surviving record of each group of duplicates, field by field.
 
-Skyline selection. Every (group, field) holds the rows with a value there; a row
-is dominated when another is at least as trusted and at least as recent, and
-better in one of the two (completeness is the presence of the field itself).
-Rows of one trust differ by recency alone, so each trust level keeps only its
-most recent row: a map-side ``max`` that leaves a handful of rows per group and
-field however many copies a group holds. The undominated rows of those form
-dominance layer 0, and so on; the lexicographic policy (trust, recency, smallest
-ordinal) picks within the layers, so a field empty in the best record is filled
-from the next layers.
+Skyline selection over whole records. A record is dominated when another of its
+group is at least as complete, as trusted and as recent, and better in one of the
+three; it is at least as complete when it has a value in every field the other has
+one in. Peeling gives layers: layer 0 is undominated, layer n undominated once the
+layers above are gone. The lexicographic policy (trust, recency, smallest ordinal)
+orders each layer; the first record of layer 0 is the survivor, its nulls are
+filled from the next of the layer and then from the layers below. Whoever holds
+the most trusted and then latest value of a field is undominated, as a record that
+dominated it would hold a better value; so the fill gives just that value.
+
+Rows of one group that are equal in trust and in the fields they fill differ by
+recency alone: of those only the most recent is kept, by a map-side ``max``. That
+leaves at most (trust levels) x 2^(fields) records of a group however many copies
+it holds, 5 x 32 for the given tables; these are peeled in one array.
 
 Defined results: rows without an identity are in no group; groups of one row give
 nothing; nulls, blanks and marks for "no value" never survive; a field without any
@@ -21,7 +26,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Marks that stand for "no value", lower case.
@@ -57,38 +61,52 @@ def source_key(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)^\W+|\W+$", ""), r"(?U)[\W_]+", "_")
 
 
-def field_candidates(df: DataFrame, fields: tuple[str, ...], time_col: str, trust: Column) -> DataFrame:
-    """Most recent row of each (group, field, trust level), the rest being dominated or later in a tie."""
+def best_records(df: DataFrame, fields: tuple[str, ...], time_col: str, trust: Column) -> DataFrame:
+    """(sentence_id, trust, held, at, neg, n): the most recent row of each (group, trust, fields held); ``n`` rows stand behind it."""
+    held = reduce(lambda a, b: a.bitwiseOR(b), [F.when(has_value(F.col(f)), F.lit(1 << i)).otherwise(0) for i, f in enumerate(fields)])
+    at = F.unix_micros(F.col(time_col).cast("timestamp_ntz").cast("timestamp"))
     rows = df.select(
         sentence_key(df["sentence_id"]).alias("sentence_id"),
-        F.col("ord").cast("bigint").alias("ord"),
-        F.col(time_col).cast("timestamp_ntz").alias("at"),
         trust.cast("int").alias("trust"),
-        F.array_compact(F.array(*[F.when(has_value(F.col(f)), F.lit(f)) for f in fields])).alias("held"),
+        held.alias("held"),
+        F.struct(F.coalesce(at, F.lit(-(2**62))).alias("at"), (-F.col("ord").cast("bigint")).alias("neg")).alias("recency"),
     ).where("sentence_id IS NOT NULL")
-    # counts and candidates in one aggregate: the row itself counts under the name ''
-    slots = rows.select("sentence_id", "ord", "at", "trust", F.explode(F.array_append("held", F.lit(""))).alias("field_name"))
-    return slots.groupBy("sentence_id", "field_name", "trust").agg(
-        F.max(F.struct("at", (-F.col("ord")).alias("neg"))).alias("best"), F.count("*").alias("n")
-    )
+    best = rows.groupBy("sentence_id", "trust", "held").agg(F.max("recency").alias("best"), F.count("*").alias("n"))
+    return best.select("sentence_id", "trust", "held", "best.at", "best.neg", "n")
+
+
+def peeled(records: Column) -> Column:
+    """The records (trust, held, at, neg) of a group with their dominance layer, in the order of policy.
+
+    Sorted by trust, recency and fields held, a record comes after all that
+    dominate it, so its layer is one more than the deepest layer of those.
+    """
+    later = lambda a, b: (a["at"] > b["at"]) | ((a["at"] == b["at"]) & (a["neg"] >= b["neg"]))
+    over = lambda a, b: (a["trust"] >= b["trust"]) & (a["held"].bitwiseAND(b["held"]) == b["held"]) & later(a, b)
+
+    def put(done: Column, x: Column) -> Column:
+        above = F.array_max(F.transform(F.filter(done, lambda r: over(r, x)), lambda r: r["layer"]))
+        return F.concat(done, F.array(F.struct((F.coalesce(above, F.lit(-1)) + 1).alias("layer"), x["trust"].alias("trust"), x["at"].alias("at"), x["neg"].alias("neg"), x["held"].alias("held"))))
+
+    ordered = F.reverse(F.array_sort(records))
+    start = F.array().cast("array<struct<layer:int,trust:int,at:bigint,neg:bigint,held:int>>")
+    return F.aggregate(ordered, start, put)
+
+
+def layers(df: DataFrame, fields: tuple[str, ...], time_col: str, trust: Column) -> DataFrame:
+    """(sentence_id, records): the records of every group of two or more rows, layer by layer in the order of policy."""
+    record = F.struct("trust", "at", "neg", "held")
+    groups = best_records(df, fields, time_col, trust).groupBy("sentence_id").agg(F.collect_list(record).alias("records"), F.sum("n").alias("n"))
+    by_layer = F.transform(peeled(F.col("records")), lambda r: F.struct(r["layer"].alias("layer"), (-r["trust"].cast("bigint")).alias("low"), (-r["at"]).alias("old"), (-r["neg"]).alias("ord"), r["held"].alias("held")))
+    return groups.where("n > 1").select("sentence_id", F.array_sort(by_layer).alias("records"))
 
 
 def survivors(df: DataFrame, fields: tuple[str, ...], time_col: str, trust: Column) -> DataFrame:
     """(sentence_id, field_name, ord, layer) for every field of every group of two or more rows."""
-    levels = field_candidates(df, fields, time_col, trust)
-    group = W.partitionBy("sentence_id")
-    levels = levels.withColumn("rows_in_group", F.sum(F.when(F.col("field_name") == "", F.col("n"))).over(group)).where(
-        "rows_in_group > 1 AND field_name <> ''"
-    )
-    # a level is undominated where no more trusted level is as recent: layers by running maximum
-    slot = W.partitionBy("sentence_id", "field_name").orderBy(F.col("trust").desc())
-    above = F.max(F.col("best.at")).over(slot.rowsBetween(W.unboundedPreceding, -1))
-    layered = levels.withColumn("dominated", F.coalesce(above >= F.col("best.at"), above.isNotNull(), F.lit(False)).cast("int"))
-    layered = layered.withColumn("layer", F.sum("dominated").over(slot))
-    pick = W.partitionBy("sentence_id", "field_name").orderBy(F.col("trust").desc(), F.col("best").desc())
-    return layered.withColumn("pick", F.row_number().over(pick)).where("pick = 1").select(
-        "sentence_id", "field_name", (-F.col("best.neg")).alias("ord"), "layer"
-    )
+    first = lambda bit: F.try_element_at(F.filter("records", lambda r: r["held"].bitwiseAND(F.lit(bit)) != 0), F.lit(1))
+    picks = [F.struct(F.lit(f).alias("field_name"), first(1 << i).alias("r")) for i, f in enumerate(fields)]
+    found = layers(df, fields, time_col, trust).select("sentence_id", F.explode(F.array(*picks)).alias("x"))
+    return found.where("x.r IS NOT NULL").select("sentence_id", "x.field_name", F.col("x.r.ord").alias("ord"), F.col("x.r.layer").alias("layer"))
 
 
 def merge_row_survivors(df: DataFrame) -> DataFrame:

@@ -73,3 +73,34 @@ def test_merge_rows_come_out_as_records(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/merge_case_rows.parquet")
     got = [tuple(r) for r in QUERIES["p3_merge_records"](spark, str(tmp_path)).collect()]
     assert got == [("5", "1/2020", "2020-01-02", "A", None, "x")]
+
+
+def test_layers_are_peeled(spark):
+    from pyspark.sql import functions as F
+
+    hour = dt.timedelta(hours=1)
+    # (trust, time): 3,5 and 1,6 are undominated, 2,3 is under the first; the last three hold fewer fields
+    rows = [(1, "9", "A", "b", T0 + 5 * hour, 3), (2, "9", "A", "b", T0 + 3 * hour, 2), (3, "9", "A", "b", T0 + 6 * hour, 1), (4, "9", "A", None, T0 + 4 * hour, 2), (5, "9", None, "b", T0 + 9 * hour, 0), (6, "9", None, "-", None, 0)]
+    df = spark.createDataFrame(rows, "ord bigint, sentence_id string, x string, y string, at timestamp, trust int")
+    got = survivor.layers(df, ("x", "y"), "at", F.col("trust")).collect()[0].records
+
+    def dominates(a, b):
+        held = lambda r: {i for i in (2, 3) if r[i] not in (None, "-")}
+        when = lambda r: (r[4] or dt.datetime(1, 1, 1), -r[0])
+        return held(a) >= held(b) and a[5] >= b[5] and when(a) >= when(b) and a is not b
+
+    rest, brute, layer = list(rows), {}, 0
+    while rest:
+        front = [r for r in rest if not any(dominates(o, r) for o in rest)]
+        brute |= {r[0]: layer for r in front}
+        rest, layer = [r for r in rest if r not in front], layer + 1
+    assert {r.ord: r.layer for r in got} == brute
+    assert (brute[1], brute[2], brute[3]) == (0, 1, 0)
+
+
+def test_a_hot_group_leaves_a_bounded_number_of_records(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000).select(F.col("id").alias("ord"), F.lit("7").alias("sentence_id"), F.when(F.col("id") % 3 > 0, "x").alias("a"), F.when(F.col("id") % 2 > 0, "y").alias("b"), F.timestamp_seconds("id").alias("at"))
+    assert survivor.best_records(df, ("a", "b"), "at", F.lit(1)).count() == 4
+    assert {(r.field_name, r.ord) for r in survivor.survivors(df, ("a", "b"), "at", F.lit(1)).collect()} == {("a", 19_999), ("b", 19_999)}
