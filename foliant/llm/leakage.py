@@ -1,67 +1,143 @@
 """Evaluation passages inside a corpus.
 
 Texts are brought to templates: base letters without case, accents, blanks,
-markup or shapeless characters, every figure replaced by one placeholder. Windows
-of a template (twenty signs, nine in Han script) are hashed; the windows of the
-evaluation items, a stated set of queries taken in blocks of bounded size, form
-the build side of a hash join that every window of every document is held
-against inside its partition, so no document is shuffled. Windows that meet on
-one diagonal form a stretch; a stretch over a third of the item, dense enough and
-not made of passages that several items share, is a leak. The figures of both
-stretches, the slots of the template, are then compared: where few agree, the
-leak is a re-parameterised copy.
+markup or shapeless characters, with typed placeholders for numbers, dates,
+amounts of money, durations, measures (numbers with their units) and names.
+Windows of a template (twenty signs, nine in Han script) are hashed and joined, in
+Spark, with the windows of the evaluation items; a bit table of fixed size over
+the items' windows lets only windows out of a document that are likely to meet
+one. Windows that meet on one diagonal form a stretch; a stretch over a third of
+the item, dense enough and not made of passages that several items share, is a
+leak. The figures (or else the names) of both stretches, the slots of the
+template, are then compared: where few agree, the leak is a re-parameterised copy.
+
+Names are capitalised words inside a sentence. A passage that has lost its case
+keeps its names as letters, as does Han script, which marks no names; the density
+of a stretch leaves room for that.
 
 Defined results: null, empty and blank texts hold nothing; copies of a document
-are each found; items too short for a window are met by nothing; an item given
-twice is found twice; an empty table of items or documents gives no rows.
+are each found; items too short for a window (20 signs, 9 in Han script) are met by
+nothing; an item given twice is found twice; an empty table of items or documents
+gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from foliant.sources.tables import counted, spread, written
 
 LATIN, HAN = 20, 9
 #: least share of an item in one stretch, and of that stretch in matching windows
 SHARE, DENSITY = 1 / 3, 0.3
 #: least share of the item in windows that fewer than SHARED items have
 OWN, SHARED = 0.15, 4
-#: least part of the telling figures of the stretch that the item has; below it the stretch is another filling of the template
-SLOTS = 0.1
-#: signs of templates in one block of items (bounds what goes to the workers)
-BLOCK = 2_000_000
+#: least part of the telling slots of the stretch that the item has; below it the stretch is another filling of the template
+#: (copies with changed words agree in 0.4 or more, other fillings in single figures by chance)
+SLOTS = 0.25
+#: windows of items that are broadcast; more of them are joined by shuffle
+POSTINGS = 500_000
+#: slots of the bit table
+BITS = 1 << 24
 _BAND, _GAP = 64, 90
 _ZERO = ord("0")
 _B = np.uint64(0x9E3779B97F4A7C15)
-_MASK = np.uint64((1 << 24) - 1)
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|&[a-z]{2,6};|\[([^\[\]]{0,200})\]\([^()\s]{0,300}\)")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|&[a-z]{2,6};|\[([^\[\]]*)\]\([^()\s]*\)")
+
+# Months, currencies and units as they stand in a template (small base letters, no blanks; 0 is any number).
+_PT_MONTHS = "janeiro|fevereiro|marco|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro"
+_EN_MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
+_CURRENCY = "mop|hkd|hk|rmb|usd|eur|澳門元|港元|港幣|人民幣"
+_MONEY = "patacas?|euros?|dolares|dollars|澳門元|港元|元|圓"
+_TIME = "anos?|meses|mes|semanas?|dias?|horas?|minutos?|years?|months?|weeks?|days?|hours?|minutes?|個月|月|年|日|天|小時|分鐘"
+_MEASURE = "metrosquadrados|metros?|m0|km|kg|平方米|公里|公斤|米|porcento|percent"
+_TYPED = re.compile(
+    rf"(?P<date>0de(?:{_PT_MONTHS})(?:de0)?|0(?:{_EN_MONTHS})0|(?:{_EN_MONTHS})0|0年0月(?:0日)?)"
+    rf"|(?P<money>(?:{_CURRENCY})0(?:[萬億]0?)*元?|0(?:[萬億]0?)*(?:{_MONEY}))|(?P<time>0(?:{_TIME}))|(?P<measure>0(?:{_MEASURE}))"
+)
+#: signs of the typed placeholders; 0 stands for a plain number
+_SIGN_OF = {"date": 0xE001, "money": 0xE002, "time": 0xE003, "measure": 0xE004, "name": 0xE005}
+_UPPER, _LOWER = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
+_MONTH_NAMES = "|".join(m.capitalize() for m in f"{_PT_MONTHS}|{_EN_MONTHS}|março".split("|"))
+_NAME = re.compile(
+    rf"[{_UPPER}](?<=[{_LOWER},;][ \n][{_UPPER}])(?<!(?=(?:{_MONTH_NAMES})\b).)[{_LOWER}]++"
+    rf"(?:[ \n](?:d[aeo]s?[ \n])?[{_UPPER}][{_LOWER}]++){{0,2}}+(?![ \n]+[{_UPPER}][{_LOWER}])"
+)
+_YEAR = re.compile(r"(?:19|20)\d\d$")
+_DATE = re.compile(rf"\d{{1,2}}de(?:{_PT_MONTHS})de\d{{4}}|\d{{1,2}}(?:{_EN_MONTHS})\d{{4}}|(?:{_EN_MONTHS})\d{{5,6}}|\d{{4}}年\d{{1,2}}月\d{{1,2}}日")
+_FIGURE = re.compile(r"\d+(?:(?:\s*\n\s*[.,]?|[.,]\s*\n\s*|[.,:/])\d+)*")
+
+
+class Template:
+    """Signs of a text, and its slots: (place, value) of the telling figures and dates and of the names.
+
+    ``signs`` has one sign per number, ``typed`` one per typed placeholder, of which
+    ``place`` tells where in ``signs`` it stands.
+    """
 
+    __slots__ = ("signs", "typed", "place", "figures", "names")
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray, str]:
-    """Signs of the template of a text, the position of each in the text without markup, and that text."""
-    from .fold import BASE, _SPELLED_AT, SPELLED, codes_of
+    def __init__(self, text: str) -> None:
+        from .fold import _SPELLED_AT, BASE, SPELLED, codes_of
 
-    if "<" in text or "](" in text or "&" in text:
-        text = _TAG.sub(lambda m: m.group(1) or " ", text)
-    codes = codes_of(text)
-    if _SPELLED_AT[codes].any():
-        text = "".join(SPELLED.get(c, c) for c in text)
+        if "<" in text or "](" in text or "&" in text:
+            text = _TAG.sub(lambda m: m.group(1) or " ", text)
         codes = codes_of(text)
-    signs = BASE[codes]
-    digit = (signs >= 48) & (signs <= 57)
-    word = digit | ((signs >= 97) & (signs <= 122)) | _letters()[signs]
-    at = np.flatnonzero(word)
-    signs = np.where(digit, _ZERO, signs)[at]
-    if len(at) > 1:
-        first = np.ones(len(at), dtype=bool)
-        first[1:] = ~((signs[1:] == _ZERO) & (signs[:-1] == _ZERO))
-        signs, at = signs[first], at[first]
-    return signs, at, text
+        if _SPELLED_AT[codes].any():
+            text = "".join(SPELLED.get(c, c) for c in text)
+            codes = codes_of(text)
+        base = BASE[codes]
+        digit = (base >= 48) & (base <= 57)
+        at = np.flatnonzero(digit | ((base >= 97) & (base <= 122)) | _letters()[base])
+        signs = np.where(digit, _ZERO, base)[at]
+        figures = self._figures(base, at) if digit.any() else []
+        if len(at) > 1:
+            first = np.ones(len(at), dtype=bool)
+            first[1:] = ~((signs[1:] == _ZERO) & (signs[:-1] == _ZERO))
+            signs, at = signs[first], at[first]
+        typed, keep, names = signs.copy(), np.ones(len(at), dtype=bool), []
+
+        def replace(a: int, z: int, kind: str) -> None:
+            typed[a] = _SIGN_OF[kind]
+            keep[a + 1 : z] = False
+
+        for m in _NAME.finditer(text):
+            a, z = np.searchsorted(at, m.span()).tolist()
+            if z > a:
+                names.append((m.start(), _string(signs[a:z])))
+                replace(a, z, "name")
+        if (typed == _ZERO).any():
+            for m in _TYPED.finditer(_string(typed)):
+                replace(*m.span(), m.lastgroup)
+        self.signs, self.typed, self.place = signs, typed[keep], np.flatnonzero(keep)
+        place = lambda pairs: [(int(np.searchsorted(at, a, "right")) - 1, v) for a, v in pairs]
+        self.figures, self.names = place(figures), place(names)
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, place in ``signs``) of the windows of so many signs, and of those of the typed signs that hold a placeholder."""
+        which = 0 if width == HAN else 1
+        plain, typed = _windows(self.signs)[which], _windows(self.typed)[which]
+        holders = np.concatenate([[0], np.cumsum((self.typed >= min(_SIGN_OF.values())) & (self.typed <= max(_SIGN_OF.values())))])
+        j = np.flatnonzero(holders[width:] > holders[: len(holders) - width]) if len(typed) else np.zeros(0, np.int64)
+        return np.concatenate([plain, typed[j]]), np.concatenate([np.arange(len(plain)), self.place[j]])
+
+    @staticmethod
+    def _figures(base: np.ndarray, at: np.ndarray) -> list[tuple[int, str]]:
+        """Figures of four digits or more that are no year, as digits, joined over line breaks; and dates in words."""
+        kept = np.flatnonzero(base)
+        found = ((m.start(), "".join(filter(str.isdigit, m.group()))) for m in _FIGURE.finditer(_string(base[kept])))
+        out = [(int(kept[a]), f) for a, f in found if len(f) >= 4 and not _YEAR.match(f)]
+        return out + [(int(at[m.start()]), m.group()) for m in _DATE.finditer(_string(base[at]))]
+
+
+def _string(signs: np.ndarray) -> str:
+    return signs.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 _LETTERS: list[np.ndarray] = []
@@ -82,6 +158,9 @@ def _is_han(signs: np.ndarray) -> np.ndarray:
 
 def _windows(signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows of HAN and of LATIN signs that begin at each place."""
+    none = np.zeros(0, np.uint64)
+    if len(signs) < HAN:
+        return none, none
     with np.errstate(over="ignore"):
         h1 = (signs.astype(np.uint64) + np.uint64(7)) * np.uint64(0xBF58476D1CE4E5B9)
         h1 ^= h1 >> np.uint64(29)
@@ -91,67 +170,18 @@ def _windows(signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h2 = h1[:-1] * p[1] + h1[1:]
         h4 = h2[:-2] * p[2] + h2[2:]
         h8 = h4[:-4] * p[4] + h4[4:]
-        h9 = h8[:-1] * _B + h1[8:]
+        h9 = (h8[:-1] * _B + h1[8:]) ^ np.uint64(0x5555)
+        if len(signs) < LATIN:
+            return h9, none
         h16 = h8[:-8] * p[8] + h8[8:]
-        h20 = h16[:-4] * p[4] + h4[16:]
-    return h9 ^ np.uint64(0x5555), h20
-
-
-class _Block:
-    """Windows of a block of items, sorted by hash, with a bit table before them."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        hashes, rows, places, self.size, self.id, self.win, self.figures = [], [], [], [], [], [], []
-        for k, (item_id, text) in enumerate(items):
-            signs, _, plain = template(text)
-            w = HAN if _is_han(signs).mean() > 0.4 else LATIN
-            h9, h20 = _windows(signs) if len(signs) >= LATIN + 1 else (np.zeros(0, np.uint64),) * 2
-            h = h9 if w == HAN else h20
-            hashes.append(h)
-            rows.append(np.full(len(h), k))
-            places.append(np.arange(len(h)))
-            self.size.append(len(signs))
-            self.id.append(item_id)
-            self.win.append(w)
-            self.figures.append(figures(plain))
-        h, self.row, self.place = np.concatenate(hashes), np.concatenate(rows), np.concatenate(places)
-        order = np.argsort(h, kind="stable")
-        self.h, self.row, self.place = h[order], self.row[order], self.place[order]
-        self.sizes = np.array(self.size)
-        self.bits = np.zeros(int(_MASK) + 1, dtype=bool)
-        self.bits[self.h & _MASK] = True
-        # windows that several items share prove little
-        pairs = np.unique(np.stack([self.h, self.row.astype(np.uint64)], axis=1), axis=0) if len(self.h) else np.zeros((0, 2), np.uint64)
-        owners, n = np.unique(pairs[:, 0], return_counts=True)
-        self.common = n[np.searchsorted(owners, self.h)] >= SHARED if len(self.h) else np.zeros(0, bool)
-
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the document, index into the postings) of every meeting."""
-        at = np.flatnonzero(self.bits[h & _MASK])
-        lo, hi = np.searchsorted(self.h, h[at], "left"), np.searchsorted(self.h, h[at], "right")
-        n = hi - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        if not len(at):
-            return at, at
-        return np.repeat(at, n), np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-
-
-_YEAR = re.compile(r"(?:19|20)\d\d$")
-_BROKEN = re.compile(r"(?<=[\d.,])\s*\n\s*(?=[\d.,]*\d)")
-_FIGURE = re.compile(r"\d+(?:[.,:/]\d+)*")
-
-
-def figures(text: str) -> list[str]:
-    """Telling slots of a template: figures of four digits or more that are no year, as digits, joined over line breaks."""
-    from .fold import fold
-
-    found = ("".join(filter(str.isdigit, f)) for f in _FIGURE.findall(_BROKEN.sub("", fold(text))))
-    return [f for f in found if len(f) >= 4 and not _YEAR.match(f)]
+        return h9, h16[:-4] * p[4] + h4[16:]
 
 
 def same_figure(f: str, g: str) -> bool:
-    """Equal figures, a torn one with its whole, or one with a digit lost."""
-    if f == g or (len(f) >= 4 and (g.startswith(f) or g.endswith(f))) or (len(g) >= 4 and (f.startswith(g) or f.endswith(g))):
+    """Equal figures, a torn one with its whole, or one with a digit lost; dates in words must be equal."""
+    if f == g or not (f.isdigit() and g.isdigit()):
+        return f == g
+    if (len(f) >= 4 and (g.startswith(f) or g.endswith(f))) or (len(g) >= 4 and (f.startswith(g) or f.endswith(g))):
         return True
     if abs(len(f) - len(g)) != 1:
         return False
@@ -159,6 +189,73 @@ def same_figure(f: str, g: str) -> bool:
     return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
 
 
+def _rows(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _slots(prefix: str) -> list[tuple[str, pa.DataType]]:
+    return [(f"{prefix}figures", pa.list_(pa.string())), (f"{prefix}names", pa.list_(pa.string()))]
+
+
+_ITEM_SCHEMA = pa.schema([("item", pa.int64()), ("item_id", pa.int64()), ("size", pa.int32()), ("win", pa.int32()), *_slots("item_"), ("h", pa.list_(pa.int64())), ("q", pa.list_(pa.int32()))])
+_DOC_SCHEMA = pa.schema(
+    [("doc", pa.int64()), ("doc_id", pa.int64()), *_slots(""), ("figures_at", pa.list_(pa.int32())), ("names_at", pa.list_(pa.int32())), ("h", pa.list_(pa.int64())), ("k", pa.list_(pa.int32()))]
+)
+
+
+def _numbers() -> Iterator[int]:
+    """Numbers of rows, unlike those of any other task; the rows are written once, so they stay."""
+    from pyspark import TaskContext
+
+    n = TaskContext.get().partitionId() << 32
+    while True:
+        yield n
+        n += 1
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = _numbers()
+    for b in batches:
+        rows = []
+        for item_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            t = Template(text)
+            win = HAN if len(t.signs) and _is_han(t.signs).mean() > 0.4 else LATIN
+            h, q = t.windows(win)
+            rows.append((next(number), item_id, len(t.signs), win, [f for _, f in t.figures], [n for _, n in t.names], h.view(np.int64), q))
+        if rows:
+            yield _rows(list(zip(*rows, strict=True)), _ITEM_SCHEMA)
+
+
+def _documents(marked: bytes):
+    """Per document that may meet an item: its slots, and the windows whose slot of the bit table is marked."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(marked, np.uint8)).view(bool)
+        number = _numbers()
+        for b in batches:
+            for lo in range(0, b.num_rows, 400):
+                part, rows = b.slice(lo, 400), []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if not text:
+                        continue
+                    t = Template(text)
+                    (h9, k9), (h20, k20) = t.windows(HAN), t.windows(LATIN)
+                    # the narrow windows are those of Han script
+                    han = np.append(_is_han(t.signs), np.zeros(HAN, bool))
+                    sel = bits[h9 & np.uint64(BITS - 1)] & (han[k9] | han[k9 + HAN - 1])
+                    h9, k9 = h9[sel], k9[sel]
+                    sel = bits[h20 & np.uint64(BITS - 1)]
+                    h20, k20 = h20[sel], k20[sel]
+                    if len(k9) + len(k20):
+                        h = np.concatenate([h9, h20]).view(np.int64)
+                        slots = [[v for _, v in t.figures], [v for _, v in t.names], [a for a, _ in t.figures], [a for a, _ in t.names]]
+                        rows.append((next(number), doc_id, *slots, h, np.concatenate([k9, k20])))
+                if rows:
+                    yield _rows(list(zip(*rows, strict=True)), _DOC_SCHEMA)
+
+    return work
+
+
 def _stretches(q: np.ndarray, k: np.ndarray, band: np.ndarray, common: np.ndarray, size: int, win: int) -> list[tuple[float, int, int, int]]:
     """Stretches of meetings (item place q, document place k), longest first: share, own share, first and last document place."""
     found = []
@@ -193,84 +290,76 @@ def _stretches(q: np.ndarray, k: np.ndarray, band: np.ndarray, common: np.ndarra
     return kept
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("share", pa.float64()), ("slots_equal", pa.float64())])
-
+def _equal_slots(mine: list[str], theirs: list[str], same) -> float:
+    return sum(any(same(f, g) for g in theirs) for f in mine) / len(mine)
 
-def _scan(items: list[tuple[int, str]]):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(items)
-        for b in batches:
-            for lo in range(0, b.num_rows, 400):
-                part = b.slice(lo, 400)
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                found = [(d, *r) for d, t in zip(ids, texts, strict=True) if t for r in _held(block, t)]
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA
-                    )
 
-    return work
-
-
-def _held(block: _Block, text: str) -> Iterator[tuple[int, float, float]]:
-    signs, at, plain = template(text)
-    if len(signs) <= LATIN:
-        return
-    h9, h20 = _windows(signs)
-    han = _is_han(signs)
-    k9, i9 = block.hits(np.where(han[: len(h9)] | han[HAN - 1 :][: len(h9)], h9, np.uint64(0)))
-    k20, i20 = block.hits(h20)
-    k, i = np.concatenate([k9, k20]), np.concatenate([i9, i20])
-    if not len(k):
-        return
-    rows, q, size = block.row[i], block.place[i], block.size
-    # meetings by item and diagonal band: only where two neighbouring bands hold enough of the item
+def _verdict(r: dict) -> tuple[float, float] | None:
+    """(share, slots_equal) of the stretch that speaks most for a leak; None without a stretch."""
+    meet = np.asarray(r["meetings"], np.int64)
+    k, q, common, size = meet >> 32, (meet >> 1) & 0x7FFFFFFF, (meet & 1).astype(bool), r["size"]
     band = (k - q) // _BAND
-    low = int(band.min())
-    width = int(band.max()) - low + 2
-    keys, n = np.unique(rows * width + (band - low), return_counts=True)
+    # only where two neighbouring bands hold enough of the item
+    keys, n = np.unique(band, return_counts=True)
     follows = np.zeros(len(keys), dtype=np.int64)
     follows[:-1] = np.where(np.diff(keys) == 1, n[1:], 0)
-    enough = n + follows >= 0.08 * block.sizes[keys // width]
-    for r in np.unique(keys[enough] // width):
-        sel = rows == r
-        theirs, rest = block.figures[r], None
-        for share, own, a, z in _stretches(q[sel], k[sel], band[sel], block.common[i[sel]], size[r], block.win[r]):
-            mine = figures(plain[int(at[a]) : int(at[min(z, len(at)) - 1]) + 1])
-            if len(mine) >= 2:
-                equal = sum(any(same_figure(f, g) for g in theirs) for f in mine) / len(mine)
-            elif own / size[r] >= OWN:
-                equal = 1.0
-            else:
-                continue
-            if equal >= SLOTS:
-                yield block.id[r], share, equal
-                break
-            rest = rest or (block.id[r], share, equal)
+    if not (n + follows >= 0.08 * size).any():
+        return None
+    rest = None
+    for share, own, a, z in _stretches(q, k, band, common, size, r["win"]):
+        figures = [f for f, at in zip(r["figures"], r["figures_at"], strict=True) if a <= at < z]
+        names = [f for f, at in zip(r["names"], r["names_at"], strict=True) if a <= at < z]
+        if figures:
+            equal = _equal_slots(figures, r["item_figures"], same_figure)
+        elif own / size >= OWN:
+            # names alone can speak against a leak, as some names are met everywhere
+            equal = _equal_slots(names, r["item_names"], str.__eq__) if len(names) >= 2 and r["item_names"] else 1.0
         else:
-            # no stretch with figures of the item: the longest one is another filling of the template
-            if rest:
-                yield rest
+            continue
+        if equal >= SLOTS:
+            return share, equal
+        rest = rest or (share, equal)
+    # no stretch with slots of the item: the longest one is another filling of the template
+    return rest
+
+
+_LEAK_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("share", pa.float64()), ("slots_equal", pa.float64())])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [(r["doc_id"], r["item_id"], *v) for r in b.to_pylist() if (v := _verdict(r))]
+        if found:
+            yield _rows(list(zip(*found, strict=True)), _LEAK_SCHEMA)
+
+
+def _ddl(schema: pa.Schema) -> str:
+    kinds = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.float64(): "double"}
+    return ", ".join(f"{f.name} " + (f"array<{kinds[f.type.value_type]}>" if pa.types.is_list(f.type) else kinds[f.type]) for f in schema)
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share, slots_equal): every document that holds a stretch of an item.
 
     ``share`` is the part of the item in the stretch, ``slots_equal`` the part of
-    the stretch's telling figures that the item has too. Rows below ``SLOTS`` are
+    the stretch's telling slots that the item has too. Rows below ``SLOTS`` are
     other fillings of the same template (re-parameterised copies).
     """
-    # the stated query set; it is read to the driver in blocks of bounded size
-    rows = [(int(r[0]), r[1]) for r in items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator()]
-    blocks, size = [[]], 0
-    for r in rows:
-        if size > BLOCK:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(r)
-        size += len(r[1])
-    src = documents.select(documents["doc_id"].cast("bigint").alias("doc_id"), documents["text"].alias("t"))
-    parts = [src.mapInArrow(_scan(b), "doc_id bigint, item_id bigint, share double, slots_equal double") for b in blocks if b]
-    if not parts:
-        return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, share double, slots_equal double")
-    return reduce(DataFrame.unionByName, parts)
+    asked = items.select(items["item_id"].cast("bigint").alias("item_id"), items["text"].alias("t")).where("item_id IS NOT NULL AND t IS NOT NULL")
+    asked = written(asked.mapInArrow(_items, _ddl(_ITEM_SCHEMA)))
+    postings = asked.select("item", F.explode(F.arrays_zip("h", "q")).alias("x")).select("item", "x.h", "x.q")
+    # at most BITS numbers, whatever the number of items
+    slots = postings.select(F.col("h").bitwiseAND(F.lit(BITS - 1)).cast("int").alias("s")).distinct().toArrow()["s"].to_numpy()
+    marked = np.zeros(BITS, dtype=bool)
+    marked[slots] = True
+    # windows that several items share prove little
+    owners = postings.groupBy("h").agg((F.count_distinct("item") >= SHARED).alias("common"))
+    postings = counted(postings.join(owners, "h").join(asked.select("item", "size"), "item"), POSTINGS)
+    src = documents.select(documents["doc_id"].cast("bigint").alias("doc_id"), documents["text"].alias("t")).where(F.length("t") > 0)
+    docs = written(spread(src).mapInArrow(_documents(np.packbits(marked).tobytes()), _ddl(_DOC_SCHEMA)))
+    windows = docs.select("doc", F.explode(F.arrays_zip("h", "k")).alias("x")).select("doc", "x.h", "x.k")
+    meeting = F.shiftleft(F.col("k").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("q").cast("bigint"), 1)).bitwiseOR(F.col("common").cast("bigint"))
+    # a group is the meetings of one document with one item, combined before the shuffle
+    pairs = windows.join(postings, "h").groupBy("doc", "item").agg(F.collect_list(meeting).alias("meetings"), F.max("size").alias("least"))
+    pairs = pairs.where(F.size("meetings") >= 0.08 * F.col("least")).select("doc", "item", "meetings")
+    return pairs.join(asked.drop("h", "q"), "item").join(docs.drop("h", "k"), "doc").drop("doc", "item").mapInArrow(_verify, _ddl(_LEAK_SCHEMA))

@@ -35,12 +35,37 @@ def test_empty_sides_and_short_items(spark):
     assert run(spark, [(1, PT)], ((1, "curto"), (2, None), (3, ""))) == {}
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
+def test_a_join_by_shuffle_gives_the_same(spark, monkeypatch):
     from foliant.llm import leakage
 
-    a = set(run(spark, [(1, PT), (2, ZH)]))
-    monkeypatch.setattr(leakage, "BLOCK", 10)
-    assert set(run(spark, [(1, PT), (2, ZH)])) == a == {(1, 1), (2, 2)}
+    docs = [(1, PT), (2, PROSE + ZH), (3, PT[100:420].upper())]
+    a = run(spark, docs)
+    monkeypatch.setattr(leakage, "POSTINGS", 0)
+    assert run(spark, docs) == a and set(a) == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_short_han_items_and_long_markup(spark):
+    short = "保證人擅自更換漆成綠色的三角鋼琴"  # 16 signs
+    far = PT.replace("herdeira perdeu", f'<a href="https://exemplo.test/{"x" * 900}">herdeira</a> perdeu')
+    got = run(spark, [(1, "其後沒有再作補充。" + short + "。聽證繼續。"), (2, far), (3, "聽證繼續。")], ((1, PT), (3, short)))
+    assert set(got) == {(1, 3), (2, 1)} and got[2, 1].share > 0.95
+
+
+def test_placeholders_are_typed():
+    from foliant.llm.leakage import Template
+
+    same = lambda a, b: Template(a).typed.tolist() == Template(b).typed.tolist()
+    assert same("pagou MOP 4.830,16 a Lídia Gradelha", "pagou 75 patacas a Rui Vasqueda")
+    assert same("em 6 de Julho de 2017, foi", "em 1 de Março de 2001, foi") and same("收取澳門元91,889.68元", "收取48萬182元")
+    assert same("on 8 September 2023 the", "on 21 May 2020 the") and same("durante 12 anos e", "durante 3 meses e")
+    assert not same("durante 12 anos", "durante 12 patacas") and not same("a 5 km de", "a 5 de")
+
+
+def test_names_tell_copies_without_figures(spark):
+    plain = "A escritura foi lavrada na presença de {0}, que recusou entregar as jóias a {1}, e o tutor, ouvido {2}, devolveu com defeito o piano de cauda antes da moratória."
+    item = plain.format("Odete Lamegal", "Gaspar Gradelha", "Lídia Troncável")
+    got = run(spark, [(1, PROSE + item), (2, PROSE + plain.format("Rui Vasqueda", "Célia Varomil", "Abílio Bragonde"))], ((1, item),))
+    assert got[1, 1].slots_equal == 1.0 and got[2, 1].slots_equal < SLOTS
 
 
 def test_a_true_stretch_beside_a_longer_refilled_copy(spark):
