@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.sources.tables import counted, spread, written
+from foliant.sources.tables import cut_lineage, spread, written
 
 LATIN, HAN = 20, 9
 #: least share of an item in one stretch, and of that stretch in matching windows
@@ -57,10 +57,13 @@ _CURRENCY = "mop|hkd|hk|rmb|usd|eur|澳門元|港元|港幣|人民幣"
 _MONEY = "patacas?|euros?|dolares|dollars|澳門元|港元|元|圓"
 _TIME = "anos?|meses|mes|semanas?|dias?|horas?|minutos?|years?|months?|weeks?|days?|hours?|minutes?|個月|月|年|日|天|小時|分鐘"
 _MEASURE = "metrosquadrados|metros?|m0|km|kg|平方米|公里|公斤|米|porcento|percent"
-_TYPED = re.compile(
-    rf"(?P<date>0de(?:{_PT_MONTHS})(?:de0)?|0(?:{_EN_MONTHS})0|(?:{_EN_MONTHS})0|0年0月(?:0日)?)"
-    rf"|(?P<money>(?:{_CURRENCY})0(?:[萬億]0?)*元?|0(?:[萬億]0?)*(?:{_MONEY}))|(?P<time>0(?:{_TIME}))|(?P<measure>0(?:{_MEASURE}))"
+#: what may stand behind a number, by the kind of placeholder the two make
+_BEHIND = re.compile(
+    rf"0(?:(?P<date>de(?:{_PT_MONTHS})(?:de0)?|(?:{_EN_MONTHS})0|年0月(?:0日)?)|(?P<money>(?:[萬億]0?)*(?:{_MONEY}))|(?P<time>{_TIME})|(?P<measure>{_MEASURE}))"
 )
+_MYRIADS = re.compile("0(?:[萬億]0?)*元?")
+_BEFORE = tuple((m, "date") for m in _EN_MONTHS.split("|")) + tuple((m, "money") for m in _CURRENCY.split("|"))
+_BEFORE_BY_END = {z: [(m, k) for m, k in _BEFORE if m[-1] == z] for z in {m[-1] for m, _ in _BEFORE}}
 #: signs of the typed placeholders; 0 stands for a plain number
 _SIGN_OF = {"date": 0xE001, "money": 0xE002, "time": 0xE003, "measure": 0xE004, "name": 0xE005}
 _UPPER, _LOWER = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
@@ -70,7 +73,7 @@ _NAME = re.compile(
     rf"(?:[ \n](?:d[aeo]s?[ \n])?[{_UPPER}][{_LOWER}]++){{0,2}}+(?![ \n]+[{_UPPER}][{_LOWER}])"
 )
 _YEAR = re.compile(r"(?:19|20)\d\d$")
-_DATE = re.compile(rf"\d{{1,2}}de(?:{_PT_MONTHS})de\d{{4}}|\d{{1,2}}(?:{_EN_MONTHS})\d{{4}}|(?:{_EN_MONTHS})\d{{5,6}}|\d{{4}}年\d{{1,2}}月\d{{1,2}}日")
+_NO_DIGIT = dict.fromkeys(map(ord, ".,:/ \n\t\r"))
 _FIGURE = re.compile(r"\d+(?:(?:\s*\n\s*[.,]?|[.,]\s*\n\s*|[.,:/])\d+)*")
 
 
@@ -84,56 +87,93 @@ class Template:
     __slots__ = ("signs", "typed", "place", "figures", "names")
 
     def __init__(self, text: str) -> None:
-        from .fold import _SPELLED_AT, BASE, SPELLED, codes_of
+        from .fold import BASE, codes_of
 
         if "<" in text or "](" in text or "&" in text:
             text = _TAG.sub(lambda m: m.group(1) or " ", text)
-        codes = codes_of(text)
-        if _SPELLED_AT[codes].any():
-            text = "".join(SPELLED.get(c, c) for c in text)
-            codes = codes_of(text)
-        base = BASE[codes]
+        text = _spelled().sub(_spell, text)
+        base = BASE[codes_of(text)]
         digit = (base >= 48) & (base <= 57)
-        at = np.flatnonzero(digit | ((base >= 97) & (base <= 122)) | _letters()[base])
-        signs = np.where(digit, _ZERO, base)[at]
-        figures = self._figures(base, at) if digit.any() else []
-        if len(at) > 1:
+        raw_at = at = np.flatnonzero(digit | ((base >= 97) & (base <= 122)) | _letters()[base])
+        raw = base[at]
+        signs = np.where(digit[at], _ZERO, raw)
+        numbers = digit.any()
+        if numbers:
             first = np.ones(len(at), dtype=bool)
             first[1:] = ~((signs[1:] == _ZERO) & (signs[:-1] == _ZERO))
             signs, at = signs[first], at[first]
-        typed, keep, names = signs.copy(), np.ones(len(at), dtype=bool), []
-
-        def replace(a: int, z: int, kind: str) -> None:
-            typed[a] = _SIGN_OF[kind]
-            keep[a + 1 : z] = False
-
-        for m in _NAME.finditer(text):
-            a, z = np.searchsorted(at, m.span()).tolist()
-            if z > a:
-                names.append((m.start(), _string(signs[a:z])))
-                replace(a, z, "name")
-        if (typed == _ZERO).any():
-            for m in _TYPED.finditer(_string(typed)):
-                replace(*m.span(), m.lastgroup)
+        typed, keep, names, dates = signs.copy(), np.ones(len(at), dtype=bool), [], []
+        found = [m.span() for m in _NAME.finditer(text)]
+        if found:
+            for (a, z), (start, _) in zip(np.searchsorted(at, found).tolist(), found, strict=True):
+                if z > a:
+                    names.append((start, _string(signs[a:z])))
+                    typed[a] = _SIGN_OF["name"]
+                    keep[a + 1 : z] = False
+        if numbers:
+            whole, free, n = _string(typed), 0, len(at)
+            for p in np.flatnonzero(typed == _ZERO).tolist():
+                if p < free:
+                    continue
+                m, a = _BEHIND.match(whole, p), p
+                kind, z = (m.lastgroup, m.end()) if m else ("", p + 1)
+                for word, k in _BEFORE_BY_END.get(whole[p - 1], ()) if p else ():
+                    if whole.endswith(word, free, p):
+                        kind, a = k, p - len(word)
+                        z = _MYRIADS.match(whole, p).end() if k == "money" else p + 1
+                        break
+                if kind:
+                    typed[a] = _SIGN_OF[kind]
+                    keep[a + 1 : z] = False
+                    free = z
+                    if kind == "date":
+                        # its signs with all figures
+                        lo, hi = np.searchsorted(raw_at, (at[a], at[z] if z < n else len(base))).tolist()
+                        dates.append((int(at[a]), _string(raw[lo:hi])))
         self.signs, self.typed, self.place = signs, typed[keep], np.flatnonzero(keep)
-        place = lambda pairs: [(int(np.searchsorted(at, a, "right")) - 1, v) for a, v in pairs]
-        self.figures, self.names = place(figures), place(names)
-
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, place in ``signs``) of the windows of so many signs, and of those of the typed signs that hold a placeholder."""
-        which = 0 if width == HAN else 1
-        plain, typed = _windows(self.signs)[which], _windows(self.typed)[which]
-        holders = np.concatenate([[0], np.cumsum((self.typed >= min(_SIGN_OF.values())) & (self.typed <= max(_SIGN_OF.values())))])
-        j = np.flatnonzero(holders[width:] > holders[: len(holders) - width]) if len(typed) else np.zeros(0, np.int64)
-        return np.concatenate([plain, typed[j]]), np.concatenate([np.arange(len(plain)), self.place[j]])
+        figures = (self._figures(base) if numbers else []) + dates
+        places = np.searchsorted(at, [a for a, _ in figures + names], "right") - 1
+        slots = [(int(at_sign), v) for at_sign, (_, v) in zip(places, figures + names, strict=True)]
+        self.figures, self.names = slots[: len(figures)], slots[len(figures) :]
+
+    def windows(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each width (hash, place in ``signs``) of the windows of so many signs, and of those of the typed signs that hold a placeholder."""
+        plain, typed = _windows(self.signs), _windows(self.typed)
+        marks = (self.typed >= min(_SIGN_OF.values())) & (self.typed <= max(_SIGN_OF.values()))
+        holders, out = np.concatenate([[0], np.cumsum(marks)]), {}
+        for width, p, t in zip((HAN, LATIN), plain, typed, strict=True):
+            j = np.flatnonzero(holders[width:] > holders[: len(holders) - width]) if len(t) else np.zeros(0, np.int64)
+            out[width] = np.concatenate([p, t[j]]), np.concatenate([np.arange(len(p)), self.place[j]])
+        return out
 
     @staticmethod
-    def _figures(base: np.ndarray, at: np.ndarray) -> list[tuple[int, str]]:
-        """Figures of four digits or more that are no year, as digits, joined over line breaks; and dates in words."""
-        kept = np.flatnonzero(base)
-        found = ((m.start(), "".join(filter(str.isdigit, m.group()))) for m in _FIGURE.finditer(_string(base[kept])))
-        out = [(int(kept[a]), f) for a, f in found if len(f) >= 4 and not _YEAR.match(f)]
-        return out + [(int(at[m.start()]), m.group()) for m in _DATE.finditer(_string(base[at]))]
+    def _figures(base: np.ndarray) -> list[tuple[int, str]]:
+        """Figures of four digits or more that are no year, as digits, joined over line breaks."""
+        kept, out = np.flatnonzero(base), []
+        for m in _FIGURE.finditer(_string(base[kept])):
+            f = m.group()
+            if len(f) >= 4:
+                f = f.translate(_NO_DIGIT)
+                if len(f) >= 4 and not _YEAR.match(f):
+                    out.append((int(kept[m.start()]), f))
+        return out
+
+
+_SPELLED: list[re.Pattern] = []
+
+
+def _spelled() -> re.Pattern:
+    if not _SPELLED:
+        from .fold import SPELLED
+
+        _SPELLED.append(re.compile("[" + "".join(map(re.escape, SPELLED)) + "]"))
+    return _SPELLED[0]
+
+
+def _spell(m: re.Match) -> str:
+    from .fold import SPELLED
+
+    return SPELLED[m.group()]
 
 
 def _string(signs: np.ndarray) -> str:
@@ -193,18 +233,18 @@ def _rows(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _slots(prefix: str) -> list[tuple[str, pa.DataType]]:
-    return [(f"{prefix}figures", pa.list_(pa.string())), (f"{prefix}names", pa.list_(pa.string()))]
-
-
-_ITEM_SCHEMA = pa.schema([("item", pa.int64()), ("item_id", pa.int64()), ("size", pa.int32()), ("win", pa.int32()), *_slots("item_"), ("h", pa.list_(pa.int64())), ("q", pa.list_(pa.int32()))])
-_DOC_SCHEMA = pa.schema(
-    [("doc", pa.int64()), ("doc_id", pa.int64()), *_slots(""), ("figures_at", pa.list_(pa.int32())), ("names_at", pa.list_(pa.int32())), ("h", pa.list_(pa.int64())), ("k", pa.list_(pa.int32()))]
+_TEXTS, _PLACES = pa.list_(pa.string()), pa.list_(pa.int32())
+_ITEM_SCHEMA = pa.schema(
+    [("item", pa.int64()), ("item_id", pa.int64()), ("size", pa.int32()), ("win", pa.int32()), ("item_figures", _TEXTS), ("item_names", _TEXTS), ("h", pa.list_(pa.int64())), ("q", _PLACES)]
+)
+# one row of a document (k is -1) has its id and slots, the others a window each
+_WINDOW_SCHEMA = pa.schema(
+    [("doc", pa.int64()), ("h", pa.int64()), ("k", pa.int32()), ("doc_id", pa.int64()), ("figures", _TEXTS), ("names", _TEXTS), ("figures_at", _PLACES), ("names_at", _PLACES)]
 )
 
 
 def _numbers() -> Iterator[int]:
-    """Numbers of rows, unlike those of any other task; the rows are written once, so they stay."""
+    """Numbers of rows, unlike those of any other task."""
     from pyspark import TaskContext
 
     n = TaskContext.get().partitionId() << 32
@@ -220,42 +260,63 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for item_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             t = Template(text)
             win = HAN if len(t.signs) and _is_han(t.signs).mean() > 0.4 else LATIN
-            h, q = t.windows(win)
+            h, q = t.windows()[win]
             rows.append((next(number), item_id, len(t.signs), win, [f for _, f in t.figures], [n for _, n in t.names], h.view(np.int64), q))
         if rows:
             yield _rows(list(zip(*rows, strict=True)), _ITEM_SCHEMA)
 
 
 def _documents(marked: bytes):
-    """Per document that may meet an item: its slots, and the windows whose slot of the bit table is marked."""
+    """Per document that may meet an item: a row with its slots, then its windows whose slot of the bit table is marked."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(marked, np.uint8)).view(bool)
-        number = _numbers()
+        number, mask = _numbers(), np.uint64(BITS - 1)
         for b in batches:
             for lo in range(0, b.num_rows, 400):
-                part, rows = b.slice(lo, 400), []
+                part = b.slice(lo, 400)
+                heads, hashes, places, sizes = [], [], [], []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     if not text:
                         continue
                     t = Template(text)
-                    (h9, k9), (h20, k20) = t.windows(HAN), t.windows(LATIN)
+                    w = t.windows()
+                    (h9, k9), (h20, k20) = w[HAN], w[LATIN]
                     # the narrow windows are those of Han script
                     han = np.append(_is_han(t.signs), np.zeros(HAN, bool))
-                    sel = bits[h9 & np.uint64(BITS - 1)] & (han[k9] | han[k9 + HAN - 1])
+                    sel = np.flatnonzero(bits[h9 & mask])
+                    sel = sel[han[k9[sel]] | han[k9[sel] + HAN - 1]]
                     h9, k9 = h9[sel], k9[sel]
-                    sel = bits[h20 & np.uint64(BITS - 1)]
-                    h20, k20 = h20[sel], k20[sel]
-                    if len(k9) + len(k20):
-                        h = np.concatenate([h9, h20]).view(np.int64)
-                        slots = [[v for _, v in t.figures], [v for _, v in t.names], [a for a, _ in t.figures], [a for a, _ in t.names]]
-                        rows.append((next(number), doc_id, *slots, h, np.concatenate([k9, k20])))
-                if rows:
-                    yield _rows(list(zip(*rows, strict=True)), _DOC_SCHEMA)
+                    sel = np.flatnonzero(bits[h20 & mask])
+                    if len(h9) + len(sel):
+                        heads.append((next(number), doc_id, t.figures, t.names))
+                        hashes += [_HEAD, h9, h20[sel]]
+                        places += [_HEAD_PLACE, k9, k20[sel]]
+                        sizes.append(1 + len(h9) + len(sel))
+                if not heads:
+                    continue
+                sizes = np.array(sizes)
+                at = np.cumsum(sizes) - sizes
+                # the head row of each document has a value in these columns, the others null
+                row = np.full(sizes.sum(), -1)
+                row[at] = np.arange(len(heads))
+                row = pa.array(row, mask=row < 0)
+                slots = [[h[1] for h in heads], [[v for _, v in h[2]] for h in heads], [[v for _, v in h[3]] for h in heads], [[p for p, _ in h[2]] for h in heads], [[p for p, _ in h[3]] for h in heads]]
+                docs = np.array([h[0] for h in heads])
+                h = np.concatenate(hashes).view(np.int64)
+                h[at] = docs  # spreads the head rows where the join is a shuffle
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(docs, sizes)), pa.array(h), pa.array(np.concatenate(places).astype(np.int32))]
+                    + [pa.array(c, f.type).take(row) for c, f in zip(slots, list(_WINDOW_SCHEMA)[3:], strict=True)],
+                    schema=_WINDOW_SCHEMA,
+                )
 
     return work
 
 
+_HEAD, _HEAD_PLACE = np.zeros(1, np.uint64), np.full(1, -1)
+
+
 def _stretches(q: np.ndarray, k: np.ndarray, band: np.ndarray, common: np.ndarray, size: int, win: int) -> list[tuple[float, int, int, int]]:
     """Stretches of meetings (item place q, document place k), longest first: share, own share, first and last document place."""
     found = []
@@ -294,24 +355,81 @@ def _equal_slots(mine: list[str], theirs: list[str], same) -> float:
     return sum(any(same(f, g) for g in theirs) for f in mine) / len(mine)
 
 
-def _verdict(r: dict) -> tuple[float, float] | None:
-    """(share, slots_equal) of the stretch that speaks most for a leak; None without a stretch."""
-    meet = np.asarray(r["meetings"], np.int64)
-    k, q, common, size = meet >> 32, (meet >> 1) & 0x7FFFFFFF, (meet & 1).astype(bool), r["size"]
+_STRETCH_SCHEMA = pa.schema(
+    [("doc_id", pa.int64()), ("item", pa.int64()), ("shares", pa.list_(pa.float64())), ("owns", pa.list_(pa.float64())), ("figures", pa.list_(_TEXTS)), ("names", pa.list_(_TEXTS))]
+)
+
+
+def _held(t: pa.Table) -> pa.RecordBatch | None:
+    """The stretches of the meetings of whole documents."""
+    doc, item = t["doc"].to_numpy(), t["item"].fill_null(-1).to_numpy()
+    head = {d: i for i, d in zip(np.flatnonzero(t["k"].to_numpy() < 0).tolist(), doc[t["k"].to_numpy() < 0].tolist(), strict=True)}
+    met = np.flatnonzero(item >= 0)
+    if not len(met):
+        return None
+    k, q, size, win = (t[c].fill_null(0).to_numpy().astype(np.int64)[met] for c in ("k", "q", "size", "win"))
+    common = t["common"].fill_null(False).to_numpy()[met]
+    d, it = doc[met], item[met]
     band = (k - q) // _BAND
+    order = np.lexsort((k, band, it, d))
+    d, it, k, q, size, win, common, band = (x[order] for x in (d, it, k, q, size, win, common, band))
+    new_pair = np.ones(len(d), bool)
+    new_pair[1:] = (d[1:] != d[:-1]) | (it[1:] != it[:-1])
+    new_band = new_pair.copy()
+    new_band[1:] |= band[1:] != band[:-1]
     # only where two neighbouring bands hold enough of the item
-    keys, n = np.unique(band, return_counts=True)
-    follows = np.zeros(len(keys), dtype=np.int64)
-    follows[:-1] = np.where(np.diff(keys) == 1, n[1:], 0)
-    if not (n + follows >= 0.08 * size).any():
-        return None
+    first = np.flatnonzero(new_band)
+    n = np.diff(np.append(first, len(d)))
+    follows = np.zeros(len(n), np.int64)
+    near = ~new_pair[first[1:]] & (band[first[1:]] == band[first[:-1]] + 1)
+    follows[:-1] = np.where(near, n[1:], 0)
+    pair = np.cumsum(new_pair) - 1
+    enough = np.zeros(pair[-1] + 1, bool)
+    enough[pair[first][n + follows >= 0.08 * size[first]]] = True
+    starts = np.append(np.flatnonzero(new_pair), len(d))
+    rows = []
+    for p in np.flatnonzero(enough).tolist():
+        a, z = int(starts[p]), int(starts[p + 1])
+        found = _stretches(q[a:z], k[a:z], band[a:z], common[a:z], int(size[a]), int(win[a]))
+        if found:
+            i = head[int(d[a])]
+            slots = []
+            for c in ("figures", "names"):
+                values, places = t[c][i].as_py(), t[f"{c}_at"][i].as_py()
+                slots.append([[v for v, at in zip(values, places, strict=True) if lo <= at < hi] for _, _, lo, hi in found])
+            rows.append((t["doc_id"][i].as_py(), int(it[a]), [f[0] for f in found], [f[1] / size[a] for f in found], *slots))
+    return _rows(list(zip(*rows, strict=True)), _STRETCH_SCHEMA) if rows else None
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of every document and item; the rows of a document stand together."""
+    waiting: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        doc = b.column(0).to_numpy()
+        # the last document may go on in the next batch
+        last = len(doc) - int(np.argmax(np.append(doc[::-1] != doc[-1], True)))
+        if last == 0 and waiting and waiting[-1].column(0)[0].as_py() == doc[0]:
+            waiting.append(b)
+            continue
+        done, waiting = [*waiting, b.slice(0, last)], [b.slice(last)]
+        if (got := _held(pa.Table.from_batches(done))) is not None:
+            yield got
+    if waiting and (got := _held(pa.Table.from_batches(waiting))) is not None:
+        yield got
+
+
+_LEAK_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("share", pa.float64()), ("slots_equal", pa.float64())])
+
+
+def _verdict(r: dict) -> tuple[float, float] | None:
+    """(share, slots_equal) of the stretch that speaks most for a leak; None where none counts."""
     rest = None
-    for share, own, a, z in _stretches(q, k, band, common, size, r["win"]):
-        figures = [f for f, at in zip(r["figures"], r["figures_at"], strict=True) if a <= at < z]
-        names = [f for f, at in zip(r["names"], r["names_at"], strict=True) if a <= at < z]
+    for share, own, figures, names in zip(r["shares"], r["owns"], r["figures"], r["names"], strict=True):
         if figures:
             equal = _equal_slots(figures, r["item_figures"], same_figure)
-        elif own / size >= OWN:
+        elif own >= OWN:
             # names alone can speak against a leak, as some names are met everywhere
             equal = _equal_slots(names, r["item_names"], str.__eq__) if len(names) >= 2 and r["item_names"] else 1.0
         else:
@@ -323,9 +441,6 @@ def _verdict(r: dict) -> tuple[float, float] | None:
     return rest
 
 
-_LEAK_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("share", pa.float64()), ("slots_equal", pa.float64())])
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [(r["doc_id"], r["item_id"], *v) for r in b.to_pylist() if (v := _verdict(r))]
@@ -334,8 +449,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.float64(): "double"}
-    return ", ".join(f"{f.name} " + (f"array<{kinds[f.type.value_type]}>" if pa.types.is_list(f.type) else kinds[f.type]) for f in schema)
+    def kind(t: pa.DataType) -> str:
+        if pa.types.is_list(t):
+            return f"array<{kind(t.value_type)}>"
+        return {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.float64(): "double"}[t]
+
+    return ", ".join(f"{f.name} {kind(f.type)}" for f in schema)
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -347,19 +466,22 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """
     asked = items.select(items["item_id"].cast("bigint").alias("item_id"), items["text"].alias("t")).where("item_id IS NOT NULL AND t IS NOT NULL")
     asked = written(asked.mapInArrow(_items, _ddl(_ITEM_SCHEMA)))
-    postings = asked.select("item", F.explode(F.arrays_zip("h", "q")).alias("x")).select("item", "x.h", "x.q")
+    postings = asked.select("item", "size", "win", F.explode(F.arrays_zip("h", "q")).alias("x")).select("item", "size", "win", "x.h", "x.q")
     # at most BITS numbers, whatever the number of items
     slots = postings.select(F.col("h").bitwiseAND(F.lit(BITS - 1)).cast("int").alias("s")).distinct().toArrow()["s"].to_numpy()
     marked = np.zeros(BITS, dtype=bool)
     marked[slots] = True
     # windows that several items share prove little
     owners = postings.groupBy("h").agg((F.count_distinct("item") >= SHARED).alias("common"))
-    postings = counted(postings.join(owners, "h").join(asked.select("item", "size"), "item"), POSTINGS)
-    src = documents.select(documents["doc_id"].cast("bigint").alias("doc_id"), documents["text"].alias("t")).where(F.length("t") > 0)
-    docs = written(spread(src).mapInArrow(_documents(np.packbits(marked).tobytes()), _ddl(_DOC_SCHEMA)))
-    windows = docs.select("doc", F.explode(F.arrays_zip("h", "k")).alias("x")).select("doc", "x.h", "x.k")
-    meeting = F.shiftleft(F.col("k").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("q").cast("bigint"), 1)).bitwiseOR(F.col("common").cast("bigint"))
-    # a group is the meetings of one document with one item, combined before the shuffle
-    pairs = windows.join(postings, "h").groupBy("doc", "item").agg(F.collect_list(meeting).alias("meetings"), F.max("size").alias("least"))
-    pairs = pairs.where(F.size("meetings") >= 0.08 * F.col("least")).select("doc", "item", "meetings")
-    return pairs.join(asked.drop("h", "q"), "item").join(docs.drop("h", "k"), "doc").drop("doc", "item").mapInArrow(_verify, _ddl(_LEAK_SCHEMA))
+    postings = cut_lineage(postings.join(owners, "h"))
+    few = postings.count() <= POSTINGS
+    src = spread(documents.select(documents["doc_id"].cast("bigint").alias("doc_id"), documents["text"].alias("t")).where(F.length("t") > 0))
+    windows = src.mapInArrow(_documents(np.packbits(marked).tobytes()), _ddl(_WINDOW_SCHEMA))
+    if few:
+        # no document leaves its partition
+        met = windows.join(F.broadcast(postings), "h", "left").where("item IS NOT NULL OR k < 0")
+    else:
+        met = cut_lineage(windows).join(postings, "h", "left").where("item IS NOT NULL OR k < 0").repartition("doc").sortWithinPartitions("doc")
+    stretches = met.select("doc", "k", "item", "q", "size", "win", "common", *_WINDOW_SCHEMA.names[3:]).mapInArrow(_meetings, _ddl(_STRETCH_SCHEMA))
+    facts = asked.select("item", "item_id", "item_figures", "item_names")
+    return stretches.join(F.broadcast(facts) if few else facts, "item").drop("item").mapInArrow(_verify, _ddl(_LEAK_SCHEMA))
