@@ -7,7 +7,9 @@ document is handled by itself in Arrow batches, so the operator needs no shuffle
 
 Defined results: a null, empty or blank text has no unit; a text without any
 terminator is one unit (or one per heading or paragraph); repeated rows each give
-their own units; other columns of the input are not read.
+their own units; other columns of the input are not read. Marks without a partner
+in their paragraph protect nothing. Thai, which ends sentences with blanks alone,
+is cut at blanks between Thai letters behind ``THAI_LEAST`` signs or more.
 """
 
 from __future__ import annotations
@@ -28,13 +30,39 @@ _STERM_SET = frozenset(_STERM)
 _TERM = re.escape(_STERM) + r".…‥"
 _OPEN, _CLOSE = r"«“„「『‹《〈【\[\(", r"»”」』›》〉】\]\)\"’"
 
-# Abbreviations that never end a sentence (lower case, without the mark).
+# Abbreviations that never end a sentence (lower case, without the mark), whatever the language.
 NEVER_FINAL = frozenset(
     "dr dra drs sr sra srs srta exmo exma exmos eng engª prof profª mr mrs ms messrs st hon rev gen col capt "  # titles
     "cfr cf conf vd vide art arts n no nos nº fl fls pág págs pag pags p pp vol vols cl cls al als proc procs ac acs "
     "res and c d l ex v.g i.e e.g id ibid op cit tít cap sec secs par para paras reg fig figs núm num tel av "
     "jan feb mar apr jun jul aug sept oct nov dec ed eds inc.no".split()
 )
+# Of these, words of a language in their own right. In that language they end a sentence unless a number
+# (a letter, a Roman numeral) follows, months also where a number stands before them.
+WORDS_TOO = {
+    "en": frozenset("no art sec para par fig reg ex and ed id mar cap cl gen res".split()),
+    "pt": frozenset("mar par art para ex cap".split()),
+    "es": frozenset("mar par no art para ex".split()),
+    "fr": frozenset("mar par art no cap".split()),
+    "it": frozenset("mar no par art al".split()),
+    "de": frozenset("mar art par".split()),
+}
+# Abbreviations of one language alone, and its capitals that stand for a title.
+OWN_ABBREVIATIONS = {
+    "fr": frozenset("mm mme mmes mlle mgr chap bd".split()), "es": frozenset("ud uds dña lic pág".split()),
+    "de": frozenset("hr bzw vgl usw nr abs str".split()), "it": frozenset("sig sigg dott avv ing pag".split()),
+}
+TITLE_LETTERS = {"fr": frozenset("M"), "es": frozenset("D"), "pt": frozenset("D")}
+# Function words that tell a language.
+FUNCTION_WORDS = {
+    "en": frozenset("the of and to was that is for on with it not by he she they we his her were said this at be".split()),
+    "pt": frozenset("de da do dos das que não uma um os as em para com por foi ao à pelo pela no na se ou".split()),
+    "es": frozenset("de el los las del una y en que por con se al fue lo su un la".split()),
+    "fr": frozenset("de le la les des du est une et dans pour que qui il elle au un habite a".split()),
+    "it": frozenset("di il gli della che non una per con è sono lo la dei un del si".split()),
+    "de": frozenset("der die das und ist nicht mit den von ein eine zu im sich auf".split()),
+}
+THAI_LEAST = 16
 # Abbreviations that may end one when a capital follows.
 MAYBE_FINAL = frozenset("etc ss seq lda ltd inc corp adm a.m p.m sa s.a cia co jr sen approx".split())
 # Words after which a number is expected.
@@ -54,17 +82,13 @@ _HEADING = re.compile(
     r"|(?:[IVX]{1,4}\.\s*[A-Z][\w ]{2,30})$"
     r"|[一二三四五六七八九十]{1,3}[、､][㐀-鿿]{1,12}$"
 )
-_LINE = r"(?:[^{0}\n]|\n(?!\s*\n)){{0,900}}"
-# what opens a span that is never cut inside, with the pattern of the whole span
-_SPAN = {
-    "«": re.compile("«" + _LINE.format("«»") + "»"),
-    "“": re.compile("“" + _LINE.format("“”") + "”"),
-    '"': re.compile('"' + _LINE.format('"') + '"'),
-    "「": re.compile("「[^「」]{0,900}」"),
-    "『": re.compile("『[^『』]{0,900}』"),
-    "(": re.compile(r"\((?:[^()\n]|\n(?!\s*\n)){0,300}\)"),
-    "《": re.compile(r"《[^《》\n]{0,100}》"),
-}
+# what opens a span that is never cut inside, and what closes it
+_SPAN = {"«": "»", "“": "”", '"': '"', "「": "」", "『": "』", "(": ")", "《": "》"}
+_CLOSES = {z: a for a, z in _SPAN.items()}
+_NUMBERED = re.compile(r"[IVXLC]{1,6}\b|[A-Za-z]\)|[A-Z](?=[\s,.)])|[§º°]")
+_DAY_BEFORE = re.compile(r"\d[ºª.]?\s+(?:de\s+)?$")
+_LATIN_WORDS = re.compile(r"[a-zà-öø-ÿ]+")
+_ADDRESS = re.compile(r"[/@:\\_]|www", re.IGNORECASE)
 _RUN = re.compile(f"[{_TERM}]+[{_CLOSE}]*")
 _BLANKS = re.compile(r"\s*")
 _SINGLE_BREAK = re.compile(r"(?<=[^\s.])\n(?=\S)")
@@ -82,6 +106,7 @@ def _table(dtype: type, chars: str = "") -> np.ndarray:
 
 
 _IS_TRIGGER = _table(bool, _STERM + ".…‥\n" + "".join(_SPAN))
+_IS_PAIRED = _table(bool, "\n" + "".join(_SPAN) + "".join(_CLOSES))
 _IS_ODD = _table(bool, regex.sub(r"[^\p{M}\p{Cf}]", "", _ALL) + "".join(_LIGATURES))
 _IS_ODD[[ord(c) for c in regex.findall(f"[{INVISIBLE_PY}]", _ALL)]] = True
 _IS_ODD[ord("\ufeff")] = True
@@ -100,13 +125,61 @@ def _wrapped(lines: list[str]) -> bool:
     return len(body) >= 3 and max(body) >= 12 and min(body) >= max(body) - 3
 
 
+def _partners(view: str, codes: np.ndarray) -> dict[int, int]:
+    """Place of each opening mark -> place of the mark that closes it: nested, in one pass, a blank line ends all that is open."""
+    out: dict[int, int] = {}
+    still: dict[str, list[int]] = {a: [] for a in _SPAN}
+    n = len(view)
+    for i in np.flatnonzero(_IS_PAIRED[codes]).tolist():
+        c = view[i]
+        if c == "\n":
+            k = i + 1
+            while k < n and view[k] in " \t\r":
+                k += 1
+            if k < n and view[k] == "\n":
+                for open_at in still.values():
+                    open_at.clear()
+        elif c == '"':
+            if still[c] and not view[i - 1].isspace():
+                out[still[c].pop()] = i
+            elif not still[c] and i + 1 < n and not view[i + 1].isspace():
+                still[c].append(i)
+        elif c in _SPAN:
+            still[c].append(i)
+        elif still[_CLOSES[c]]:
+            out[still[_CLOSES[c]].pop()] = i
+    return out
+
+
+def _language(t: str) -> str:
+    """The language whose function words a text in Latin letters holds most of; '' where none is met twice."""
+    words = _LATIN_WORDS.findall(t.lower())
+    counts = {lang: sum(w in known for w in words) for lang, known in FUNCTION_WORDS.items()}
+    best = max(counts, key=counts.get)
+    return best if counts[best] >= 2 else ""
+
+
 class _Text:
     """One text under way: decides, for each proposed end, whether a unit ends there."""
 
-    __slots__ = ("t", "n", "start", "width", "wrap")
+    __slots__ = ("t", "n", "start", "width", "wrap", "_lang")
 
     def __init__(self, t: str) -> None:
-        self.t, self.n, self.start, self.width, self.wrap = t, len(t), 0, -1, None
+        self.t, self.n, self.start, self.width, self.wrap, self._lang = t, len(t), 0, -1, None, None
+
+    @property
+    def lang(self) -> str:
+        if self._lang is None:
+            self._lang = _language(self.t)
+        return self._lang
+
+    def suppressed(self, w: str, at: int, k: int) -> bool:
+        """Whether the word w before the stop, begun at ``at``, is an abbreviation that goes on with what stands at k."""
+        if w in NEVER_FINAL:
+            if w not in WORDS_TOO.get(self.lang, ()):
+                return True
+            return bool(_NUMBERED.match(self.t, k)) or bool(_DAY_BEFORE.search(self.t, max(self.start, at - 12), at))
+        return w in OWN_ABBREVIATIONS.get(self.lang, ())
 
     def after_quote(self, inner_end: bool, j: int) -> bool:
         """End after a closing quote: the quotation ended a sentence and nothing goes on behind it."""
@@ -155,8 +228,8 @@ class _Text:
         head = t[self.start : i] if i - self.start <= 6 else ""
         if not nxt.isspace():
             if nxt.isdigit() or nxt.isupper():
-                # no blank behind a Chinese sentence
-                return bool(prev) and (_cjk(prev) or prev in ")」』》" and any(map(_cjk, t[max(self.start, i - 8) : i])))
+                # no blank behind a Chinese sentence, or a forgotten one behind a word
+                return bool(prev) and (_cjk(prev) or prev in ")」』》" and any(map(_cjk, t[max(self.start, i - 8) : i]))) or self.blank_forgotten(i, j)
             if not _cjk(nxt) and nxt not in "「『《" or "　" <= nxt <= "〿" and nxt not in "「『《":
                 return False
             if head and _LIST_NO.match(head):
@@ -194,7 +267,7 @@ class _Text:
             return bool(b) and b[-1].isdigit()
         if w in MAYBE_FINAL:
             return not (w == "co" and t.startswith(("Ltd", "Inc"), k))
-        if w in NEVER_FINAL:
+        if self.suppressed(w, m.start(), k):
             return False
         if "." in w and w.rsplit(".", 1)[-1] in MAYBE_FINAL:
             return True
@@ -202,8 +275,25 @@ class _Text:
             return False
         return True
 
+    def blank_forgotten(self, i: int, j: int) -> bool:
+        """A word of small letters, the stop, and a word that begins with a capital: two sentences, unless in an address."""
+        t = self.t
+        if j != i + 1 or not t[i - 1].islower() or not t[j].isupper() or not t[j + 1 : j + 2].islower():
+            return False
+        m = _WORD_BACK.search(t, max(self.start, i - 24), i)
+        w = m.group() if m else ""
+        a, z = i, j
+        while a > self.start and not t[a - 1].isspace():
+            a -= 1
+        while z < self.n and not t[z].isspace():
+            z += 1
+        # a word of the sentence, not a title, a name with dots or part of an address
+        return len(w) > 3 and w.islower() and w not in NEVER_FINAL and w not in MAYBE_FINAL and t.count(".", a, z) <= 2 and not _ADDRESS.search(t, a, z)
+
     def letter_ends(self, at: int) -> bool:
-        """A single capital before the stop: the letter of a party may end a sentence, an initial may not."""
+        """A single capital before the stop: the letter of a party may end a sentence, an initial or a title may not."""
+        if self.t[at] in TITLE_LETTERS.get(self.lang, ()) and self.lang == "fr":
+            return False
         if at > self.start and self.t[at - 1] in "/-–" + "0123456789":
             return True
         b = self.t[max(self.start, at - 24) : at].rstrip()
@@ -273,19 +363,30 @@ def split_spans(text: str | None) -> list[tuple[int, int]]:
         x.start = _BLANKS.match(view, e).end()
 
     pos = x.start
-    for i in np.flatnonzero(_IS_TRIGGER[codes]).tolist():
+    at_triggers = np.flatnonzero(_IS_TRIGGER[codes])
+    thai = (codes >= 0x0E01) & (codes <= 0x0E5B)
+    if thai.any():
+        between = np.flatnonzero((codes[1:-1] == 32) & thai[:-2] & thai[2:]) + 1
+        at_triggers = np.union1d(at_triggers, between)
+    partners = None
+    for i in at_triggers.tolist():
         if i < pos:
             continue
         c = view[i]
-        if c == "." and i + 1 < n and ((d := view[i + 1]) in _NO_END_BEFORE and not (i and _cjk(view[i - 1])) or d.isdigit() and view[i - 1].isdigit()):
+        if c == "." and i + 1 < n and (d := view[i + 1]) in _NO_END_BEFORE and not (i and (_cjk(view[i - 1]) or d.isupper() and view[i - 1].islower())) or c == "." and i + 1 < n and i and view[i + 1].isdigit() and view[i - 1].isdigit():
             pos = i + 1
             continue
-        if span := _SPAN.get(c):
-            if not (m := span.match(view, i)):
+        if c in _SPAN:
+            if partners is None:
+                partners = _partners(view, codes)
+            if i not in partners:
                 pos = i + 1
                 continue
-            j = m.end()
+            j = partners[i] + 1
             ended = c not in "(《" and x.after_quote(bool(_TAIL_TERM.search(view, max(i + 1, j - 12), j - 1)), j)
+        elif c == " ":
+            j = i + 1
+            ended = i - x.start >= THAI_LEAST
         elif c == "\n":
             j = _BLANKS.match(view, i).end()
             while i > x.start and view[i - 1].isspace():

@@ -50,3 +50,21 @@ def test_rows_repeated_long_and_empty(spark):
     n = {r["ord"]: r["count"] for r in got.groupBy("ord").count().collect()}
     assert n == {1: 4, 3: 5000}
     assert sentence_units(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, want", [
+    ("He said no. Then he left.", 2), ("It is a work of art. We saw it.", 2), ("He cited No. 12 of the Act. It was old.", 2), ("Foi ao mar. Depois voltou.", 2),
+    ("Nos termos do art. V do Código, o mar. Fim", 2), ("Il habite M. Dupont.", 1), ("Il a vu M. Dupont. Elle est partie.", 2), ("First sentence.Second sentence.", 2),
+    ("Veja www.Exemplo.Test agora. Fim.", 2), ("สวัสดีครับวันนี้อากาศดีมาก เราจะไปเที่ยวกันที่ทะเลพรุ่งนี้", 2),
+])
+def test_languages_suppress_their_own_abbreviations(text, want):
+    assert len(units(text)) == want
+
+
+def test_long_quotations_and_brackets_are_not_split():
+    quote = "Disse «" + "Não vi nada. " * 160 + "» e saiu. Fim."
+    bracket = "O réu (" + "que nada disse. " * 60 + "(nem antes.) E calou) saiu. Fim."
+    title = "見《" + "甲。" * 150 + "》第一條。完。"
+    assert [len(units(t)) for t in (quote, bracket, title)] == [2, 2, 2]
+    assert len(units("Ficou aberta ( a frase. Outra frase. E mais uma.")) == 3
+    assert len(units('Mede 5" de largo. Depois disse "não sei. Talvez" e saiu. Fim.')) == 3
