@@ -52,32 +52,33 @@ FALL = 1.0
 #: prose of no known language: ln(words) over ln(tokens), entropy over ln(words), cross entropy
 WORDS_AT, WORDS_SLOPE, ENTROPY, CROSS_ENTROPY = 0.8, 0.66, 0.9, 5.5
 
-_TOKENS = r"\p{Han}|[a-z]+"
+# signs of scripts written without blanks count one by one, letters of all others as words
+_SIGNS = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_TOKENS = rf"[{_SIGNS}]|[^\P{{L}}{_SIGNS}](?:[^\P{{L}}{_SIGNS}]|\p{{M}})*"
 _COUNT = f"""
-WITH f AS (SELECT doc, lang, tok, count(*) AS n FROM
-             (SELECT doc, lang, unnest(regexp_extract_all(t, '{_TOKENS}')) AS tok FROM src) GROUP BY ALL),
-     c AS (SELECT *, floor(log2(sum(n) OVER (PARTITION BY doc))) AS lb, floor(10 * ln(count(*) OVER (PARTITION BY doc))) AS vb FROM f)
+WITH f AS (SELECT row, lang, tok, count(*) AS n FROM
+             (SELECT row, lang, unnest(regexp_extract_all(t, '{_TOKENS}')) AS tok FROM src) GROUP BY ALL),
+     c AS (SELECT *, floor(log2(sum(n) OVER (PARTITION BY row))) AS lb, floor(10 * ln(count(*) OVER (PARTITION BY row))) AS vb FROM f)
 SELECT lang, lb::INT AS lb, vb::INT AS vb, tok, sum(n)::BIGINT AS n, count(*)::BIGINT AS df FROM c GROUP BY ALL
 UNION ALL
-SELECT lang, lb::INT, vb::INT, '' AS tok, sum(n)::BIGINT, count(DISTINCT doc)::BIGINT FROM c GROUP BY ALL
+SELECT lang, lb::INT, vb::INT, '' AS tok, sum(n)::BIGINT, count(DISTINCT row)::BIGINT FROM c GROUP BY ALL
 """
 _CURVE = f"""
-WITH f AS (SELECT doc, any_value(digest) AS digest, any_value(label) AS label, tok, count(*) AS n FROM
-             (SELECT doc, digest, lang AS label, unnest(regexp_extract_all(t, '{_TOKENS}')) AS tok FROM src) GROUP BY doc, tok),
-     r AS (SELECT f.doc, f.digest, f.label, f.tok, f.n, p.p, p.lang, row_number() OVER (PARTITION BY f.doc ORDER BY f.n DESC, f.tok) AS r,
-                  sum(f.n) OVER (PARTITION BY f.doc) AS total
-           FROM f LEFT JOIN profile p ON p.tok = f.tok)
-SELECT doc, any_value(digest)::BIGINT AS digest, max(total)::BIGINT AS tokens, count(*)::BIGINT AS words,
-       coalesce(max_by(lang, w), '') AS lang, any_value(label) AS label,
+WITH f AS (SELECT row, tok, count(*) AS n FROM (SELECT row, unnest(regexp_extract_all(t, '{_TOKENS}')) AS tok FROM src) GROUP BY row, tok),
+     r AS (SELECT f.row, f.tok, f.n, p.p, p.lang, row_number() OVER (PARTITION BY f.row ORDER BY f.n DESC, f.tok) AS r,
+                  sum(f.n) OVER (PARTITION BY f.row) AS total
+           FROM f LEFT JOIN profile p ON p.tok = f.tok),
+     c AS (SELECT row, max(total)::BIGINT AS tokens, count(*)::BIGINT AS words, coalesce(max_by(lang, w), '') AS lang,
        coalesce(any_value(slope), 0)::DOUBLE AS slope, coalesce(any_value(residual), 0)::DOUBLE AS residual,
        any_value(ce)::DOUBLE AS cross_entropy, any_value(kl)::DOUBLE AS divergence
-FROM (SELECT *, sum(CASE WHEN lang IS NOT NULL THEN n END) OVER (PARTITION BY doc, lang) AS w,
+FROM (SELECT *, sum(CASE WHEN lang IS NOT NULL THEN n END) OVER (PARTITION BY row, lang) AS w,
              regr_slope(ln(n), ln(r)) OVER page AS slope,
              sqrt(greatest(0, regr_syy(ln(n), ln(r)) OVER page * (1 - regr_r2(ln(n), ln(r)) OVER page)) / count(*) OVER page) AS residual,
              -sum(n / total * ln(coalesce(p, {FLOOR}))) OVER page AS ce,
              sum(n / total * ln(n / total / coalesce(p, {FLOOR}))) OVER page AS kl
-      FROM r WINDOW page AS (PARTITION BY doc))
-GROUP BY doc
+      FROM r WINDOW page AS (PARTITION BY row))
+GROUP BY row)
+SELECT s.doc, s.digest, c.tokens, c.words, c.lang, s.lang AS label, c.slope, c.residual, c.cross_entropy, c.divergence FROM c JOIN src s USING (row)
 """
 
 
@@ -85,14 +86,15 @@ def _folded(b: pa.RecordBatch) -> pa.Table:
     from .fold import fold
 
     texts = [fold(t) if t else "" for t in b.column("t").to_pylist()]
-    return pa.table({c: texts if c == "t" else b.column(c) for c in b.schema.names})
+    # rows are told apart by their place, as several may share an id or have none
+    return pa.table({c: texts if c == "t" else b.column(c) for c in b.schema.names} | {"row": pa.array(range(b.num_rows), pa.int32())})
 
 
 def _run(sql: str, schema: pa.Schema, profile: pa.Table | None = None):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})  # slices fit in memory, nothing is spilled
         if profile is not None:
             con.register("profile", profile)
         for b in batches:
@@ -156,8 +158,8 @@ def prose_profile(src: DataFrame) -> DataFrame:
     )
     kept = counts.join(F.broadcast(rich), ["lang", "lb", "vb"])  # classes: languages x log2 lengths x tenths of log vocabulary
     totals = kept.where("tok = ''").groupBy("lang").agg(F.sum("n").alias("all_n"), F.sum("df").alias("pages"))
-    share = W.partitionBy()
-    totals = totals.withColumn("everything", F.sum("pages").over(share)).where(F.col("pages") >= 0.01 * F.col("everything")).drop("everything")
+    # a language speaks for itself from ENOUGH pages on, however many pages there are of others
+    totals = totals.where(F.col("pages") >= ENOUGH)
     usual = (
         kept.where("tok <> ''")
         .groupBy("lang", "tok")

@@ -60,3 +60,40 @@ def test_no_known_language_has_a_fixed_reference(spark):
     rows = [(i, prose(r, r.randrange(8, 40)), "pt", "x") for i in range(400)]
     rows += [(1000, " ".join(r.choice(words[:9]) for _ in range(900)), "", "x"), (1001, " ".join(words), None, "x")]
     assert {x.doc_id for x in spam_pages(spark.createDataFrame(rows, SCHEMA)).collect()} == {1000}
+
+
+def test_other_scripts_are_read(spark):
+    r = random.Random(8)
+    letters = {"ru": "бвгджзклмнпрстфцчшщ", "ar": "بتثجحخدذرزسشصضطظعغفقكلمن", "ko": "가나다라마바사아자차카타파하고노도로모보"}
+    rows = [(i, prose(r, r.randrange(8, 40)), "pt", "x") for i in range(400)]
+    want = set()
+    for n, (lang, abc) in enumerate(letters.items()):
+        words = ["".join(r.choice(abc) for _ in range(r.randrange(2, 8))) for _ in range(900)]
+        for i in range(40):
+            common = [words[min(int(r.paretovariate(0.7)), 899)] for _ in range(r.randrange(150, 400))]
+            rows.append((1000 * (n + 1) + i, " ".join(common), lang, "x"))
+        rows.append((1000 * (n + 1) + 99, " ".join(r.choice(words[600:606]) for _ in range(300)), lang, "x"))
+        want.add(1000 * (n + 1) + 99)
+    df = spark.createDataFrame(rows, SCHEMA)
+    curves = {x.doc: x for x in page_curves(df).collect()}
+    assert len(curves) == len(rows) and all(c.tokens >= 150 for d, c in curves.items() if d >= 1000)
+    assert {x.doc_id for x in spam_pages(df).collect()} == want
+
+
+def test_a_rare_language_has_a_profile_of_its_own(spark):
+    r = random.Random(9)
+    words = ["".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(r.randrange(1, 5))) for _ in range(900)]
+    rows = [(i, prose(r, r.randrange(8, 40)), "pt", "x") for i in range(2500)]
+    rows += [(5000 + i, " ".join(words[min(int(r.paretovariate(0.6)), 899)] for _ in range(r.randrange(100, 300))), "xx", "x") for i in range(22)]
+    assert {c.lang for c in page_curves(spark.createDataFrame(rows, SCHEMA)).where("doc >= 5000").collect()} == {"xx"}
+    assert not {x.doc_id for x in spam_pages(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_rows_that_share_or_lack_an_id_stay_apart(spark):
+    r = random.Random(10)
+    rows = [(i, prose(r, r.randrange(8, 40)), "pt", "x") for i in range(300)]
+    keys = " | ".join(r.choice(KEYS) for _ in range(80))
+    rows += [(None, keys, "pt", "x"), (None, prose(r, 30), "pt", "x"), (7, keys, "pt", "y")]
+    got = page_curves(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows)
+    assert sorted((c.doc or 0) for c in got if c.is_spam) == [0, 7]
