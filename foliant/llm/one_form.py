@@ -73,7 +73,7 @@ def one_form_query(source: str, text: str, others: str) -> str:
 
 
 def _duck() -> duckdb.DuckDBPyConnection:
-    return duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
+    return duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False, "temp_directory": ""})
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
