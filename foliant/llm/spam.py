@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from math import log
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,19 +53,16 @@ FALL = 1.0
 #: prose of no known language: ln(words) over ln(tokens), entropy over ln(words), cross entropy
 WORDS_AT, WORDS_SLOPE, ENTROPY, CROSS_ENTROPY = 0.8, 0.66, 0.9, 5.5
 
-# signs of scripts written without blanks count one by one, letters of all others as words
-_SIGNS = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
-_TOKENS = rf"[{_SIGNS}]|[^\P{{L}}{_SIGNS}](?:[^\P{{L}}{_SIGNS}]|\p{{M}})*"
-_COUNT = f"""
-WITH f AS (SELECT row, lang, tok, count(*) AS n FROM
-             (SELECT row, lang, unnest(regexp_extract_all(t, '{_TOKENS}')) AS tok FROM src) GROUP BY ALL),
-     c AS (SELECT *, floor(log2(sum(n) OVER (PARTITION BY row))) AS lb, floor(10 * ln(count(*) OVER (PARTITION BY row))) AS vb FROM f)
+_COUNT = """
+WITH f AS (SELECT row, tok, count(*) AS n FROM words GROUP BY ALL),
+     g AS (SELECT f.*, src.lang FROM f JOIN src USING (row)),
+     c AS (SELECT *, floor(log2(sum(n) OVER (PARTITION BY row))) AS lb, floor(10 * ln(count(*) OVER (PARTITION BY row))) AS vb FROM g)
 SELECT lang, lb::INT AS lb, vb::INT AS vb, tok, sum(n)::BIGINT AS n, count(*)::BIGINT AS df FROM c GROUP BY ALL
 UNION ALL
 SELECT lang, lb::INT, vb::INT, '' AS tok, sum(n)::BIGINT, count(DISTINCT row)::BIGINT FROM c GROUP BY ALL
 """
 _CURVE = f"""
-WITH f AS (SELECT row, tok, count(*) AS n FROM (SELECT row, unnest(regexp_extract_all(t, '{_TOKENS}')) AS tok FROM src) GROUP BY row, tok),
+WITH f AS (SELECT row, tok, count(*) AS n FROM words GROUP BY ALL),
      r AS (SELECT f.row, f.tok, f.n, p.p, p.lang, row_number() OVER (PARTITION BY f.row ORDER BY f.n DESC, f.tok) AS r,
                   sum(f.n) OVER (PARTITION BY f.row) AS total
            FROM f LEFT JOIN profile p ON p.tok = f.tok),
@@ -82,12 +80,14 @@ SELECT s.doc, s.digest, c.tokens, c.words, c.lang, s.lang AS label, c.slope, c.r
 """
 
 
-def _folded(b: pa.RecordBatch) -> pa.Table:
-    from .fold import fold
+def _tables(b: pa.RecordBatch) -> tuple[pa.Table, pa.Table]:
+    """(rows without their text, words of the rows); rows are told apart by their place, as several may share an id or have none."""
+    from .fold import worded
 
-    texts = [fold(t) if t else "" for t in b.column("t").to_pylist()]
-    # rows are told apart by their place, as several may share an id or have none
-    return pa.table({c: texts if c == "t" else b.column(c) for c in b.schema.names} | {"row": pa.array(range(b.num_rows), pa.int32())})
+    row = pa.array(range(b.num_rows), pa.int32())
+    lists = pc.split_pattern(pa.array([worded(t) if t else "" for t in b.column("t").to_pylist()], pa.string()), " ")
+    words = pa.table({"row": row.take(pc.list_parent_indices(lists)), "tok": lists.flatten()})
+    return pa.table({c: b.column(c) for c in b.schema.names if c != "t"} | {"row": row}), words.filter(pc.not_equal(words["tok"], ""))
 
 
 def _run(sql: str, schema: pa.Schema, profile: pa.Table | None = None):
@@ -99,9 +99,12 @@ def _run(sql: str, schema: pa.Schema, profile: pa.Table | None = None):
             con.register("profile", profile)
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
-                con.register("src", _folded(b.slice(lo, 2000)))
+                rows, words = _tables(b.slice(lo, 2000))
+                con.register("src", rows)
+                con.register("words", words)
                 yield from con.sql(sql).to_arrow_table().cast(schema).to_batches()
                 con.unregister("src")
+                con.unregister("words")
 
     return work
 
