@@ -3,12 +3,13 @@
 Texts are brought to templates: base letters without case, accents, blanks,
 markup or shapeless characters, with typed placeholders for numbers, dates,
 amounts of money, durations, measures (numbers with their units) and names.
-Windows of a template (twenty signs, nine in Han script) are hashed and joined, in
-Spark, with the windows of the evaluation items; a bit table of fixed size over
-the items' windows lets only windows out of a document that are likely to meet
-one. Windows that meet on one diagonal form a stretch; a stretch over a third of
-the item, dense enough and not made of passages that several items share, is a
-leak. The figures (or else the names) of both stretches, the slots of the
+Windows of a template (twenty signs, nine in Han script) are hashed. Those that few
+items have are joined, in Spark, with the windows of the documents: that gives the
+pairs to look at. Of a pair all windows are then held against each other. A bit
+table of fixed size over the items' windows lets only windows out of a document
+that are likely to meet one. Windows that meet on one diagonal form a stretch; a
+stretch over a third of the item, dense enough and not made of passages that
+several items share, is a leak. The figures (or else the names) of both stretches, the slots of the
 template, are then compared: where few agree, the leak is a re-parameterised copy.
 
 Names are capitalised words inside a sentence. A passage that has lost its case
@@ -23,6 +24,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -41,7 +43,7 @@ OWN, SHARED = 0.15, 4
 #: least part of the telling slots of the stretch that the item has; below it the stretch is another filling of the template
 #: (copies with changed words agree in 0.4 or more, other fillings in single figures by chance)
 SLOTS = 0.25
-#: windows of items that are broadcast; more of them are joined by shuffle
+#: windows of items that are sent to the workers; more of them are joined by shuffle
 POSTINGS = 500_000
 #: slots of the bit table
 BITS = 1 << 24
@@ -87,11 +89,11 @@ class Template:
     __slots__ = ("signs", "typed", "place", "figures", "names")
 
     def __init__(self, text: str) -> None:
-        from .fold import BASE, codes_of
+        from .fold import BASE, codes_of, spell
 
         if "<" in text or "](" in text or "&" in text:
             text = _TAG.sub(lambda m: m.group(1) or " ", text)
-        text = _spelled().sub(_spell, text)
+        text = spell(text)
         base = BASE[codes_of(text)]
         digit = (base >= 48) & (base <= 57)
         raw_at = at = np.flatnonzero(digit | ((base >= 97) & (base <= 122)) | _letters()[base])
@@ -159,23 +161,6 @@ class Template:
         return out
 
 
-_SPELLED: list[re.Pattern] = []
-
-
-def _spelled() -> re.Pattern:
-    if not _SPELLED:
-        from .fold import SPELLED
-
-        _SPELLED.append(re.compile("[" + "".join(map(re.escape, SPELLED)) + "]"))
-    return _SPELLED[0]
-
-
-def _spell(m: re.Match) -> str:
-    from .fold import SPELLED
-
-    return SPELLED[m.group()]
-
-
 def _string(signs: np.ndarray) -> str:
     return signs.tobytes().decode("utf-32-le", "surrogatepass")
 
@@ -233,14 +218,13 @@ def _rows(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-_TEXTS, _PLACES = pa.list_(pa.string()), pa.list_(pa.int32())
+_TEXTS, _PLACES, _HASHES = pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())
 _ITEM_SCHEMA = pa.schema(
-    [("item", pa.int64()), ("item_id", pa.int64()), ("size", pa.int32()), ("win", pa.int32()), ("item_figures", _TEXTS), ("item_names", _TEXTS), ("h", pa.list_(pa.int64())), ("q", _PLACES)]
-)
-# one row of a document (k is -1) has its id and slots, the others a window each
-_WINDOW_SCHEMA = pa.schema(
-    [("doc", pa.int64()), ("h", pa.int64()), ("k", pa.int32()), ("doc_id", pa.int64()), ("figures", _TEXTS), ("names", _TEXTS), ("figures_at", _PLACES), ("names_at", _PLACES)]
+    [("item", pa.int64()), ("item_id", pa.int64()), ("template", pa.int64()), ("size", pa.int32()), ("win", pa.int32()), ("item_figures", _TEXTS), ("item_names", _TEXTS), ("h", _HASHES), ("q", _PLACES)]
 )
+_DOC = [("doc_id", pa.int64()), ("figures", _TEXTS), ("names", _TEXTS), ("figures_at", _PLACES), ("names_at", _PLACES), ("hs", _HASHES), ("ks", _PLACES)]
+# one row of a document (its head) has the columns of _DOC, the others a window each that few items have
+_WINDOW_SCHEMA = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("head", pa.bool_()), *_DOC])
 
 
 def _numbers() -> Iterator[int]:
@@ -261,21 +245,22 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = Template(text)
             win = HAN if len(t.signs) and _is_han(t.signs).mean() > 0.4 else LATIN
             h, q = t.windows()[win]
-            rows.append((next(number), item_id, len(t.signs), win, [f for _, f in t.figures], [n for _, n in t.names], h.view(np.int64), q))
+            digest = int.from_bytes(hashlib.blake2b(t.signs.tobytes(), digest_size=8).digest(), "little", signed=True)
+            rows.append((next(number), item_id, digest, len(t.signs), win, [f for _, f in t.figures], [n for _, n in t.names], h.view(np.int64), q))
         if rows:
             yield _rows(list(zip(*rows, strict=True)), _ITEM_SCHEMA)
 
 
-def _documents(marked: bytes):
-    """Per document that may meet an item: a row with its slots, then its windows whose slot of the bit table is marked."""
+def _documents(marked: bytes, rare: bytes):
+    """Per document that may meet an item: its head, then its windows that few items have; ``marked`` and ``rare`` are bit tables."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(marked, np.uint8)).view(bool)
+        bits, few = (np.unpackbits(np.frombuffer(x, np.uint8)).view(bool) for x in (marked, rare))
         number, mask = _numbers(), np.uint64(BITS - 1)
         for b in batches:
             for lo in range(0, b.num_rows, 400):
                 part = b.slice(lo, 400)
-                heads, hashes, places, sizes = [], [], [], []
+                heads, seeds, sizes, hashes, places = [], [], [], [], []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     if not text:
                         continue
@@ -288,33 +273,37 @@ def _documents(marked: bytes):
                     sel = sel[han[k9[sel]] | han[k9[sel] + HAN - 1]]
                     h9, k9 = h9[sel], k9[sel]
                     sel = np.flatnonzero(bits[h20 & mask])
-                    if len(h9) + len(sel):
+                    h = np.concatenate([h9, h20[sel]])
+                    telling = np.unique(h[few[h & mask]])
+                    if len(telling):
+                        order = np.argsort(h.view(np.int64), kind="stable")
+                        hashes.append(h[order])
+                        places.append(np.concatenate([k9, k20[sel]])[order])
                         heads.append((next(number), doc_id, t.figures, t.names))
-                        hashes += [_HEAD, h9, h20[sel]]
-                        places += [_HEAD_PLACE, k9, k20[sel]]
-                        sizes.append(1 + len(h9) + len(sel))
+                        seeds += [_HEAD, telling]
+                        sizes.append(1 + len(telling))
                 if not heads:
                     continue
                 sizes = np.array(sizes)
                 at = np.cumsum(sizes) - sizes
-                # the head row of each document has a value in these columns, the others null
                 row = np.full(sizes.sum(), -1)
                 row[at] = np.arange(len(heads))
                 row = pa.array(row, mask=row < 0)
-                slots = [[h[1] for h in heads], [[v for _, v in h[2]] for h in heads], [[v for _, v in h[3]] for h in heads], [[p for p, _ in h[2]] for h in heads], [[p for p, _ in h[3]] for h in heads]]
+                slots = [[h[1] for h in heads], *[[[x[j] for x in h[i]] for h in heads] for j in (1, 0) for i in (2, 3)]]
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in hashes])]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (np.concatenate(hashes).view(np.int64), np.concatenate(places).astype(np.int32))]
                 docs = np.array([h[0] for h in heads])
-                h = np.concatenate(hashes).view(np.int64)
-                h[at] = docs  # spreads the head rows where the join is a shuffle
+                h = np.concatenate(seeds).view(np.int64)
+                h[at] = docs  # spreads the heads where the join is a shuffle
+                columns = [pa.array(c, t) for c, (_, t) in zip(slots, _DOC, strict=False)] + lists
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(docs, sizes)), pa.array(h), pa.array(np.concatenate(places).astype(np.int32))]
-                    + [pa.array(c, f.type).take(row) for c, f in zip(slots, list(_WINDOW_SCHEMA)[3:], strict=True)],
-                    schema=_WINDOW_SCHEMA,
+                    [pa.array(np.repeat(docs, sizes)), pa.array(h), pa.array(np.isin(np.arange(len(h)), at)), *[c.take(row) for c in columns]], schema=_WINDOW_SCHEMA
                 )
 
     return work
 
 
-_HEAD, _HEAD_PLACE = np.zeros(1, np.uint64), np.full(1, -1)
+_HEAD = np.zeros(1, np.uint64)
 
 
 def _stretches(q: np.ndarray, k: np.ndarray, band: np.ndarray, common: np.ndarray, size: int, win: int) -> list[tuple[float, int, int, int]]:
@@ -355,83 +344,53 @@ def _equal_slots(mine: list[str], theirs: list[str], same) -> float:
     return sum(any(same(f, g) for g in theirs) for f in mine) / len(mine)
 
 
-_STRETCH_SCHEMA = pa.schema(
-    [("doc_id", pa.int64()), ("item", pa.int64()), ("shares", pa.list_(pa.float64())), ("owns", pa.list_(pa.float64())), ("figures", pa.list_(_TEXTS)), ("names", pa.list_(_TEXTS))]
-)
+class _Item:
+    """An item with its windows in the order of their hashes."""
 
+    __slots__ = ("id", "size", "win", "figures", "names", "h", "q", "common")
 
-def _held(t: pa.Table) -> pa.RecordBatch | None:
-    """The stretches of the meetings of whole documents."""
-    doc, item = t["doc"].to_numpy(), t["item"].fill_null(-1).to_numpy()
-    head = {d: i for i, d in zip(np.flatnonzero(t["k"].to_numpy() < 0).tolist(), doc[t["k"].to_numpy() < 0].tolist(), strict=True)}
-    met = np.flatnonzero(item >= 0)
-    if not len(met):
-        return None
-    k, q, size, win = (t[c].fill_null(0).to_numpy().astype(np.int64)[met] for c in ("k", "q", "size", "win"))
-    common = t["common"].fill_null(False).to_numpy()[met]
-    d, it = doc[met], item[met]
-    band = (k - q) // _BAND
-    order = np.lexsort((k, band, it, d))
-    d, it, k, q, size, win, common, band = (x[order] for x in (d, it, k, q, size, win, common, band))
-    new_pair = np.ones(len(d), bool)
-    new_pair[1:] = (d[1:] != d[:-1]) | (it[1:] != it[:-1])
-    new_band = new_pair.copy()
-    new_band[1:] |= band[1:] != band[:-1]
-    # only where two neighbouring bands hold enough of the item
-    first = np.flatnonzero(new_band)
-    n = np.diff(np.append(first, len(d)))
-    follows = np.zeros(len(n), np.int64)
-    near = ~new_pair[first[1:]] & (band[first[1:]] == band[first[:-1]] + 1)
-    follows[:-1] = np.where(near, n[1:], 0)
-    pair = np.cumsum(new_pair) - 1
-    enough = np.zeros(pair[-1] + 1, bool)
-    enough[pair[first][n + follows >= 0.08 * size[first]]] = True
-    starts = np.append(np.flatnonzero(new_pair), len(d))
-    rows = []
-    for p in np.flatnonzero(enough).tolist():
-        a, z = int(starts[p]), int(starts[p + 1])
-        found = _stretches(q[a:z], k[a:z], band[a:z], common[a:z], int(size[a]), int(win[a]))
-        if found:
-            i = head[int(d[a])]
-            slots = []
-            for c in ("figures", "names"):
-                values, places = t[c][i].as_py(), t[f"{c}_at"][i].as_py()
-                slots.append([[v for v, at in zip(values, places, strict=True) if lo <= at < hi] for _, _, lo, hi in found])
-            rows.append((t["doc_id"][i].as_py(), int(it[a]), [f[0] for f in found], [f[1] / size[a] for f in found], *slots))
-    return _rows(list(zip(*rows, strict=True)), _STRETCH_SCHEMA) if rows else None
-
-
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of every document and item; the rows of a document stand together."""
-    waiting: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        doc = b.column(0).to_numpy()
-        # the last document may go on in the next batch
-        last = len(doc) - int(np.argmax(np.append(doc[::-1] != doc[-1], True)))
-        if last == 0 and waiting and waiting[-1].column(0)[0].as_py() == doc[0]:
-            waiting.append(b)
-            continue
-        done, waiting = [*waiting, b.slice(0, last)], [b.slice(last)]
-        if (got := _held(pa.Table.from_batches(done))) is not None:
-            yield got
-    if waiting and (got := _held(pa.Table.from_batches(waiting))) is not None:
-        yield got
+    def __init__(self, r: dict) -> None:
+        self.id, self.size, self.win, self.figures, self.names = r["item_id"], r["size"], r["win"], r["item_figures"], r["item_names"]
+        h = np.array([w["h"] for w in r["windows"]], np.int64)
+        order = np.argsort(h, kind="stable")
+        self.h, self.q, self.common = h[order], np.array([w["q"] for w in r["windows"]])[order], np.array([w["common"] for w in r["windows"]], bool)[order]
 
 
-_LEAK_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("share", pa.float64()), ("slots_equal", pa.float64())])
+class _Document:
+    """A document with its windows in the order of their hashes; slots are read where a stretch is found."""
 
+    __slots__ = ("h", "k", "slots")
 
-def _verdict(r: dict) -> tuple[float, float] | None:
+    def __init__(self, column, row: int) -> None:
+        self.h, self.k = (column(c)[row].values.to_numpy() for c in ("hs", "ks"))
+        self.slots = lambda: tuple(tuple(zip(column(c)[row].as_py(), column(f"{c}_at")[row].as_py(), strict=True)) for c in ("figures", "names"))
+
+
+def _verdict(d: _Document, x: _Item) -> tuple[float, float] | None:
     """(share, slots_equal) of the stretch that speaks most for a leak; None where none counts."""
-    rest = None
-    for share, own, figures, names in zip(r["shares"], r["owns"], r["figures"], r["names"], strict=True):
+    lo, hi = np.searchsorted(d.h, x.h, "left"), np.searchsorted(d.h, x.h, "right")
+    n = hi - lo
+    total = int(n.sum())
+    if total < 0.08 * x.size:
+        return None
+    k = d.k[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)].astype(np.int64)
+    q, common = np.repeat(x.q, n), np.repeat(x.common, n)
+    band = (k - q) // _BAND
+    # only where two neighbouring bands hold enough of the item
+    keys, counts = np.unique(band, return_counts=True)
+    follows = np.zeros(len(keys), dtype=np.int64)
+    follows[:-1] = np.where(np.diff(keys) == 1, counts[1:], 0)
+    if not (counts + follows >= 0.08 * x.size).any():
+        return None
+    rest = slots = None
+    for share, own, a, z in _stretches(q, k, band, common, x.size, x.win):
+        slots = slots or d.slots()
+        figures, names = ([v for v, at in s if a <= at < z] for s in slots)
         if figures:
-            equal = _equal_slots(figures, r["item_figures"], same_figure)
-        elif own >= OWN:
+            equal = _equal_slots(figures, x.figures, same_figure)
+        elif own / x.size >= OWN:
             # names alone can speak against a leak, as some names are met everywhere
-            equal = _equal_slots(names, r["item_names"], str.__eq__) if len(names) >= 2 and r["item_names"] else 1.0
+            equal = _equal_slots(names, x.names, str.__eq__) if len(names) >= 2 and x.names else 1.0
         else:
             continue
         if equal >= SLOTS:
@@ -441,9 +400,55 @@ def _verdict(r: dict) -> tuple[float, float] | None:
     return rest
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_LEAK_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("share", pa.float64()), ("slots_equal", pa.float64())])
+
+
+def _judged(items: dict[int, _Item]):
+    """Leaks of documents whose rows (head first, then one per window and item) stand together."""
+
+    def of(t: pa.Table) -> pa.RecordBatch | None:
+        t = t.combine_chunks()
+        doc, item = t["doc"].to_numpy(), t["item"].fill_null(-1).to_numpy()
+        ids, heads, found = t["doc_id"], np.flatnonzero(t["head"].to_numpy()), []
+        row_of = dict(zip(doc[heads].tolist(), heads.tolist(), strict=True))
+        met = np.flatnonzero(item >= 0)
+        pairs = np.unique(np.stack([doc[met], item[met]], axis=1), axis=0) if len(met) else np.zeros((0, 2), np.int64)
+        last, d = None, None
+        for number, i in pairs.tolist():
+            if number != last:
+                last, d = number, _Document(t.column, row_of[number])
+            if v := _verdict(d, items[i]):
+                found.append((ids[row_of[number]].as_py(), items[i].id, *v))
+        return _rows(list(zip(*found, strict=True)), _LEAK_SCHEMA) if found else None
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            doc = b.column(0).to_numpy()
+            # the last document may go on in the next batch
+            last = len(doc) - int(np.argmax(np.append(doc[::-1] != doc[-1], True)))
+            if last == 0 and waiting and waiting[-1].column(0)[0].as_py() == doc[0]:
+                waiting.append(b)
+                continue
+            done, waiting = [*waiting, b.slice(0, last)], [b.slice(last)]
+            if (got := of(pa.Table.from_batches(done))) is not None:
+                yield got
+        if waiting and (got := of(pa.Table.from_batches(waiting))) is not None:
+            yield got
+
+    return work
+
+
+def _judged_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same, where every row is a document with an item."""
     for b in batches:
-        found = [(r["doc_id"], r["item_id"], *v) for r in b.to_pylist() if (v := _verdict(r))]
+        found = []
+        for i in range(b.num_rows):
+            x = _Item({c: b.column(c)[i].as_py() for c in ("item_id", "size", "win", "item_figures", "item_names", "windows")})
+            if v := _verdict(_Document(b.column, i), x):
+                found.append((b.column("doc_id")[i].as_py(), x.id, *v))
         if found:
             yield _rows(list(zip(*found, strict=True)), _LEAK_SCHEMA)
 
@@ -452,7 +457,7 @@ def _ddl(schema: pa.Schema) -> str:
     def kind(t: pa.DataType) -> str:
         if pa.types.is_list(t):
             return f"array<{kind(t.value_type)}>"
-        return {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.float64(): "double"}[t]
+        return {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.float64(): "double", pa.bool_(): "boolean"}[t]
 
     return ", ".join(f"{f.name} {kind(f.type)}" for f in schema)
 
@@ -466,22 +471,30 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """
     asked = items.select(items["item_id"].cast("bigint").alias("item_id"), items["text"].alias("t")).where("item_id IS NOT NULL AND t IS NOT NULL")
     asked = written(asked.mapInArrow(_items, _ddl(_ITEM_SCHEMA)))
-    postings = asked.select("item", "size", "win", F.explode(F.arrays_zip("h", "q")).alias("x")).select("item", "size", "win", "x.h", "x.q")
-    # at most BITS numbers, whatever the number of items
-    slots = postings.select(F.col("h").bitwiseAND(F.lit(BITS - 1)).cast("int").alias("s")).distinct().toArrow()["s"].to_numpy()
-    marked = np.zeros(BITS, dtype=bool)
-    marked[slots] = True
-    # windows that several items share prove little
-    owners = postings.groupBy("h").agg((F.count_distinct("item") >= SHARED).alias("common"))
-    postings = cut_lineage(postings.join(owners, "h"))
-    few = postings.count() <= POSTINGS
+    postings = asked.select("item", "template", F.explode(F.arrays_zip("h", "q")).alias("x")).select("item", "template", "x.h", "x.q")
+    # windows that several different items share prove little
+    owners = cut_lineage(postings.groupBy("h").agg((F.count_distinct("template") >= SHARED).alias("common")))
+    # at most BITS numbers each, whatever the number of items
+    marked, rare = (_bits(x) for x in (owners, owners.where("NOT common")))
+    seeds = cut_lineage(postings.join(owners.where("NOT common"), "h").select("h", "item").distinct())
+    known = postings.join(owners, "h").groupBy("item").agg(F.collect_list(F.struct("h", "q", "common")).alias("windows"))
+    known = asked.select("item", "item_id", "size", "win", "item_figures", "item_names").join(known, "item")
     src = spread(documents.select(documents["doc_id"].cast("bigint").alias("doc_id"), documents["text"].alias("t")).where(F.length("t") > 0))
-    windows = src.mapInArrow(_documents(np.packbits(marked).tobytes()), _ddl(_WINDOW_SCHEMA))
-    if few:
-        # no document leaves its partition
-        met = windows.join(F.broadcast(postings), "h", "left").where("item IS NOT NULL OR k < 0")
-    else:
-        met = cut_lineage(windows).join(postings, "h", "left").where("item IS NOT NULL OR k < 0").repartition("doc").sortWithinPartitions("doc")
-    stretches = met.select("doc", "k", "item", "q", "size", "win", "common", *_WINDOW_SCHEMA.names[3:]).mapInArrow(_meetings, _ddl(_STRETCH_SCHEMA))
-    facts = asked.select("item", "item_id", "item_figures", "item_names")
-    return stretches.join(F.broadcast(facts) if few else facts, "item").drop("item").mapInArrow(_verify, _ddl(_LEAK_SCHEMA))
+    windows = src.mapInArrow(_documents(marked, rare), _ddl(_WINDOW_SCHEMA))
+    if owners.count() <= POSTINGS:
+        # no document leaves its partition; the items are few, as counted
+        items_of = {r["item"]: _Item(r.asDict(recursive=True)) for r in known.collect()}
+        met = windows.join(F.broadcast(seeds), "h", "left").where("item IS NOT NULL OR head")
+        return met.select("doc", "item", *_WINDOW_SCHEMA.names[2:]).mapInArrow(_judged(items_of), _ddl(_LEAK_SCHEMA))
+    windows = written(windows)
+    pairs = windows.where("NOT head").select("doc", "h").join(seeds, "h").select("doc", "item").distinct()
+    every = pairs.join(windows.where("head").drop("h", "head"), "doc").join(known, "item")
+    return every.mapInArrow(_judged_pairs, _ddl(_LEAK_SCHEMA))
+
+
+def _bits(hashes: DataFrame) -> bytes:
+    """Bit table of hashes."""
+    slots = hashes.select(F.col("h").bitwiseAND(F.lit(BITS - 1)).cast("int").alias("s")).distinct().toArrow()["s"].to_numpy()
+    out = np.zeros(BITS, dtype=bool)
+    out[slots] = True
+    return np.packbits(out).tobytes()
