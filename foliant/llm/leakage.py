@@ -3,11 +3,12 @@
 Texts are brought to templates: base letters without case, accents, blanks,
 markup or shapeless characters, with typed placeholders for numbers, dates,
 amounts of money, durations, measures (numbers with their units) and names.
-Windows of a template (twenty signs, nine in Han script) are hashed. Those that few
-items have are joined, in Spark, with the windows of the documents: that gives the
-pairs to look at. Of a pair all windows are then held against each other. A bit
-table of fixed size over the items' windows lets only windows out of a document
-that are likely to meet one. Windows that meet on one diagonal form a stretch; a
+Windows of a template (twenty signs, nine in Han script) are hashed. A hash join of
+those that few items have with the windows of the documents gives the pairs to look
+at: up to POSTINGS windows of items are sent to every partition of documents, more
+are joined by shuffle, of the documents only what a bit table of fixed size over the
+items' windows lets pass. Each document is brought to its template once in either
+way. Of a pair all windows are then held against each other. Windows that meet on one diagonal form a stretch; a
 stretch over a third of the item, dense enough and not made of passages that
 several items share, is a leak. The figures (or else the names) of both stretches, the slots of the
 template, are then compared: where few agree, the leak is a re-parameterised copy.
@@ -66,6 +67,7 @@ _BEHIND = re.compile(
 _MYRIADS = re.compile("0(?:[萬億]0?)*元?")
 _BEFORE = tuple((m, "date") for m in _EN_MONTHS.split("|")) + tuple((m, "money") for m in _CURRENCY.split("|"))
 _BEFORE_BY_END = {z: [(m, k) for m, k in _BEFORE if m[-1] == z] for z in {m[-1] for m, _ in _BEFORE}}
+_BEGINNINGS = {u[0] for u in ["de", *_EN_MONTHS.split("|"), *_MONEY.split("|"), *_TIME.split("|"), *_MEASURE.split("|"), "萬", "億"]}
 #: signs of the typed placeholders; 0 stands for a plain number
 _SIGN_OF = {"date": 0xE001, "money": 0xE002, "time": 0xE003, "measure": 0xE004, "name": 0xE005}
 _UPPER, _LOWER = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
@@ -79,86 +81,123 @@ _NO_DIGIT = dict.fromkeys(map(ord, ".,:/ \n\t\r"))
 _FIGURE = re.compile(r"\d+(?:(?:\s*\n\s*[.,]?|[.,]\s*\n\s*|[.,:/])\d+)*")
 
 
-class Template:
-    """Signs of a text, and its slots: (place, value) of the telling figures and dates and of the names.
+#: sign before each text of a batch
+_EDGE = 0xE000
+
+
+class Templates:
+    """The templates of many texts in one array, each behind an edge sign.
 
     ``signs`` has one sign per number, ``typed`` one per typed placeholder, of which
-    ``place`` tells where in ``signs`` it stands.
+    ``place`` tells where in ``signs`` it stands; ``start`` is the first place of each
+    text. Slots are read on demand.
     """
 
-    __slots__ = ("signs", "typed", "place", "figures", "names")
-
-    def __init__(self, text: str) -> None:
+    def __init__(self, texts: list[str]) -> None:
         from .fold import BASE, codes_of, spell
 
-        if "<" in text or "](" in text or "&" in text:
-            text = _TAG.sub(lambda m: m.group(1) or " ", text)
-        text = spell(text)
-        base = BASE[codes_of(text)]
-        digit = (base >= 48) & (base <= 57)
-        raw_at = at = np.flatnonzero(digit | ((base >= 97) & (base <= 122)) | _letters()[base])
-        raw = base[at]
-        signs = np.where(digit[at], _ZERO, raw)
-        numbers = digit.any()
-        if numbers:
-            first = np.ones(len(at), dtype=bool)
-            first[1:] = ~((signs[1:] == _ZERO) & (signs[:-1] == _ZERO))
-            signs, at = signs[first], at[first]
-        typed, keep, names, dates = signs.copy(), np.ones(len(at), dtype=bool), [], []
-        found = [m.span() for m in _NAME.finditer(text)]
-        if found:
-            for (a, z), (start, _) in zip(np.searchsorted(at, found).tolist(), found, strict=True):
-                if z > a:
-                    names.append((start, _string(signs[a:z])))
-                    typed[a] = _SIGN_OF["name"]
-                    keep[a + 1 : z] = False
-        if numbers:
-            whole, free, n = _string(typed), 0, len(at)
-            for p in np.flatnonzero(typed == _ZERO).tolist():
-                if p < free:
-                    continue
-                m, a = _BEHIND.match(whole, p), p
-                kind, z = (m.lastgroup, m.end()) if m else ("", p + 1)
-                for word, k in _BEFORE_BY_END.get(whole[p - 1], ()) if p else ():
-                    if whole.endswith(word, free, p):
-                        kind, a = k, p - len(word)
-                        z = _MYRIADS.match(whole, p).end() if k == "money" else p + 1
-                        break
-                if kind:
-                    typed[a] = _SIGN_OF[kind]
-                    keep[a + 1 : z] = False
-                    free = z
-                    if kind == "date":
-                        # its signs with all figures
-                        lo, hi = np.searchsorted(raw_at, (at[a], at[z] if z < n else len(base))).tolist()
-                        dates.append((int(at[a]), _string(raw[lo:hi])))
-        self.signs, self.typed, self.place = signs, typed[keep], np.flatnonzero(keep)
-        figures = (self._figures(base) if numbers else []) + dates
-        places = np.searchsorted(at, [a for a, _ in figures + names], "right") - 1
-        slots = [(int(at_sign), v) for at_sign, (_, v) in zip(places, figures + names, strict=True)]
-        self.figures, self.names = slots[: len(figures)], slots[len(figures) :]
+        plain = [spell(_TAG.sub(lambda m: m.group(1) or " ", t) if "<" in t or "](" in t or "&" in t else t).replace("\0", " ") for t in texts]
+        whole = "\0" + "\0".join(plain)
+        codes = codes_of(whole)
+        self.base = base = BASE[codes]
+        base[codes == 0] = _EDGE
+        self.digit = digit = (base >= 48) & (base <= 57)
+        self.raw_at = at = np.flatnonzero(digit | ((base >= 97) & (base <= 122)) | _letters()[base] | (base == _EDGE))
+        self.text_at = np.flatnonzero(codes == 0)
+        signs = np.where(digit[at], _ZERO, base[at])
+        first = np.ones(len(at), dtype=bool)
+        first[1:] = ~((signs[1:] == _ZERO) & (signs[:-1] == _ZERO))
+        self.signs, self.at = signs, at = signs[first], at[first]
+        self.start = np.flatnonzero(signs == _EDGE) + 1
+        self.size = np.diff(np.append(self.start, len(signs) + 1)) - 1
+        typed, keep = signs.copy(), np.ones(len(at), dtype=bool)
+        spans = np.array([m.span() for m in _NAME.finditer(whole)], np.int64).reshape(-1, 2)
+        self.names = np.searchsorted(at, spans)
+        for a, z in self.names.tolist():
+            if z > a:
+                typed[a] = _SIGN_OF["name"]
+                keep[a + 1 : z] = False
+        zeros = np.flatnonzero(typed == _ZERO)
+        tells_next, tells_before = _tells()
+        zeros = zeros[tells_next[typed[np.minimum(zeros + 1, len(typed) - 1)]] | tells_before[typed[zeros - 1]]]
+        string, free, dates = _string(typed), 0, []
+        for p in zeros.tolist():
+            if p < free:
+                continue
+            m, a = _BEHIND.match(string, p), p
+            kind, z = (m.lastgroup, m.end()) if m else ("", p + 1)
+            for word, k in _BEFORE_BY_END.get(string[p - 1], ()):
+                if string.endswith(word, free, p):
+                    kind, a = k, p - len(word)
+                    z = _MYRIADS.match(string, p).end() if k == "money" else p + 1
+                    break
+            if kind:
+                typed[a] = _SIGN_OF[kind]
+                keep[a + 1 : z] = False
+                free = z
+                if kind == "date":
+                    dates.append((a, z))
+        self.dates = np.array(dates, np.int64).reshape(-1, 2)
+        self.typed, self.place = typed[keep], np.flatnonzero(keep)
 
     def windows(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """For each width (hash, place in ``signs``) of the windows of so many signs, and of those of the typed signs that hold a placeholder."""
-        plain, typed = _windows(self.signs), _windows(self.typed)
+        """For each width (hash, place) of the windows of so many signs, and of those of the typed signs that hold a placeholder.
+
+        Windows over an edge are like none of a single text.
+        """
         marks = (self.typed >= min(_SIGN_OF.values())) & (self.typed <= max(_SIGN_OF.values()))
         holders, out = np.concatenate([[0], np.cumsum(marks)]), {}
-        for width, p, t in zip((HAN, LATIN), plain, typed, strict=True):
+        for width, p, t in zip((HAN, LATIN), _windows(self.signs), _windows(self.typed), strict=True):
             j = np.flatnonzero(holders[width:] > holders[: len(holders) - width]) if len(t) else np.zeros(0, np.int64)
             out[width] = np.concatenate([p, t[j]]), np.concatenate([np.arange(len(p)), self.place[j]])
         return out
 
-    @staticmethod
-    def _figures(base: np.ndarray) -> list[tuple[int, str]]:
-        """Figures of four digits or more that are no year, as digits, joined over line breaks."""
-        kept, out = np.flatnonzero(base), []
-        for m in _FIGURE.finditer(_string(base[kept])):
-            f = m.group()
-            if len(f) >= 4:
-                f = f.translate(_NO_DIGIT)
-                if len(f) >= 4 and not _YEAR.match(f):
-                    out.append((int(kept[m.start()]), f))
-        return out
+    def of(self, places: np.ndarray) -> np.ndarray:
+        """Number of the text each place belongs to."""
+        return np.searchsorted(self.start, places, "right") - 1
+
+    def slots(self, i: int) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
+        """(place in the text, value) of the telling figures and dates of a text, and of its names."""
+        lo, hi = int(self.start[i]), int(self.start[i] + self.size[i])
+        begin = int(self.text_at[i]) + 1
+        end = int(self.text_at[i + 1]) if i + 1 < len(self.text_at) else len(self.base)
+        figures = [(int(np.searchsorted(self.at, begin + p, "right")) - 1 - lo, f) for p, f in _figures(self.base[begin:end])]
+        inside = lambda spans: spans[(spans[:, 0] >= lo) & (spans[:, 0] < hi)].tolist()
+        for a, z in inside(self.dates):
+            # the signs of a date with all figures
+            x, y = np.searchsorted(self.raw_at, (self.at[a], self.at[z] if z < len(self.at) else len(self.base))).tolist()
+            figures.append((a - lo, _string(self.base[self.raw_at[x:y]])))
+        return figures, [(a - lo, _string(self.signs[a:z])) for a, z in inside(self.names) if z > a]
+
+
+def _figures(base: np.ndarray) -> list[tuple[int, str]]:
+    """Figures of four digits or more that are no year, as digits, joined over line breaks."""
+    kept, out = np.flatnonzero(base), []
+    for m in _FIGURE.finditer(_string(base[kept])):
+        f = m.group()
+        if len(f) >= 4:
+            f = f.translate(_NO_DIGIT)
+            if len(f) >= 4 and not _YEAR.match(f):
+                out.append((int(kept[m.start()]), f))
+    return out
+
+
+def typed_signs(text: str) -> str:
+    """The template of one text with its placeholders."""
+    return _string(Templates([text]).typed[1:])
+
+
+_TELLS: list[np.ndarray] = []
+
+
+def _tells() -> list[np.ndarray]:
+    """Signs that may begin what stands behind a number, and end what stands before it, of a placeholder."""
+    if not _TELLS:
+        for chars in (_BEGINNINGS, _BEFORE_BY_END):
+            t = np.zeros(0x110000, dtype=bool)
+            t[[ord(c) for c in chars]] = True
+            _TELLS.append(t)
+    return _TELLS
 
 
 def _string(signs: np.ndarray) -> str:
@@ -173,6 +212,7 @@ def _letters() -> np.ndarray:
         t = np.zeros(0x110000, dtype=bool)
         t[[c for c in range(0x80, 0x20000) if chr(c).isalpha()]] = True
         t[0x20000:0x32000] = True
+        t[0xE000:0xF900] = False
         _LETTERS.append(t)
     return _LETTERS[0]
 
@@ -237,75 +277,73 @@ def _numbers() -> Iterator[int]:
         n += 1
 
 
+BATCH = 50
+
+
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = _numbers()
     for b in batches:
         rows = []
         for item_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            t = Template(text)
-            win = HAN if len(t.signs) and _is_han(t.signs).mean() > 0.4 else LATIN
+            t = Templates([text])
+            signs = t.signs[1:]
+            win = HAN if len(signs) and _is_han(signs).mean() > 0.4 else LATIN
             h, q = t.windows()[win]
-            digest = int.from_bytes(hashlib.blake2b(t.signs.tobytes(), digest_size=8).digest(), "little", signed=True)
-            rows.append((next(number), item_id, digest, len(t.signs), win, [f for _, f in t.figures], [n for _, n in t.names], h.view(np.int64), q))
+            h, q = h[q > 0], q[q > 0] - 1
+            digest = int.from_bytes(hashlib.blake2b(signs.tobytes(), digest_size=8).digest(), "little", signed=True)
+            figures, names = t.slots(0)
+            rows.append((next(number), item_id, digest, len(signs), win, [f for _, f in figures], [n for _, n in names], h.view(np.int64), q))
         if rows:
             yield _rows(list(zip(*rows, strict=True)), _ITEM_SCHEMA)
 
 
+def _met(t: Templates, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, place in the text) of the windows whose slot of the bit table is marked, by text and hash."""
+    mask, w = np.uint64(BITS - 1), t.windows()
+    (h9, k9), (h20, k20) = w[HAN], w[LATIN]
+    sel = np.flatnonzero(bits[h9 & mask])
+    # the narrow windows are those of Han script
+    han = _is_han(t.signs)
+    sel = sel[han[k9[sel]] | han[np.minimum(k9[sel] + HAN - 1, len(han) - 1)]]
+    h9, k9 = h9[sel], k9[sel]
+    sel = np.flatnonzero(bits[h20 & mask])
+    h, k = np.concatenate([h9, h20[sel]]).view(np.int64), np.concatenate([k9, k20[sel]])
+    text = t.of(k)
+    h, k, text = h[text >= 0], k[text >= 0], text[text >= 0]
+    order = np.lexsort((h, text))
+    text, h, k = text[order], h[order], k[order]
+    return text, h, k - t.start[text]
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Templates]]:
+    for b in batches:
+        for lo in range(0, b.num_rows, BATCH):
+            rows = [r for r in zip(*(c.to_pylist() for c in b.slice(lo, BATCH).columns), strict=True) if r[1]]
+            if rows:
+                yield [r[0] for r in rows], Templates([r[1] for r in rows])
+
+
 def _documents(marked: bytes, rare: bytes):
     """Per document that may meet an item: its head, then its windows that few items have; ``marked`` and ``rare`` are bit tables."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, few = (np.unpackbits(np.frombuffer(x, np.uint8)).view(bool) for x in (marked, rare))
-        number, mask = _numbers(), np.uint64(BITS - 1)
-        for b in batches:
-            for lo in range(0, b.num_rows, 400):
-                part = b.slice(lo, 400)
-                heads, seeds, sizes, hashes, places = [], [], [], [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if not text:
-                        continue
-                    t = Template(text)
-                    w = t.windows()
-                    (h9, k9), (h20, k20) = w[HAN], w[LATIN]
-                    # the narrow windows are those of Han script
-                    han = np.append(_is_han(t.signs), np.zeros(HAN, bool))
-                    sel = np.flatnonzero(bits[h9 & mask])
-                    sel = sel[han[k9[sel]] | han[k9[sel] + HAN - 1]]
-                    h9, k9 = h9[sel], k9[sel]
-                    sel = np.flatnonzero(bits[h20 & mask])
-                    h = np.concatenate([h9, h20[sel]])
-                    telling = np.unique(h[few[h & mask]])
-                    if len(telling):
-                        order = np.argsort(h.view(np.int64), kind="stable")
-                        hashes.append(h[order])
-                        places.append(np.concatenate([k9, k20[sel]])[order])
-                        heads.append((next(number), doc_id, t.figures, t.names))
-                        seeds += [_HEAD, telling]
-                        sizes.append(1 + len(telling))
-                if not heads:
-                    continue
-                sizes = np.array(sizes)
-                at = np.cumsum(sizes) - sizes
-                row = np.full(sizes.sum(), -1)
-                row[at] = np.arange(len(heads))
-                row = pa.array(row, mask=row < 0)
-                slots = [[h[1] for h in heads], *[[[x[j] for x in h[i]] for h in heads] for j in (1, 0) for i in (2, 3)]]
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in hashes])]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (np.concatenate(hashes).view(np.int64), np.concatenate(places).astype(np.int32))]
-                docs = np.array([h[0] for h in heads])
-                h = np.concatenate(seeds).view(np.int64)
-                h[at] = docs  # spreads the heads where the join is a shuffle
-                columns = [pa.array(c, t) for c, (_, t) in zip(slots, _DOC, strict=False)] + lists
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(docs, sizes)), pa.array(h), pa.array(np.isin(np.arange(len(h)), at)), *[c.take(row) for c in columns]], schema=_WINDOW_SCHEMA
-                )
+        number = _numbers()
+        for ids, t in _texts(batches):
+            text, h, k = _met(t, bits)
+            rows = []
+            for i in np.unique(text[few[h.view(np.uint64) & np.uint64(BITS - 1)]]).tolist():
+                a, z = np.searchsorted(text, (i, i + 1)).tolist()
+                n, (figures, names) = next(number), t.slots(i)
+                rows.append((n, n, True, ids[i], *([x[j] for x in s] for j in (1, 0) for s in (figures, names)), h[a:z], k[a:z]))
+                telling = np.unique(h[a:z][few[h[a:z].view(np.uint64) & np.uint64(BITS - 1)]])
+                rows += [(n, x, False, None, None, None, None, None, None, None) for x in telling.tolist()]
+            if rows:
+                yield _rows(list(zip(*rows, strict=True)), _WINDOW_SCHEMA)
 
     return work
 
 
-_HEAD = np.zeros(1, np.uint64)
-
-
 def _stretches(q: np.ndarray, k: np.ndarray, band: np.ndarray, common: np.ndarray, size: int, win: int) -> list[tuple[float, int, int, int]]:
     """Stretches of meetings (item place q, document place k), longest first: share, own share, first and last document place."""
     found = []
@@ -356,24 +394,17 @@ class _Item:
         self.h, self.q, self.common = h[order], np.array([w["q"] for w in r["windows"]])[order], np.array([w["common"] for w in r["windows"]], bool)[order]
 
 
-class _Document:
-    """A document with its windows in the order of their hashes; slots are read where a stretch is found."""
-
-    __slots__ = ("h", "k", "slots")
-
-    def __init__(self, column, row: int) -> None:
-        self.h, self.k = (column(c)[row].values.to_numpy() for c in ("hs", "ks"))
-        self.slots = lambda: tuple(tuple(zip(column(c)[row].as_py(), column(f"{c}_at")[row].as_py(), strict=True)) for c in ("figures", "names"))
-
+def _verdict(h: np.ndarray, places: np.ndarray, slots_of, x: _Item) -> tuple[float, float] | None:
+    """(share, slots_equal) of the stretch that speaks most for a leak; None where none counts.
 
-def _verdict(d: _Document, x: _Item) -> tuple[float, float] | None:
-    """(share, slots_equal) of the stretch that speaks most for a leak; None where none counts."""
-    lo, hi = np.searchsorted(d.h, x.h, "left"), np.searchsorted(d.h, x.h, "right")
+    ``h`` and ``places`` are the windows of a document by hash; ``slots_of`` reads its slots, where a stretch is found.
+    """
+    lo, hi = np.searchsorted(h, x.h, "left"), np.searchsorted(h, x.h, "right")
     n = hi - lo
     total = int(n.sum())
     if total < 0.08 * x.size:
         return None
-    k = d.k[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)].astype(np.int64)
+    k = places[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)].astype(np.int64)
     q, common = np.repeat(x.q, n), np.repeat(x.common, n)
     band = (k - q) // _BAND
     # only where two neighbouring bands hold enough of the item
@@ -384,8 +415,8 @@ def _verdict(d: _Document, x: _Item) -> tuple[float, float] | None:
         return None
     rest = slots = None
     for share, own, a, z in _stretches(q, k, band, common, x.size, x.win):
-        slots = slots or d.slots()
-        figures, names = ([v for v, at in s if a <= at < z] for s in slots)
+        slots = slots or slots_of()
+        figures, names = ([v for at, v in s if a <= at < z] for s in slots)
         if figures:
             equal = _equal_slots(figures, x.figures, same_figure)
         elif own / x.size >= OWN:
@@ -403,40 +434,25 @@ def _verdict(d: _Document, x: _Item) -> tuple[float, float] | None:
 _LEAK_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("share", pa.float64()), ("slots_equal", pa.float64())])
 
 
-def _judged(items: dict[int, _Item]):
-    """Leaks of documents whose rows (head first, then one per window and item) stand together."""
-
-    def of(t: pa.Table) -> pa.RecordBatch | None:
-        t = t.combine_chunks()
-        doc, item = t["doc"].to_numpy(), t["item"].fill_null(-1).to_numpy()
-        ids, heads, found = t["doc_id"], np.flatnonzero(t["head"].to_numpy()), []
-        row_of = dict(zip(doc[heads].tolist(), heads.tolist(), strict=True))
-        met = np.flatnonzero(item >= 0)
-        pairs = np.unique(np.stack([doc[met], item[met]], axis=1), axis=0) if len(met) else np.zeros((0, 2), np.int64)
-        last, d = None, None
-        for number, i in pairs.tolist():
-            if number != last:
-                last, d = number, _Document(t.column, row_of[number])
-            if v := _verdict(d, items[i]):
-                found.append((ids[row_of[number]].as_py(), items[i].id, *v))
-        return _rows(list(zip(*found, strict=True)), _LEAK_SCHEMA) if found else None
+def _judged(marked: bytes, seeds: tuple[np.ndarray, np.ndarray], items: dict[int, _Item]):
+    """Leaks of documents: ``seeds`` are the windows few items have, by hash, with their items."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            doc = b.column(0).to_numpy()
-            # the last document may go on in the next batch
-            last = len(doc) - int(np.argmax(np.append(doc[::-1] != doc[-1], True)))
-            if last == 0 and waiting and waiting[-1].column(0)[0].as_py() == doc[0]:
-                waiting.append(b)
-                continue
-            done, waiting = [*waiting, b.slice(0, last)], [b.slice(last)]
-            if (got := of(pa.Table.from_batches(done))) is not None:
-                yield got
-        if waiting and (got := of(pa.Table.from_batches(waiting))) is not None:
-            yield got
+        bits = np.unpackbits(np.frombuffer(marked, np.uint8)).view(bool)
+        hashes, owner = seeds
+        for ids, t in _texts(batches):
+            text, h, k = _met(t, bits)
+            # the hash join: every window of a document with the items of an equal one
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            n = hi - lo
+            item = owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            found = []
+            for i, x in np.unique(np.stack([np.repeat(text, n), item], axis=1), axis=0).tolist():
+                a, z = np.searchsorted(text, (i, i + 1)).tolist()
+                if v := _verdict(h[a:z], k[a:z], lambda i=i: t.slots(i), items[x]):
+                    found.append((ids[i], items[x].id, *v))
+            if found:
+                yield _rows(list(zip(*found, strict=True)), _LEAK_SCHEMA)
 
     return work
 
@@ -447,7 +463,8 @@ def _judged_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         found = []
         for i in range(b.num_rows):
             x = _Item({c: b.column(c)[i].as_py() for c in ("item_id", "size", "win", "item_figures", "item_names", "windows")})
-            if v := _verdict(_Document(b.column, i), x):
+            slots = lambda i=i: [list(zip(b.column(f"{c}_at")[i].as_py(), b.column(c)[i].as_py(), strict=True)) for c in ("figures", "names")]
+            if v := _verdict(b.column("hs")[i].values.to_numpy(), b.column("ks")[i].values.to_numpy(), slots, x):
                 found.append((b.column("doc_id")[i].as_py(), x.id, *v))
         if found:
             yield _rows(list(zip(*found, strict=True)), _LEAK_SCHEMA)
@@ -474,19 +491,19 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     postings = asked.select("item", "template", F.explode(F.arrays_zip("h", "q")).alias("x")).select("item", "template", "x.h", "x.q")
     # windows that several different items share prove little
     owners = cut_lineage(postings.groupBy("h").agg((F.count_distinct("template") >= SHARED).alias("common")))
-    # at most BITS numbers each, whatever the number of items
-    marked, rare = (_bits(x) for x in (owners, owners.where("NOT common")))
+    # at most BITS numbers, whatever the number of items
+    marked = _bits(owners)
     seeds = cut_lineage(postings.join(owners.where("NOT common"), "h").select("h", "item").distinct())
     known = postings.join(owners, "h").groupBy("item").agg(F.collect_list(F.struct("h", "q", "common")).alias("windows"))
     known = asked.select("item", "item_id", "size", "win", "item_figures", "item_names").join(known, "item")
     src = spread(documents.select(documents["doc_id"].cast("bigint").alias("doc_id"), documents["text"].alias("t")).where(F.length("t") > 0))
-    windows = src.mapInArrow(_documents(marked, rare), _ddl(_WINDOW_SCHEMA))
-    if owners.count() <= POSTINGS:
-        # no document leaves its partition; the items are few, as counted
+    if owners.count() <= POSTINGS and seeds.count() <= POSTINGS:
+        # few enough, as counted, to be sent to every partition
         items_of = {r["item"]: _Item(r.asDict(recursive=True)) for r in known.collect()}
-        met = windows.join(F.broadcast(seeds), "h", "left").where("item IS NOT NULL OR head")
-        return met.select("doc", "item", *_WINDOW_SCHEMA.names[2:]).mapInArrow(_judged(items_of), _ddl(_LEAK_SCHEMA))
-    windows = written(windows)
+        table = seeds.orderBy("h").toArrow()
+        build = table["h"].to_numpy(), table["item"].to_numpy()
+        return src.mapInArrow(_judged(marked, build, items_of), _ddl(_LEAK_SCHEMA))
+    windows = written(src.mapInArrow(_documents(marked, _bits(owners.where("NOT common"))), _ddl(_WINDOW_SCHEMA)))
     pairs = windows.where("NOT head").select("doc", "h").join(seeds, "h").select("doc", "item").distinct()
     every = pairs.join(windows.where("head").drop("h", "head"), "doc").join(known, "item")
     return every.mapInArrow(_judged_pairs, _ddl(_LEAK_SCHEMA))

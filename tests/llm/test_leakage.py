@@ -52,9 +52,9 @@ def test_short_han_items_and_long_markup(spark):
 
 
 def test_placeholders_are_typed():
-    from foliant.llm.leakage import Template
+    from foliant.llm.leakage import typed_signs
 
-    same = lambda a, b: Template(a).typed.tolist() == Template(b).typed.tolist()
+    same = lambda a, b: typed_signs(a) == typed_signs(b)
     assert same("pagou MOP 4.830,16 a Lídia Gradelha", "pagou 75 patacas a Rui Vasqueda")
     assert same("em 6 de Julho de 2017, foi", "em 1 de Março de 2001, foi") and same("收取澳門元91,889.68元", "收取48萬182元")
     assert same("on 8 September 2023 the", "on 21 May 2020 the") and same("durante 12 anos e", "durante 3 meses e")
