@@ -45,3 +45,25 @@ PT_WORDS = (
     "dano moral", "habeas corpus", "suspensão da execução da pena", "suspensao da execucao da pena", "pena suspensa",
     "difamação", "difamacao", "indemnização", "indemnizacao",
 )
+
+# Terms of issue decomposition -> canonical term, and fact terms.
+ISSUE_CONCEPTS = {
+    "假釋": "假釋", "假释": "假釋", "量刑過重": "量刑過重", "量刑过重": "量刑過重", "誹謗": "誹謗", "诽谤": "誹謗", "緩刑": "緩刑",
+    "缓刑": "緩刑", "詐騙": "詐騙", "诈骗": "詐騙", "加重詐騙": "加重詐騙", "加重诈骗": "加重詐騙", "損害賠償": "損害賠償",
+    "损害赔偿": "損害賠償", "過失": "過失", "故意": "故意", "自首": "自首",
+}
+ISSUE_STEPS = {
+    "上訴": "上訴", "上诉": "上訴", "撤銷": "撤銷", "撤销": "撤銷", "駁回": "駁回", "驳回": "駁回", "改判": "改判", "抗告": "抗告",
+    "再審": "再審", "再审": "再審",
+}
+ISSUE_FACTS = ("被告", "原告", "告訴人", "證據", "證人", "供述", "契約", "合同", "侵占", "侵權", "賠償", "損失", "傷害")
+
+# Hints that a Portuguese query names a case.
+PT_CASE_HINTS = ("processo n", "processo nº", "recurso", "matéria cível", "materia civel")
+
+# Simplified sign or word -> traditional form.
+TRADITIONAL = {
+    "这": "這", "为": "為", "与": "與", "争": "爭", "议": "議", "点": "點", "审": "審", "查": "查", "确认": "確認", "维": "維", "处": "處",
+    "罚": "罰", "诉": "訴", "讼": "訟", "条": "條", "体": "體", "后": "後", "发": "發", "门": "門", "国": "國", "应": "應", "执": "執",
+    "认": "認", "实": "實",
+}

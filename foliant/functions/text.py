@@ -5,10 +5,10 @@ Every function gives null for null, and '' stays ''.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +40,8 @@ def nfkc(c: Column) -> Column:
 
 
 def _nfkc(x: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(x, form="NFKC")
+    # the Arrow kernel of some builds decomposes without composing again
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in x.to_pylist()], pa.string())
 
 
 def half_width(c: Column) -> Column:
@@ -58,6 +59,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, BLANK + "+", " "))
 
 
+def squeeze_ends(c: Column) -> Column:
+    """Outer blanks of every kind off."""
+    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+
+
 def keep_paragraphs(c: Column) -> Column:
     """LF line ends, blanks of a line squeezed, lines trimmed, at most one blank line."""
     t = F.regexp_replace(c, "\r\n?", "\n")
@@ -85,7 +91,7 @@ def without_lines(c: Column, equal: tuple[str, ...] = (), holding: tuple[str, ..
 
 def ranking_text(c: Column) -> Column:
     """Small letters, everything but letters, figures and blanks to a space, squeezed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(half_width(c)), r"[^\p{L}\p{N}]", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(nfkc(c)), r"[^\p{L}\p{N}]", " "), " +", " "))
 
 
 def clip(c: Column, n: int) -> Column:
@@ -179,7 +185,7 @@ def mixed_tokens(c: Column, hints: tuple[str, ...] = lexicon.HINTS) -> Column:
         with_twins = let(words, lambda ws: F.concat(ws, F.array_compact(F.transform(ws, lambda w: F.nullif(F.translate(w, ACCENTED, PLAIN), w)))))
         return F.concat(cases, F.regexp_extract_all(t, F.lit(f"({REFERENCE})")), with_twins, han_tokens(t, hints))
 
-    return let(F.trim(F.lower(half_width(c))), of)
+    return let(F.trim(F.lower(nfkc(c))), of)
 
 
 def light_tokens(c: Column) -> Column:
@@ -193,7 +199,7 @@ def light_tokens(c: Column) -> Column:
         han = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(f"([{HAN}]+)")), pairs))
         return F.concat(F.regexp_extract_all(t, F.lit("([a-zà-öø-ÿ0-9]+)")), han)
 
-    return let(F.lower(half_width(c)), of)
+    return let(F.lower(nfkc(c)), of)
 
 
 def overlap_tokens(c: Column) -> Column:
@@ -211,7 +217,7 @@ def char_ngrams(c: Column, low: int = 2, high: int = 4) -> Column:
     def every(t: Column) -> Column:
         return F.concat(*[of(t, n) for n in range(low, high + 1)], F.regexp_extract_all(t, F.lit(f"([{HAN}])")))
 
-    return let(F.regexp_replace(F.lower(half_width(c)), BLANK, ""), every)
+    return let(F.regexp_replace(F.lower(nfkc(c)), BLANK, ""), every)
 
 
 def slug(c: Column, index: Column) -> Column:

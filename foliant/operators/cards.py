@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 SCHEMA_VERSION = "1"
+# Fixed value: title of a card without any part.
+UNTITLED = "未命名案例"
 
 
 def or_unknown(c: Column, word: str = "unknown") -> Column:
-    """The value, or a word for a blank one."""
-    return F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(word)).otherwise(c)
+    """The trimmed value, or a word for a blank one."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    return F.when(t == "", F.lit(word)).otherwise(t)
 
 
 def citation_label(court: Column, case: Column, date: Column) -> Column:
@@ -24,25 +28,34 @@ def group_key(*parts: Column) -> Column:
     return F.concat_ws("::", *[or_unknown(p) for p in parts])
 
 
-def card_title(court: Column, case: Column, kind: Column) -> Column:
-    """Non-blank parts joined by a bar, else a default."""
-    t = F.concat_ws("｜", *[F.when(F.coalesce(F.trim(c), F.lit("")) != "", c) for c in (court, case, kind)])
-    return F.when(t == "", F.lit("untitled case")).otherwise(t)
+def _given(c: Column, word: str) -> Column:
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit(word)).otherwise(c)
+
+
+def card_title(case: Column, kind: Column, court: Column) -> Column:
+    """Parts that are given, joined by a bar, else the default."""
+    return _given(F.concat_ws("｜", *[F.nullif(c, F.lit("")) for c in (case, kind, court)]), UNTITLED)
+
+
+def card_subtitle(language: Column, date: Column, source: Column) -> Column:
+    """Language, date and metadata source with defaults."""
+    return F.concat_ws(" · ", _given(language, "unknown-language"), _given(date, "unknown-date"), F.concat(F.lit("metadata:"), _given(source, "unknown")))
 
 
 def card_tags(kind: Column, language: Column, source: Column, basis: Column) -> Column:
-    """Distinct non-blank (type, language, source), then up to two of the legal basis."""
-    own = F.array_distinct(F.filter(F.array(kind, language, source), lambda x: F.coalesce(F.trim(x), F.lit("")) != ""))
-    listed = F.transform(F.slice(F.filter(F.coalesce(basis, F.array().cast("array<string>")), lambda x: F.coalesce(F.trim(x), F.lit("")) != ""), 1, 2), lambda x: F.concat(F.lit("basis:"), x))
-    return F.concat(own, listed)
+    """Distinct non-blank (type, language, source), then the non-blank of the first two of the legal basis."""
+    clean = lambda a: F.filter(F.transform(a, lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    listed = F.transform(clean(F.slice(F.coalesce(basis, F.array().cast("array<string>")), 1, 2)), lambda x: F.concat(F.lit("basis:"), x))
+    return F.concat(F.array_distinct(clean(F.array(kind, language, source))), listed)
 
 
 def citations(hits: DataFrame, order: list[Column]) -> DataFrame:
     """Hits with citation label, group key and rank in their query."""
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
-    return hits.withColumn("source_rank", rank).withColumn(
-        "citation_label", citation_label(F.col("court"), F.col("authoritative_case_number"), F.col("authoritative_decision_date"))
-    ).withColumn("source_group_key", group_key(F.col("court"), F.col("authoritative_case_number"), F.col("language"), F.col("case_type")))
+    c = F.col
+    ranked = numbered(hits, ["query_id"], order, "source_rank")
+    return ranked.withColumn("citation_label", citation_label(c("court"), c("authoritative_case_number"), c("authoritative_decision_date"))).withColumn(
+        "source_group_key", group_key(c("court"), c("authoritative_case_number"), c("authoritative_decision_date"), c("retrieval_source"))
+    )
 
 
 def envelope(cards: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:

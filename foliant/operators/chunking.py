@@ -42,13 +42,14 @@ def chunks(c: Column, target: int = TARGET, maximum: int = MAXIMUM) -> Column:
 
 
 def chunk_id(case: Column, date: Column, language: Column, index: Column, text: Column) -> Column:
-    """``chunk_`` and twelve hexadecimal figures of sha1 over the identity and the text."""
+    """case_language_cNNNN_ and twelve hexadecimal figures of sha1 over the identity and the text; slashes of the case as underlines."""
     parts = [F.coalesce(x.cast("string"), F.lit("")) for x in (case, date, language, index, text)]
-    return F.concat(F.lit("chunk_"), F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 12))
+    digest = F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 12)
+    return F.concat_ws("_", F.translate(parts[0], "/", "_"), parts[2], F.format_string("c%04d", index), digest)
 
 
 def chunk_rows(df: DataFrame, text: str, case: str, date: str, language: str) -> DataFrame:
     """One row per chunk with its index and id; the other columns of ``df`` are kept."""
     cleaned = df.withColumn("__t", keep_paragraphs(F.col(text)))
-    rows = cleaned.select(*df.columns, F.posexplode(chunks(F.col("__t"))).alias("chunk_index", "chunk_text"))
+    rows = cleaned.select(*df.columns, F.posexplode(chunks(F.col("__t"))).alias("chunk_index", "chunk_text"))  # null texts give none
     return rows.withColumn("chunk_id", chunk_id(F.col(case), F.col(date), F.col(language), F.col("chunk_index"), F.col("chunk_text")))

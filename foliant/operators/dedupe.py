@@ -7,10 +7,11 @@ the map side, so a key with a third of all rows sends one row a partition.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.functions import urls
+from foliant.functions import text, urls
+
+from .ranks import numbered
 
 
 def _pick(df: DataFrame, keys: list[Column], order: Column, how) -> DataFrame:
@@ -69,18 +70,43 @@ def duplicate_key(text_urls: Column, pdf_urls: Column, *identity: Column) -> Col
     return F.when(t != "", F.concat(F.lit("text:"), t)).when(p != "", F.concat(F.lit("pdf:"), p)).otherwise(F.concat(F.lit("meta:"), rest))
 
 
+def _joined(*c: Column) -> Column:
+    """Distinct non-blank texts, sorted and joined."""
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*[text.squeeze(F.coalesce(x, F.lit(""))) for x in c]), lambda x: x != ""))), "|")
+
+
+def card_key(court: Column, case: Column, date: Column, text_urls: list[Column], pdf_urls: list[Column]) -> list[Column]:
+    """Key of a card: court, case, date, and its text addresses, else its pdf addresses."""
+    t = _joined(*text_urls)
+    return [*[text.squeeze(F.coalesce(c, F.lit(""))) for c in (court, case, date)], F.when(t != "", t).otherwise(_joined(*pdf_urls))]
+
+
+def raw_card_key(court: Column, case: Column, date: Column, document: Column, raw: Column) -> list[Column]:
+    """Key of a card by its document, or by its raw text where case, date and document are all blank."""
+    parts = [text.squeeze(F.coalesce(c, F.lit(""))) for c in (case, date, document)]
+    blank = (parts[0] == "") & (parts[1] == "") & (parts[2] == "")
+    shown = [F.when(~blank, p) for p in parts]
+    return [court, *shown[:2], F.when(blank, F.concat(F.lit("raw:"), text.squeeze(F.coalesce(raw, F.lit(""))))).otherwise(shown[2])]
+
+
 def unique_suffix(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
     """``name`` made unique within the keys: later rows get __dup2, __dup3, ..."""
-    rn = F.row_number().over(W.partitionBy(*keys, name).orderBy(order))
-    return df.withColumn(name, F.when(rn > 1, F.concat(F.col(name), F.lit("__dup"), rn.cast("string"))).otherwise(F.col(name)))
+    n = F.col("__place")
+    x = numbered(df, [*keys, name], [F.col(order)], "__place")
+    return x.withColumn(name, F.when(n > 1, F.concat(F.col(name), F.lit("__dup"), n.cast("string"))).otherwise(F.col(name))).drop("__place")
 
 
 def page_signatures(df: DataFrame, page: list[str], *identity: str) -> DataFrame:
-    """Per page a signature of its cards, however ordered, and whether an earlier page has the same."""
-    sig = df.groupBy(*page).agg(
-        F.xxhash64(F.array_sort(F.collect_set(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity])))).alias("signature"),
-        F.count("*").alias("cards"),
-    )
+    """Per page a signature of its cards, however ordered, and whether an earlier page has the same.
+
+    The signature sums the digests of the distinct cards of a page, so a page of any
+    size is combined on the map side and never gathered.
+    """
+    card = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity])
+    other = F.xxhash64(F.lit(7), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity])
+    each = df.groupBy(*page, card.alias("__a"), other.alias("__b")).agg(F.count("*").alias("__n"))
+    total = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).cast("string")
+    sig = each.groupBy(*page).agg(F.concat_ws("/", total("__a"), total("__b"), F.count("*").cast("string")).alias("signature"), F.sum("__n").alias("cards"))
     first = sig.groupBy("signature").agg(F.min(F.struct(*page)).alias("first_page"))
     return sig.join(first, "signature").withColumn("repeats_earlier", F.col("first_page") != F.struct(*page)).drop("first_page")
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from foliant.functions import extract
 
 
 def distinct_ranked(hits: DataFrame, key: str) -> DataFrame:
@@ -69,6 +74,70 @@ def set_overlap(expected: Column, predicted: Column) -> Column:
     return F.when((F.size(e) == 0) & (F.size(p) == 0), 1.0).when(F.size(e) == 0, 0.0).otherwise(F.size(F.array_intersect(e, p)) / F.size(e))
 
 
+def exact_list(expected: Column, predicted: Column) -> Column:
+    """1 for equal lists in equal order, else 0."""
+    return F.when(expected == predicted, 1.0).otherwise(0.0)
+
+
+def normal_overlap(expected: Column, predicted: Column) -> Column:
+    """``set_overlap`` of the non-blank evaluation forms of two lists."""
+    norm = lambda a: F.filter(F.transform(a, extract.evaluation_text), lambda x: x != "")
+    return set_overlap(norm(expected), norm(predicted))
+
+
+def weakest(scores: dict[str, Column]) -> Column:
+    """Name of the lowest score, the first on a tie."""
+    return F.array_min(F.array(*[F.struct(c.alias("score"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, c) in enumerate(scores.items())]))["name"]
+
+
+def completeness(df: DataFrame, texts: list[str], lists: list[str]) -> DataFrame:
+    """Per field: rows with a non-blank text, or a list with any non-blank element."""
+    cells = [F.count_if(F.coalesce(F.trim(c) != "", F.lit(False))).alias(c) for c in texts]
+    cells += [F.count_if(F.coalesce(F.exists(c, lambda x: F.trim(x) != ""), F.lit(False))).alias(c) for c in lists]
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("complete")) for c in texts + lists]))
+    return df.agg(*cells).select(pairs.alias("x")).select("x.*")
+
+
+def comparison_ready(samples: tuple[Column, Column], successes: tuple[Column, Column], filled: tuple[Column, Column]) -> Column:
+    """Whether two runs compare: the same samples whatever their order, and both with successes and filled fields."""
+    same = F.array_sort(F.array_distinct(samples[0])) == F.array_sort(F.array_distinct(samples[1]))
+    return same & (successes[0] > 0) & (successes[1] > 0) & (filled[0] > 0) & (filled[1] > 0)
+
+
+def leaves(schema: T.StructType, prefix: str = "") -> list[tuple[str, T.DataType]]:
+    """Dotted names of the leaves of a nested schema; a list is one leaf."""
+    out: list[tuple[str, T.DataType]] = []
+    for f in schema.fields:
+        name = f"{prefix}`{f.name}`"
+        out += leaves(f.dataType, name + ".") if isinstance(f.dataType, T.StructType) else [(name, f.dataType)]
+    return out
+
+
+def populated_leaves(df: DataFrame) -> DataFrame:
+    """(populated, total) over the leaves of all rows: non-blank texts, non-empty lists, other values that are not null."""
+    def there(name: str, kind: T.DataType) -> Column:
+        c = F.col(name)
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.size(c) > 0, F.lit(False))
+        return F.coalesce(F.trim(c) != "", F.lit(False)) if isinstance(kind, T.StringType) else c.isNotNull()
+
+    found = leaves(df.schema)
+    n = reduce(lambda a, b: a + b, [there(*x).cast("bigint") for x in found])
+    return df.agg(F.coalesce(F.sum(n), F.lit(0)).alias("populated"), (F.count("*") * len(found)).alias("total"))
+
+
+def before_after(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """Per key both values and what became of it: gained, lost or kept."""
+    x = before.select(key, F.col(value).alias("before")).join(after.select(key, F.col(value).alias("after")), key)
+    hit = lambda c: F.col(c).isNotNull()
+    return x.withColumn("change", F.when(~hit("before") & hit("after"), "gained").when(hit("before") & ~hit("after"), "lost").otherwise("kept"))
+
+
+def pass_rate(results: DataFrame, passed: str) -> DataFrame:
+    """(total, passed, pass_rate); 0 for no results."""
+    return results.agg(F.count("*").alias("total"), F.count_if(F.col(passed)).alias("passed"), F.coalesce(F.round(F.avg(F.col(passed).cast("double")), 6), F.lit(0.0)).alias("pass_rate"))
+
+
 def containment(expected: Column, predicted: Column) -> Column:
     """1 when either text holds the other or both are empty, else 0."""
     e, p = F.coalesce(expected, F.lit("")), F.coalesce(predicted, F.lit(""))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions import extract, text
+
 CASE = r"[0-9]{1,5}\s*/\s*[0-9]{4}"
 DATE = r"[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2}"
 
@@ -25,12 +29,52 @@ def good_detail(c: Column) -> Column:
     return F.coalesce(good_text(c, 240, 60) & ~entry, F.lit(False))
 
 
-def contaminated(c: Column, labels: tuple[str, ...]) -> Column:
-    """More than one case number, more than one date or more than six labels: several cards in one."""
-    n = F.size(F.filter(F.array(*[F.lit(x) for x in labels]), lambda x: F.contains(c, x)))
-    several = lambda t, p: F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(f"({p})")))) > 1
-    undated = F.regexp_replace(c, DATE, " ")  # a date holds what looks like a case number
-    return F.coalesce(several(undated, CASE) | several(c, DATE) | (n > 6), F.lit(False))
+# Labels of which a single card has few.
+CARD_LABELS = ("主題", "摘要", "裁判結果")
+
+
+def contaminated(c: Column, labels: tuple[str, ...] = CARD_LABELS) -> Column:
+    """Several cards in one: more than one case number, more than one date or more than six labels met; a blank card too."""
+    def of(t: Column) -> Column:
+        met = lambda p: F.size(F.regexp_extract_all(t, F.lit(p), F.lit(0)))
+        cases = met(extract.CASE_IN_LINE) + met(extract.PREFIXED_CASE)
+        marks = reduce(lambda a, b: a + b, [text.occurrences(t, x) for x in labels])
+        return (t == "") | (cases > 1) | (met(extract.ANY_DATE) > 1) | (marks > 6)
+
+    return text.let(text.squeeze(F.coalesce(c, F.lit(""))), of)
+
+
+def separator(css: Column, c: Column) -> Column:
+    """Whether a block is a rule between cards, or too short to be one."""
+    return F.contains(F.lower(F.coalesce(css, F.lit(""))), F.lit("seperate")) | (F.length(text.squeeze(F.coalesce(c, F.lit("")))) < 4)
+
+
+def result_like(c: Column, links: Column) -> Column:
+    """Whether a block looks like a search result: a case number, a date with a link, or two links and forty characters."""
+    t = F.coalesce(c, F.lit(""))
+    return (F.length(t) >= 20) & (t.rlike(CASE) | (t.rlike(extract.ANY_DATE) & (links > 0)) | ((links >= 2) & (F.length(t) >= 40)))
+
+
+def link_metrics(cards: DataFrame) -> DataFrame:
+    """How many cards have a document of each kind, both kinds, and a text in each language."""
+    has = lambda c: F.coalesce(text.squeeze(F.col(c)) != "", F.lit(False))
+    spoken = lambda lang: F.coalesce(F.col("text_link_language") == lang, F.lit(False)) | F.coalesce(F.col("text_url_or_action").rlike(f"(?i)/sentence/{lang}/[0-9]+"), F.lit(False))
+    flags = {
+        "cards_with_pdf": has("pdf_url"), "cards_with_text": has("text_url_or_action"), "cards_with_both": has("pdf_url") & has("text_url_or_action"),
+        "zh_text_links": spoken("zh"), "pt_text_links": spoken("pt"), "zh_texts": has("text_url_zh"), "pt_texts": has("text_url_pt"), "both_texts": has("text_url_zh") & has("text_url_pt"),
+    }
+    return cards.agg(F.count("*").alias("cards"), *[F.count_if(e).alias(n) for n, e in flags.items()])
+
+
+def boundary_metrics(cards: DataFrame) -> DataFrame:
+    """Valid case numbers and types, contaminated cards, and whether six tenths are valid and none contaminated."""
+    number = F.coalesce(text.squeeze(F.col("case_number")).rlike(r"^[0-9]{1,6}/[0-9]{4}$"), F.lit(False))
+    a = cards.agg(
+        F.count("*").alias("cards"), F.count_if(number).alias("valid_numbers"), F.count_if(extract.valid_case_type(F.col("case_type"))).alias("valid_types"),
+        F.count_if(contaminated(F.col("raw_card_text"))).alias("contaminated"),
+    )
+    least = F.greatest(F.lit(1), F.floor(F.col("cards") * 0.6))
+    return a.withColumn("success", (F.col("cards") > 0) & (F.col("contaminated") == 0) & (F.col("valid_numbers") >= least) & (F.col("valid_types") >= least))
 
 
 def page_validity(cards: DataFrame, page: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions import lexicon, text
+from foliant.functions import lexicon, queries, text
 
 # Query type -> (strategy, retrieval mode, whether to decompose; None: as the connectors say).
 STRATEGIES = {
@@ -19,17 +19,27 @@ STRATEGIES = {
     "single_legal_concept": ("direct_hybrid_skeleton_bm25_first", "direct_bm25_or_hybrid_skeleton", False),
     "ambiguous_or_noisy": ("conservative_direct_retrieval", "conservative_direct_bm25", False),
 }
-SUBQUERIES, ISSUE_TERMS = 8, 10
 
 
-def normal_query(c: Column) -> Column:
-    """Half width, blanks squeezed, none around a slash."""
-    return text.squeeze(F.regexp_replace(text.half_width(c), r"\s*/\s*", "/"))
+def held_words(c: Column) -> Column:
+    """Portuguese legal words a text holds, the longest first."""
+    return F.filter(F.array(*[F.lit(w) for w in sorted(lexicon.PT_WORDS, key=lambda w: (-len(w), w))]), lambda w: F.contains(c, w))
+
+
+def signal_summary() -> Column:
+    """The signals of a query in one line, over the columns of ``signals``."""
+    yes = lambda c: F.when(F.col(c), "True").otherwise("False")
+    words = F.when(F.col("pt_hits") > 0, F.array_join(F.slice("pt_words", 1, 6), ", ")).otherwise("none")
+    return F.concat(
+        F.lit("pt_lexicon_hits="), F.col("pt_hits").cast("string"), F.lit("["), words, F.lit("]; latin_words="), F.col("latin_words").cast("string"), F.lit("; cjk_chars="),
+        F.col("han_signs").cast("string"), F.lit("; case_number="), yes("has_case_number"), F.lit("; pt_case_style="), yes("pt_case_style"), F.lit("; mixed_language="), yes("mixed"),
+        F.lit("; multi_issue_hint="), yes("multi_issue"),
+    )
 
 
 def signals(df: DataFrame, query: str) -> DataFrame:
     """Adds the signals the classification needs to a table of queries."""
-    q = normal_query(F.col(query))
+    q = queries.pt_query(F.col(query))
     d = df.withColumn("normalized_query", q).withColumn("__l", text.replace_variants(F.lower("normalized_query")))
     n, low = F.col("normalized_query"), F.col("__l")
     han = F.length(F.regexp_replace(n, f"[^{text.HAN}]", ""))
@@ -38,7 +48,10 @@ def signals(df: DataFrame, query: str) -> DataFrame:
     padded = F.concat(F.lit(" "), low, F.lit(" "))
     signs = F.length(F.regexp_replace(n, r"[^\p{L}\p{N}]", ""))
     return (
-        d.withColumn("pt_hits", text.count_held(low, lexicon.PT_WORDS))
+        d.withColumn("pt_words", held_words(low))
+        .withColumn("pt_hits", F.size("pt_words"))
+        .withColumn("latin_words", words)
+        .withColumn("pt_case_style", text.count_held(low, lexicon.PT_CASE_HINTS) > 0)
         .withColumn("han_signs", han)
         .withColumn("has_case_number", low.rlike(r"(?U)\b[0-9]{1,6}/[0-9]{4}(?:/[a-z]{1,3})?\b"))
         .withColumn("mixed", ((han >= 1) & (words >= 2)) | ((han >= 2) & (F.contains(low, F.lit("liberdade condicional")) | F.contains(low, F.lit("recurso")))))
@@ -78,11 +91,15 @@ def route(df: DataFrame, query: str = "query") -> DataFrame:
     )
 
 
-def subqueries(query: Column, limit: int = SUBQUERIES) -> Column:
-    """The query, its parts at separators, then its concepts; distinct, non-blank, ``limit`` at most (the feature's own size)."""
-    q = normal_query(query)
-    parts = F.transform(F.split(q, "[,，;；、和與及]|(?i) e | ou "), lambda x: F.trim(x))
-    concepts = F.filter(F.array(*[F.lit(t) for t in lexicon.CONCEPTS]), lambda t: F.contains(q, t))
-    every = F.filter(F.concat(F.array(q), parts, concepts), lambda x: F.length(x) >= 2)
-    picked = F.slice(F.array_distinct(every), 1, limit)
-    return F.when(F.size(picked) > 0, picked).otherwise(F.array(q))
+def well_routed(summary: Column, normalized: Column, kind: Column, strategy: Column) -> Column:
+    """Whether a query with Portuguese or mixed signals went to a path that heeds them; other queries pass."""
+    marks = ("legis artis", "erro ostensivo", "liberdade condicional", "processo")
+    signs = (text.count_held(F.lower(normalized), marks) > 0) | F.contains(F.lower(summary), F.lit("mixed_language=true"))
+    heeding = ("language_aware_bm25_path", "exact_case_number_heavy_with_pt_context_retention", "prefer_exact_case_number_path_then_hybrid_fallback")
+    return F.when(~signs, True).when(kind == "ambiguous_or_noisy", False).otherwise(strategy.isin(*heeding))
+
+
+def execution(mode: Column, decompose: Column, exact_branch: bool = True) -> Column:
+    """Which retrieval a route runs: exact, fan_out or direct; without the exact branch case numbers are searched directly."""
+    other = F.when(decompose, "fan_out").otherwise("direct")
+    return F.when(F.startswith(mode, F.lit("exact_case_number_heavy")), "exact").otherwise(other) if exact_branch else other

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions import text, urls
+from foliant.functions import extract, text, urls
 from foliant.operators import cards, chunking, dedupe, evaluation, lookup, multivalue, quality
 from foliant.sources import corpus
 from foliant.sources.tables import table
@@ -16,7 +16,6 @@ from . import sql
 CARDS = "playwright_result_cards_selector_driven"
 MODEL, BASELINE, RULES = "model_generated", "deterministic_baseline", "deterministic_v1"
 META_TEXTS = ["court", "case_type", "case_summary", "holding", "pdf_url"]
-LABELS = ("Processo", "Data", "Tribunal", "Assunto", "Relator", "案件編號", "日期", "法院", "主題", "裁判書製作法官")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -168,37 +167,57 @@ def card_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contaminated_cards(spark: SparkSession, d: str) -> DataFrame:
-    """Cards that hold several cards."""
-    return table(spark, d, CARDS).where(quality.contaminated(F.col("raw_card_text"), LABELS)).select("ord", "page_number")
+    """Whether every card holds several cards, looks like a result, and is no rule between cards."""
+    raw = F.col("raw_card_text")
+    links = F.when(dedupe.present(F.col("pdf_url")), 1).otherwise(0) + F.when(dedupe.present(F.col("text_url_or_action")), 1).otherwise(0)
+    return table(spark, d, CARDS).select("ord", quality.contaminated(raw).alias("contaminated"), quality.result_like(raw, links).alias("result_like"), quality.separator(F.lit(None).cast("string"), raw).alias("separator"))
 
 
-def normal_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Ranking form, preview and clipped form of every summary, as digests and texts."""
-    c = F.col("case_summary")
-    return table(spark, d, "research_result_items").select("ord", F.md5(text.ranking_text(c)).alias("ranking_md5"), F.md5(text.preview(c)).alias("preview_md5"), text.clip(c, 60).alias("clipped"))
+def card_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Number and type read from the lines of every card, its cleaned type and whether that is valid."""
+    raw = F.coalesce("raw_card_text", F.lit(""))
+    lines = extract.head_lines(raw, 1000)
+    x = table(spark, d, CARDS).select("ord", "case_type", extract.case_number_and_type(lines, raw).alias("r"))
+    return x.select("ord", "r.case_number", F.col("r.case_type").alias("line_type"), extract.clean_case_type(F.col("case_type")).alias("clean_type"), extract.valid_case_type(F.col("case_type")).alias("valid"))
 
 
-def legal_basis_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Article references in the chunks, how often each is met and in how many rows."""
-    c = F.col("chunk_text")
-    found = F.concat(F.regexp_extract_all(c, F.lit("(第[0-9]{1,4}條)")), F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"((?:artigo|art\.º|art\.)\s*[0-9]{1,4})")), lambda x: F.regexp_replace(x, r"^(?:artigo|art\.º|art\.)\s*", "art. ")))
-    x = table(spark, d, "case_chunks").select("ord", F.explode(found).alias("basis"))
-    return x.groupBy("ord", "basis").agg(F.count("*").alias("n")).groupBy("basis").agg(F.sum("n").alias("occurrences"), F.count("*").alias("rows"))
+def card_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct cards by each of the keys in use: addresses, document else raw text, and the bare triples."""
+    c = F.col
+    x = table(spark, d, CARDS)
+    first = lambda *cols: F.coalesce(*[F.nullif(c(n), F.lit("")) for n in cols])
+    keys = {
+        "addresses": dedupe.card_key(c("court"), c("case_number"), c("decision_date"), [c("text_url_zh"), c("text_url_pt")], [c("pdf_url")]),
+        "document_or_raw": dedupe.raw_card_key(c("court"), c("case_number"), c("decision_date"), first("pdf_url", "text_url_or_action"), c("raw_card_text")),
+        "date_case_raw": [c("decision_date"), c("case_number"), c("raw_card_text")], "subject_case_raw": [c("subject"), c("case_number"), c("raw_card_text")],
+    }
+    out = None
+    for name, key in keys.items():
+        kept = dedupe.first_wins(x, key, c("ord")).agg(F.lit(name).alias("key_name"), F.count("*").alias("cards"), F.sum("ord").alias("ords"))
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
 
+def link_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the cards by kind and language."""
+    return quality.link_metrics(table(spark, d, CARDS))
 
-def holding_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Best holding sentence of every chunk: scored by key words and length, the last of the best wins."""
-    primary, secondary = ("improcede", "condenado", "mantém", "dismissed", "駁回", "不成立"), ("decidiu", "tribunal", "court", "本院", "裁判")
-    s = text.spaced_sentences(F.regexp_replace(F.col("chunk_text"), "([。！？])", "$1 "))
 
-    def score(x):
-        low = F.lower(x)
-        n = sum((F.when(F.contains(low, F.lit(w)), 4).otherwise(0) for w in primary), F.lit(0)) + sum((F.when(F.contains(low, F.lit(w)), 1).otherwise(0) for w in secondary), F.lit(0))
-        return n - F.when((F.length(x) > 260) | (F.length(x) < 8), 2).otherwise(0)
+def boundary_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Valid numbers and types of the cards, contaminated ones, and the verdict on the set."""
+    return quality.boundary_metrics(table(spark, d, CARDS))
 
-    rated = F.transform(s, lambda x, i: F.struct(score(x).alias("score"), (-F.length(x)).alias("short"), i.alias("i"), x.alias("sentence")))
-    best = F.array_max(F.filter(rated, lambda r: r["score"] > 0))
-    return table(spark, d, "case_chunks").select("ord", best.alias("b")).where("b IS NOT NULL").select("ord", "b.score", "b.sentence")
+
+def populated_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """Filled leaves of the metadata read as nested records."""
+    m = table(spark, d, "case_metadata").select(F.struct("authoritative_case_number", "court", "language", "case_type").alias("core"), F.struct("case_summary", "holding", "legal_basis", "disputed_issues").alias("digest"))
+    return evaluation.populated_leaves(m)
+
+
+def normal_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Ranking form, preview and clipped form of every summary, as digests and texts."""
+    c = F.col("case_summary")
+    return table(spark, d, "research_result_items").select("ord", F.md5(text.ranking_text(c)).alias("ranking_md5"), F.md5(text.preview(c)).alias("preview_md5"), text.clip(c, 60).alias("clipped"))
 
 
 def case_cards(spark: SparkSession, d: str) -> DataFrame:
@@ -206,8 +225,8 @@ def case_cards(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     return table(spark, d, "research_result_items").select(
         "ord",
-        cards.card_title(c("court"), c("authoritative_case_number"), c("case_type")).alias("title"),
-        F.concat_ws("｜", cards.or_unknown(c("language")), cards.or_unknown(c("authoritative_decision_date")), F.concat(F.lit("metadata:"), cards.or_unknown(c("metadata_source")))).alias("subtitle"),
+        cards.card_title(c("authoritative_case_number"), c("case_type"), c("court")).alias("title"),
+        cards.card_subtitle(c("language"), c("authoritative_decision_date"), c("metadata_source")).alias("subtitle"),
         F.array_join(cards.card_tags(c("case_type"), c("language"), c("metadata_source"), c("legal_basis")), ";").alias("tags"),
     )
 
@@ -266,8 +285,9 @@ def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_routes(spark: SparkSession, d: str) -> DataFrame:
-    """Full texts by the length route of a prompt."""
-    return table(spark, d, "merge_case_rows").groupBy(text.length_route(F.col("full_text"), 400, 1200).alias("route")).agg(F.count("*").alias("texts"))
+    """Full texts and documents by the length route of a prompt, at its own limits."""
+    texts = table(spark, d, "merge_case_rows").select(F.col("full_text").alias("t")).unionAll(table(spark, d, "documents").select(F.col("text").alias("t")))
+    return texts.groupBy(text.length_route(F.coalesce("t", F.lit(""))).alias("route")).agg(F.count("*").alias("texts"))
 
 
 def paragraphs_kept(spark: SparkSession, d: str) -> DataFrame:
@@ -280,7 +300,7 @@ QUERIES = {
     for f in (
         p5_found, ordered_dedupe_reasons, first_cards, duplicate_keys, card_addresses, page_repeats, corpus_layout, packed_chunks, chunk_counters, case_profiles,
         metadata_attached, row_choice, field_choice, coverage_counts, baseline_against_model, two_key_lookup, population, text_quality, page_validity, card_metrics,
-        contaminated_cards, normal_texts, legal_basis_counts, holding_sentences, case_cards, envelopes, latest_by_court, new_per_day, event_windows, event_properties, card_headers, clean_bases, sentence_counts, text_routes, paragraphs_kept,
+        contaminated_cards, card_lines, card_sets, link_metrics, boundary_metrics, populated_leaves, normal_texts, case_cards, envelopes, latest_by_court, new_per_day, event_windows, event_properties, card_headers, clean_bases, sentence_counts, text_routes, paragraphs_kept,
     )
 }
 
@@ -326,6 +346,46 @@ _WORDS = "len(regexp_extract_all(text, '\\S+'))"
 _GOOD = "coalesce(length(text) >= {0} AND " + _WORDS + " >= 60, false)"
 _DAY = "coalesce(try_strptime(trim(authoritative_decision_date), '%d/%m/%Y'), try_strptime(trim(authoritative_decision_date), '%Y-%m-%d'))::DATE"
 _U = "text_url_or_action"
+_DATES = extract.ANY_DATE[1:-1].replace("\\d", "[0-9]")
+_CASE, _PREFIXED = "[0-9]{1,6}/[0-9]{4}", "(?i)[A-Z]{1,8}-?[0-9]{1,6}/[0-9]{2,4}"
+
+
+def _hits(pattern: str) -> str:
+    """How often a pattern is met as a word in r; what lies between words is doubled, as each match takes its borders."""
+    head = "(?i)" if pattern.startswith("(?i)") else ""
+    doubled = "regexp_replace(r, '([^\\p{L}\\p{N}_/])', '\\1\\1', 'g')"
+    return f"len(regexp_extract_all({doubled}, '{head}(?:^|[^\\p{{L}}\\p{{N}}_]){pattern.removeprefix('(?i)')}(?:$|[^\\p{{L}}\\p{{N}}_])'))"
+
+
+def _marks() -> str:
+    return " + ".join(f"(length(r) - length(replace(r, '{x}', ''))) // {len(x)}" for x in quality.CARD_LABELS)
+
+
+def _number(c: str) -> str:
+    """First case number as a word in a text, plain before prefixed; '' where there is none."""
+    one = lambda p: f"regexp_extract({c}, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])({p.removeprefix('(?i)')})(?:$|[^\\p{{L}}\\p{{N}}_])', 1)"
+    return f"coalesce(nullif({one(_CASE)}, ''), nullif({one(_PREFIXED)}, ''), '')"
+
+
+def _clean(c: str) -> str:
+    v = sql.squeeze(f"coalesce({c}, '')")
+    bare = sql.squeeze(f"regexp_replace({v}, '^[-:：,，.]+', '')")
+    return f"CASE WHEN NOT regexp_matches({v}, '^/[0-9]{{2,4}}$') AND NOT regexp_matches({bare}, '^/[0-9]{{2,4}}$') AND {bare} <> '' THEN {bare} END"
+
+
+def _card_keys() -> dict[str, str]:
+    q = lambda c: sql.squeeze(f"coalesce({c}, '')")
+    joined = lambda cols: f"array_to_string(list_sort(list_distinct(list_filter([{', '.join(map(q, cols))}], lambda x: x <> ''))), '|')"
+    t = joined(["text_url_zh", "text_url_pt"])
+    doc = q("coalesce(nullif(pdf_url, ''), nullif(text_url_or_action, ''))")
+    blank = f"({q('case_number')} = '' AND {q('decision_date')} = '' AND {doc} = '')"
+    return {
+        "addresses": f"{q('court')}, {q('case_number')}, {q('decision_date')}, CASE WHEN {t} <> '' THEN {t} ELSE {joined(['pdf_url'])} END",
+        "document_or_raw": f"court, CASE WHEN NOT {blank} THEN {q('case_number')} END, CASE WHEN NOT {blank} THEN {q('decision_date')} END, CASE WHEN {blank} THEN 'raw:' || {q('raw_card_text')} ELSE {doc} END",
+        "date_case_raw": "decision_date, case_number, raw_card_text",
+        "subject_case_raw": "subject, case_number, raw_card_text",
+    }
+
 
 ORACLE_SQL = {
     "ordered_dedupe_reasons": f"""WITH x AS (SELECT coalesce(court, '') AS court, CASE WHEN {_P('sentence_id')} THEN trim(sentence_id) END AS k, ord FROM merge_case_rows),
@@ -373,16 +433,28 @@ ORACLE_SQL = {
  (SELECT page_number, count(*) AS cards, count(*) FILTER ({_P('case_number')}) AS with_case, count(*) FILTER ({_P('pdf_url')} OR {_P('text_url_or_action')}) AS with_document FROM {CARDS} GROUP BY 1))""",
     "card_metrics": f"""SELECT *, with_case / cards >= 0.6 AS case_ok, with_date / cards >= 0.6 AS date_ok, with_document / cards >= 0.6 AS document_ok, with_type / cards >= 0.6 AS type_ok FROM
  (SELECT count(*) AS cards, count(*) FILTER ({_P('case_number')}) AS with_case, count(*) FILTER ({_P('decision_date')}) AS with_date, count(*) FILTER ({_P('pdf_url')} OR {_P('text_url_or_action')}) AS with_document, count(*) FILTER ({_P('case_type')}) AS with_type FROM {CARDS})""",
-    "contaminated_cards": f"""SELECT ord, page_number FROM {CARDS} WHERE len(list_distinct(regexp_extract_all(regexp_replace(raw_card_text, '{quality.DATE}', ' ', 'g'), '{quality.CASE}'))) > 1 OR len(list_distinct(regexp_extract_all(raw_card_text, '{quality.DATE}'))) > 1
- OR len(list_filter({sql.listed(LABELS)}, lambda x: contains(raw_card_text, x))) > 6""",
+    "contaminated_cards": f"""SELECT ord, r = '' OR {_hits(_CASE)} + {_hits(_PREFIXED)} > 1 OR len(regexp_extract_all(r, '{_DATES}')) > 1 OR {_marks()} > 6 AS contaminated,
+ length(coalesce(raw_card_text, '')) >= 20 AND (coalesce(regexp_matches(raw_card_text, '{quality.CASE}'), false) OR (coalesce(regexp_matches(raw_card_text, '{_DATES}'), false) AND links > 0) OR (links >= 2 AND length(coalesce(raw_card_text, '')) >= 40)) AS result_like, length(r) < 4 AS separator
+ FROM (SELECT *, {sql.squeeze("coalesce(raw_card_text, '')")} AS r, {_P('pdf_url')}::INT + {_P('text_url_or_action')}::INT AS links FROM {CARDS})""",
+    "card_lines": f"""WITH l AS (SELECT ord, case_type, coalesce(raw_card_text, '') AS raw, list_filter(list_transform(string_split(coalesce(raw_card_text, ''), chr(10)), lambda x: {sql.squeeze('x')}), lambda x: x <> '') AS ls FROM {CARDS}),
+ n AS (SELECT *, list_filter(list_transform(range(1, len(ls) + 1), lambda i: {{'n': {_number('ls[i]')}, 'x': ls[i], 'nx': coalesce(ls[i + 1], '')}}), lambda r: r.n <> '')[1] AS r FROM l),
+ k AS (SELECT *, {_clean("substr(r.x, instr(r.x, r.n) + length(r.n))")} AS behind, {_clean("substr(r.x, 1, instr(r.x, r.n) - 1)")} AS before, {_clean('r.nx')} AS nxt FROM n)
+ SELECT ord, coalesce(r.n, nullif({_number('raw')}, '')) AS case_number, CASE WHEN r.n IS NOT NULL THEN coalesce(behind, CASE WHEN NOT regexp_matches(before, '{_DATES}') THEN before END, CASE WHEN {_number('nxt')} = '' AND NOT regexp_matches(nxt, '{_DATES}') THEN nxt END) END AS line_type,
+ {_clean('case_type')} AS clean_type, {sql.squeeze("coalesce(case_type, '')")} <> '' AND NOT regexp_matches({sql.squeeze("coalesce(case_type, '')")}, '^/[0-9]{{2,4}}$') AS valid FROM k""",
+    "card_sets": " UNION ALL ".join(f"SELECT '{n}' AS key_name, count(*) AS cards, sum(o)::BIGINT AS ords FROM (SELECT min(ord) AS o FROM {CARDS} GROUP BY {k})" for n, k in _card_keys().items()),
+    "link_metrics": f"""SELECT count(*) AS cards, count(*) FILTER ({_P('pdf_url')}) AS cards_with_pdf, count(*) FILTER ({_P(_U)}) AS cards_with_text, count(*) FILTER ({_P('pdf_url')} AND {_P(_U)}) AS cards_with_both,
+ count(*) FILTER (coalesce(text_link_language = 'zh', false) OR coalesce(regexp_matches({_U}, '(?i)/sentence/zh/[0-9]+'), false)) AS zh_text_links, count(*) FILTER (coalesce(text_link_language = 'pt', false) OR coalesce(regexp_matches({_U}, '(?i)/sentence/pt/[0-9]+'), false)) AS pt_text_links,
+ count(*) FILTER ({_P('text_url_zh')}) AS zh_texts, count(*) FILTER ({_P('text_url_pt')}) AS pt_texts, count(*) FILTER ({_P('text_url_zh')} AND {_P('text_url_pt')}) AS both_texts FROM {CARDS}""",
+    "boundary_metrics": f"""SELECT *, cards > 0 AND contaminated = 0 AND valid_numbers >= greatest(1, floor(cards * 0.6)) AND valid_types >= greatest(1, floor(cards * 0.6)) AS success FROM (SELECT count(*) AS cards,
+ count(*) FILTER (coalesce(regexp_matches({sql.squeeze('case_number')}, '^[0-9]{{1,6}}/[0-9]{{4}}$'), false)) AS valid_numbers, count(*) FILTER ({sql.squeeze("coalesce(case_type, '')")} <> '' AND NOT regexp_matches({sql.squeeze("coalesce(case_type, '')")}, '^/[0-9]{{2,4}}$')) AS valid_types,
+ count(*) FILTER (r = '' OR {_hits(_CASE)} + {_hits(_PREFIXED)} > 1 OR len(regexp_extract_all(r, '{_DATES}')) > 1 OR {_marks()} > 6) AS contaminated FROM (SELECT *, {sql.squeeze("coalesce(raw_card_text, '')")} AS r FROM {CARDS}))""",
+    "populated_leaves": "SELECT (" + " + ".join([f"count(*) FILTER ({_P(c)})" for c in ("authoritative_case_number", "court", "language", "case_type", "case_summary", "holding")] + [f"count(*) FILTER (coalesce(len({c}) > 0, false))" for c in ("legal_basis", "disputed_issues")]) + ")::BIGINT AS populated, count(*) * 8 AS total FROM case_metadata",
     "normal_texts": f"""SELECT ord, md5({sql.ranking_text('case_summary')}) AS ranking_md5, md5(CASE WHEN length({sql.squeeze('case_summary')}) <= 220 THEN {sql.squeeze('case_summary')} ELSE substr({sql.squeeze('case_summary')}, 1, 220) || '...' END) AS preview_md5,
  CASE WHEN length(case_summary) <= 60 THEN case_summary ELSE substr(case_summary, 1, 57) || '...' END AS clipped FROM research_result_items""",
-    "legal_basis_counts": """WITH x AS (SELECT ord, unnest(coalesce(regexp_extract_all(chunk_text, '第[0-9]{1,4}條'), []) || list_transform(coalesce(regexp_extract_all(lower(chunk_text), '(?:artigo|art\\.º|art\\.)\\s*[0-9]{1,4}'), []), lambda v: regexp_replace(v, '^(?:artigo|art\\.º|art\\.)\\s*', 'art. '))) AS basis FROM case_chunks)
- SELECT basis, count(*) AS occurrences, count(DISTINCT ord) AS rows FROM x GROUP BY 1""",
-    "case_cards": f"""SELECT ord, coalesce(nullif(concat_ws('｜', CASE WHEN {_P('court')} THEN court END, CASE WHEN {_P('authoritative_case_number')} THEN authoritative_case_number END, CASE WHEN {_P('case_type')} THEN case_type END), ''), 'untitled case') AS title,
- concat_ws('｜', CASE WHEN {_P('language')} THEN language ELSE 'unknown' END, CASE WHEN {_P('authoritative_decision_date')} THEN authoritative_decision_date ELSE 'unknown' END, 'metadata:' || CASE WHEN {_P('metadata_source')} THEN metadata_source ELSE 'unknown' END) AS subtitle,
- array_to_string(list_filter([case_type, CASE WHEN language IS DISTINCT FROM case_type THEN language END, CASE WHEN metadata_source IS DISTINCT FROM case_type AND metadata_source IS DISTINCT FROM language THEN metadata_source END], lambda x: coalesce(trim(x), '') <> '')
-  || list_transform(list_filter(coalesce(legal_basis, []), lambda x: coalesce(trim(x), '') <> '')[1:2], lambda x: 'basis:' || x), ';') AS tags FROM research_result_items""",
+    "case_cards": """SELECT ord, coalesce(nullif(concat_ws('｜', nullif(authoritative_case_number, ''), nullif(case_type, ''), nullif(court, '')), ''), '未命名案例') AS title,
+ concat_ws(' · ', coalesce(nullif(language, ''), 'unknown-language'), coalesce(nullif(authoritative_decision_date, ''), 'unknown-date'), 'metadata:' || coalesce(nullif(metadata_source, ''), 'unknown')) AS subtitle,
+ array_to_string(list_filter([a, CASE WHEN b <> a THEN b END, CASE WHEN c <> a AND c <> b THEN c END], lambda x: x <> '') || list_transform(list_filter(list_transform(coalesce(legal_basis, [])[1:2], lambda x: trim(coalesce(x, ''))), lambda x: x <> ''), lambda x: 'basis:' || x), ';') AS tags
+ FROM (SELECT *, trim(coalesce(case_type, '')) AS a, trim(coalesce(language, '')) AS b, trim(coalesce(metadata_source, '')) AS c FROM research_result_items)""",
     "envelopes": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY epoch(returned_at)::BIGINT DESC, ord) AS rank FROM research_result_items WHERE language IS NOT NULL AND returned_at IS NOT NULL),
  t AS (SELECT language, count(*) AS n, count(*) FILTER (metadata_source = 'model_generated') AS m, string_agg(ord::VARCHAR, ',' ORDER BY rank) AS ords FROM r WHERE rank <= 10 GROUP BY 1)
  SELECT language AS query_id, '1' AS schema_version, n AS result_count, m AS model_generated_used, n - m AS fallback_used, n > 0 AS success, ords FROM t""",
@@ -406,6 +478,17 @@ ORACLE_SQL |= {
     "clean_bases": """WITH a AS (SELECT ord, list_filter(list_transform(coalesce(legal_basis, []), lambda x: trim(x)), lambda x: x <> '') AS l FROM research_result_items),
  b AS (SELECT ord, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i)[1:8] AS l FROM a) SELECT ord, coalesce(array_to_string(l, '; '), '') AS bases, len(l)::INT AS n FROM b""",
     "sentence_counts": f"SELECT ord, coalesce(len(p), 0)::INT AS parts, md5(array_to_string(p, '|')) AS digest FROM (SELECT ord, list_filter(list_transform(string_split({_MARKED}, chr(1)), lambda x: trim(x)), lambda x: x <> '') AS p FROM case_chunks)",
-    "text_routes": "SELECT CASE WHEN length(full_text) <= 400 THEN 'short' WHEN length(full_text) <= 1200 THEN 'medium' ELSE 'long' END AS route, count(*) AS texts FROM merge_case_rows GROUP BY 1",
+    "text_routes": "SELECT CASE WHEN length(t) <= 3800 THEN 'short' WHEN length(t) <= 14000 THEN 'medium' ELSE 'long' END AS route, count(*) AS texts FROM (SELECT coalesce(full_text, '') AS t FROM merge_case_rows UNION ALL SELECT coalesce(text, '') FROM documents) GROUP BY 1",
     "paragraphs_kept": r"""SELECT ord, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(chunk_text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '(?m)^ | $', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM case_chunks""",
 }
+
+_PARAS = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(full_text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '(?m)^ | $', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'), chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"""
+_FIXED = r"list_filter(list_transform(range(0, length(x[1]), 1200), lambda i: regexp_replace(substr(x[1], i + 1, 1200), '^\s+|\s+$', '', 'g')), lambda y: y <> '')"
+_OPEN = "acc[len(acc)]"
+# the chunks are folded in a list whose last element is the open one
+ORACLE_SQL["packed_chunks"] = f"""WITH p AS (SELECT ord, authoritative_case_number AS cn, authoritative_decision_date AS dd, language, {_PARAS} AS ps FROM merge_case_rows WHERE full_text IS NOT NULL),
+ f AS (SELECT *, list_reduce([['']] || list_transform(ps, lambda y: [y]), lambda acc, x: CASE WHEN length(x[1]) > 1600 THEN CASE WHEN {_OPEN} = '' THEN acc[1:len(acc) - 1] ELSE acc END || {_FIXED} || ['']
+   WHEN length(CASE WHEN {_OPEN} = '' THEN x[1] ELSE {_OPEN} || chr(10) || chr(10) || x[1] END) <= 1200 THEN acc[1:len(acc) - 1] || [CASE WHEN {_OPEN} = '' THEN x[1] ELSE {_OPEN} || chr(10) || chr(10) || x[1] END]
+   ELSE CASE WHEN {_OPEN} = '' THEN acc[1:len(acc) - 1] ELSE acc END || [x[1]] END) AS cs FROM p),
+ c AS (SELECT *, list_filter(cs, lambda y: y <> '') AS ok FROM f), e AS (SELECT ord, cn, dd, language, unnest(ok) AS chunk_text, unnest(range(0, len(ok)))::INT AS chunk_index FROM c)
+SELECT ord, chunk_index, replace(coalesce(cn, ''), '/', '_') || '_' || coalesce(language, '') || '_' || printf('c%04d', chunk_index) || '_' || substr(sha1(coalesce(cn, '') || '|' || coalesce(dd, '') || '|' || coalesce(language, '') || '|' || chunk_index || '|' || chunk_text), 1, 12) AS chunk_id, chunk_text FROM e"""

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, retrieval
+from . import corpus, fields, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-CORE_QUERIES: dict[str, Query] = retrieval.QUERIES | corpus.QUERIES
-CORE_ORACLE_SQL: dict[str, str] = retrieval.ORACLE_SQL | corpus.ORACLE_SQL
+CORE_QUERIES: dict[str, Query] = retrieval.QUERIES | corpus.QUERIES | fields.QUERIES
+CORE_ORACLE_SQL: dict[str, str] = retrieval.ORACLE_SQL | corpus.ORACLE_SQL | fields.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, data_dir: str) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.functions import lexicon, text
-from foliant.operators import evaluation, routing, search
-from foliant.sources.tables import table
+from foliant.functions import lexicon, queries, text
+from foliant.operators import evaluation, research, routing, search
+from foliant.sources.tables import cut_lineage, table
 
-from . import sql
+from . import fields, sql
 
 #: retrieval depth of the reports
 TOP = 10
@@ -36,10 +36,28 @@ def _rounded(scores: DataFrame) -> DataFrame:
     return scores.withColumn("score", F.round("score", 9))
 
 
+def chunk_search(spark: SparkSession, d: str, id_col: str = "ord"):
+    """Retriever over the chunks: four weighted fields, queries normalised and expanded, case numbers rewarded; ties by ingest ordinal."""
+    docs = table(spark, d, "case_chunks")
+
+    def run(asked: DataFrame, k: int) -> DataFrame:
+        tokens = text.mixed_tokens(F.col("expanded"))
+        asked = cut_lineage(asked.select("query_id", queries.zh_query(F.col("query"))["expanded"].alias("expanded")))
+        s = search.bm25(docs, "ord", _chunk_fields(), WEIGHTS, asked, tokens)
+        number = F.regexp_replace(F.lower("authoritative_case_number"), text.BLANK, "")
+        s = search.case_bonus(s, docs, "ord", number, asked, search.case_references(tokens))
+        hits = search.top_k(_rounded(s), k, "id")
+        if id_col != "ord":
+            hits = docs.select(F.col("ord").alias("id"), F.col(id_col).alias("__name")).join(F.broadcast(hits), "id").drop("id").withColumnRenamed("__name", "id")  # k rows a stated query
+        return hits.select("query_id", "id", "score", "rank")
+
+    return run
+
+
 def bm25_top(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 over four weighted fields of the chunks, for the stated evaluation items."""
-    s = search.bm25(table(spark, d, "case_chunks"), "ord", _chunk_fields(), WEIGHTS, _items(spark, d), text.mixed_tokens(F.col("text")))
-    return search.top_k(_rounded(s), TOP, "id").select("query_id", F.col("id").alias("ord"), "rank", F.round("score", 4).alias("score"))
+    """Weighted ranking of the chunks for the stated evaluation items, normalised and expanded, with the case bonus."""
+    hits = chunk_search(spark, d)(_items(spark, d).withColumnRenamed("text", "query"), TOP)
+    return hits.select("query_id", F.col("id").alias("ord"), "rank", F.round("score", 4).alias("score"))
 
 
 _BM25_FIELDS = {
@@ -48,7 +66,7 @@ _BM25_FIELDS = {
     "bm25_text": (sql.mixed_tokens(sql.ranking_text("chunk_text")), 1.5),
     "chunk_text": (sql.mixed_tokens("chunk_text"), 1.0),
 }
-_ITEMS_SQL = f"SELECT item_id AS query_id, {sql.mixed_tokens('text')} AS tokens FROM eval_items WHERE item_id % {EVERY} = 0"
+_ITEMS_SQL = f"WITH {fields.forms_sql(f'(SELECT * FROM eval_items WHERE item_id % {EVERY} = 0)', 'item_id', 'text')} SELECT item_id AS query_id, {sql.mixed_tokens('expanded')} AS tokens FROM forms"
 
 
 def light_bm25_top(spark: SparkSession, d: str) -> DataFrame:
@@ -64,17 +82,28 @@ def term_statistics(spark: SparkSession, d: str) -> DataFrame:
     return search.term_stats(search.term_counts(rows, "ord", {"t": text.mixed_tokens(F.col("case_summary"))}))
 
 
-def exact_case_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks by exact case number; queries with few exact rows filled up by ranking."""
+def exact_search(spark: SparkSession, d: str):
+    """Retriever by exact case number; queries with fewer than three such rows, or without a number, are filled up by plain ranking."""
     docs = table(spark, d, "case_chunks")
-    ask = table(spark, d, "research_result_items").where(F.col("ord") % EVERY == 0)
-    ask = ask.select(F.col("ord").alias("query_id"), text.case_identity(F.col("authoritative_case_number")).alias("case_id"), "authoritative_case_number").where("case_id IS NOT NULL")
-    exact = docs.select(F.col("ord").alias("id"), text.case_identity(F.col("authoritative_case_number")).alias("case_id")).join(ask, "case_id")
-    exact = exact.select("query_id", "id", F.col("id").alias("ord"))
-    light = {"t": text.light_tokens(F.concat_ws("\n", "authoritative_case_number", "case_type"))}
-    ranked = search.bm25(docs, "ord", light, {"t": 1.0}, ask, text.light_tokens(F.col("authoritative_case_number")))
-    pool = search.top_k(_rounded(ranked), 2 * TOP, "id").select("query_id", "id", F.col("id").alias("ord"), "score")
-    return search.exact_with_fallback(exact, pool, TOP).select("query_id", "ord", "rank", F.round("score", 4).alias("score"), "source")
+
+    def run(asked: DataFrame, k: int) -> DataFrame:
+        asked = cut_lineage(asked.select("query_id", "query", text.case_identity(F.col("query")).alias("case_id")))
+        rows = docs.select(F.col("ord").alias("id"), "ord", text.case_identity(F.col("authoritative_case_number")).alias("case_id")).where("case_id IS NOT NULL")
+        # no query sees more than the first rows of a case, so a hot case is no hot join
+        first = search.first_of_each(rows, "case_id", "ord", max(k, search.ENOUGH_EXACT))
+        exact = first.join(asked.where("case_id IS NOT NULL"), "case_id").select("query_id", "id", "ord")
+        whole = {"t": text.light_tokens(F.concat_ws(" ", F.coalesce("authoritative_case_number", F.lit("")), text.ranking_text(F.coalesce("chunk_text", F.lit(""))), F.coalesce("chunk_text", F.lit(""))))}
+        ranked = search.bm25(docs, "ord", whole, {"t": 1.0}, asked, text.light_tokens(F.col("query")))
+        pool = search.top_k(_rounded(ranked), max(2 * k, 10), "id").select("query_id", "id", F.col("id").alias("ord"), "score")
+        return search.exact_with_fallback(exact, pool, k)
+
+    return run
+
+
+def exact_case_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by the exact case number of the stated items."""
+    ask = table(spark, d, "research_result_items").where(F.col("ord") % EVERY == 0).select(F.col("ord").alias("query_id"), F.coalesce("authoritative_case_number", F.lit("")).alias("query"))
+    return exact_search(spark, d)(ask, TOP).select("query_id", "ord", "rank", F.round("score", 4).alias("score"), "source")
 
 
 def dense_top(spark: SparkSession, d: str) -> DataFrame:
@@ -86,10 +115,10 @@ def dense_top(spark: SparkSession, d: str) -> DataFrame:
 
 def hashed_ngram_top(spark: SparkSession, d: str) -> DataFrame:
     """Hashed n-gram vectors of summaries, ranked for the stated items."""
-    docs = search.hashed_postings(table(spark, d, "research_result_items"), "ord", text.char_ngrams(F.col("case_summary")))
-    asked = search.hashed_postings(_items(spark, d), "query_id", text.char_ngrams(F.col("text")))
-    s = _rounded(search.sparse_dot(asked, docs))
-    return search.top_k(s, TOP, "id").select("query_id", F.col("id").alias("ord"), "rank", F.round("score", 5).alias("score"))
+    docs = search.hashed_vectors(table(spark, d, "research_result_items"), "ord", text.char_ngrams(F.col("case_summary")))
+    asked = search.hashed_vectors(_items(spark, d), "query_id", text.char_ngrams(F.col("text")))
+    got = search.dense_top_k(docs, asked, TOP, places=9)
+    return got.select("query_id", F.col("id").alias("ord"), "rank", F.round("score", 5).alias("score"))
 
 
 def fused_top(spark: SparkSession, d: str) -> DataFrame:
@@ -101,30 +130,48 @@ def fused_top(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fan_out_merged(spark: SparkSession, d: str) -> DataFrame:
-    """Each item split into sub-queries, searched in one plan, merged by row with the queries that found it."""
-    from foliant.operators.dedupe import merge_hits
-
-    subs = _items(spark, d).select("query_id", F.posexplode(routing.subqueries(F.col("text"))).alias("i", "subquery"))
-    subs = subs.select((F.col("query_id") * 100 + F.col("i")).alias("query_id"), "subquery")
-    rows = table(spark, d, "research_result_items")
-    s = search.bm25(rows, "ord", {"t": text.light_tokens(F.col("case_summary"))}, {"t": 1.0}, subs, text.light_tokens(F.col("subquery")))
-    hits = search.top_k(_rounded(s), TOP, "id").join(subs, "query_id")
-    hits = hits.join(rows.select(F.col("ord").alias("id"), "language"), "id").select(
-        F.concat_ws(":", F.floor(F.col("query_id") / 100), "id").alias("chunk_id"), "score", "language", "subquery", (F.col("query_id") * 1000 + F.col("rank")).alias("hit_ord")
-    )
-    got = merge_hits(hits, ["language"])
-    return got.select("chunk_id", "language", F.round("score", 4).alias("score"), F.size("matched_subqueries").alias("queries"))
+    """Each item decomposed, its sub-queries searched in one plan and merged by chunk, with how many of them found it."""
+    asked = _items(spark, d).withColumnRenamed("text", "query")
+    got = research.fan_out(asked, chunk_search(spark, d, "chunk_id"), TOP)
+    return got.select("query_id", F.col("id").alias("chunk_id"), "rank", F.round("score", 4).alias("score"), F.size("matched_subqueries").alias("queries"))
+
+
+def responses(spark: SparkSession, d: str) -> DataFrame:
+    """Requests from end to end: checked, decomposed, searched, merged, first hit per case, metadata, cards, envelope."""
+    asked, _ = research.checked(_items(spark, d).select("query_id", F.col("text").alias("query"), F.lit(None).cast("int").alias("top_k")))
+    asked = cut_lineage(asked)
+    hits = research.fan_out(asked, chunk_search(spark, d, "chunk_id"), research.DEFAULT_TOP_K)
+    chunks = table(spark, d, "case_chunks")
+    facts = chunks.join(F.broadcast(hits.select(F.col("id").alias("chunk_id")).distinct()), "chunk_id", "left_semi")
+    facts = facts.groupBy("chunk_id").agg(F.min_by(F.struct(*[c for c in chunks.columns if c not in ("chunk_id", "ord")]), "ord").alias("c")).select("chunk_id", "c.*")
+    full = hits.withColumnRenamed("id", "chunk_id").join(facts, "chunk_id")
+    cases = research.first_hits(full, "authoritative_case_number")
+    meta = table(spark, d, "case_metadata")
+    by = lambda source: research.metadata_index(meta.where(F.col("metadata_source") == source), "ord")
+    shown = research.with_cards(research.enriched(cases, by(research.MODEL), by(research.BASELINE)))
+    out = research.responses(asked, shown)
+    shows = lambda f: F.array_join(F.transform("results", lambda r: r[f]), "; ")
+    return out.select(
+        "query_id", "top_k", "result_count", "diagnostics.model_generated_metadata_used_count", "diagnostics.deterministic_fallback_used_count", "diagnostics.success_flag", shows("card_title").alias("titles"), shows("card_subtitle").alias("subtitles")
+    )
 
 
 def overlap_top(spark: SparkSession, d: str) -> DataFrame:
-    """Rows whose legal basis shares most with that of the stated rows; an equality join on elements, not on rows."""
-    rows = table(spark, d, "research_result_items")
-    cells = rows.select("ord", F.explode(F.array_distinct("legal_basis")).alias("basis"))
-    asked = cells.where(F.col("ord") % EVERY == 0).select(F.col("ord").alias("query_id"), "basis")
-    size = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    shared = asked.join(cells, "basis").where("ord <> query_id").groupBy("query_id", "ord").agg(F.count("*").alias("shared"))
-    s = shared.join(size, "query_id").select("query_id", "ord", F.round(F.col("shared") / F.col("n"), 6).alias("score"))
-    return search.top_k(s, 5, "ord").select("query_id", "ord", "rank", "score")
+    """Rows whose legal basis shares most with that of the stated rows.
+
+    Rows of one basis set count once: sets meet on an element, and of a set only its
+    first rows can be among the best.
+    """
+    rows = table(spark, d, "research_result_items").select("ord", F.array_sort(F.array_distinct("legal_basis")).alias("s")).where("size(s) > 0")
+    first = search.first_of_each(rows, "s", "ord", 6)
+    sets = rows.select("s").distinct()
+    cells = sets.select("s", F.explode("s").alias("basis"))
+    asked = sets.join(rows.where(F.col("ord") % EVERY == 0).select("s").distinct(), "s", "left_semi").select(F.col("s").alias("q"), F.explode("s").alias("basis"))
+    shared = asked.join(cells, "basis").groupBy("q", "s").agg(F.count("*").alias("n"))
+    near = shared.join(first, "s").select("q", "ord", F.round(F.col("n") / F.size("q"), 6).alias("score"))
+    near = search.top_k(near, 6, "ord", ["q"]).drop("rank")  # one more, for the row itself
+    found = rows.where(F.col("ord") % EVERY == 0).select(F.col("ord").alias("query_id"), F.col("s").alias("q")).join(near, "q").where("ord <> query_id")
+    return search.top_k(found, 5, "ord").select("query_id", "ord", "rank", "score")
 
 
 def routes(spark: SparkSession, d: str) -> DataFrame:
@@ -133,9 +180,27 @@ def routes(spark: SparkSession, d: str) -> DataFrame:
     return r.select("ord", "query_type", "routing_strategy", "retrieval_mode", "decomposition_recommended")
 
 
+def route_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Which retrieval the route of every card title runs, with and without the exact branch, whether it heeds the language, and its signals."""
+    r = routing.route(table(spark, d, "research_result_items").select("ord", "card_title"), "card_title").withColumn("summary", routing.signal_summary())
+    mode, more = F.col("retrieval_mode"), F.col("decomposition_recommended")
+    return r.select(
+        "ord", routing.execution(mode, more).alias("path"), routing.execution(mode, more, False).alias("demo_path"),
+        routing.well_routed(F.col("summary"), F.col("normalized_query"), F.col("query_type"), F.col("routing_strategy")).alias("heeds_language"), "summary",
+    )
+
+
+def routed_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of the stated card titles by the retrieval their route names."""
+    titles = table(spark, d, "research_result_items").where(F.col("ord") % EVERY == 0).select(F.col("ord").alias("query_id"), "card_title")
+    routed = cut_lineage(routing.route(titles, "card_title").select("query_id", "normalized_query", "retrieval_mode", "decomposition_recommended"))
+    got = research.by_route(routed, exact_search(spark, d), chunk_search(spark, d), TOP)
+    return got.select("query_id", "path", F.col("id").alias("ord"), "rank", F.round("score", 4).alias("score"))
+
+
 def query_parts(spark: SparkSession, d: str) -> DataFrame:
     """Sub-queries of every card title."""
-    return table(spark, d, "research_result_items").where("card_title IS NOT NULL").select("ord", F.posexplode(routing.subqueries(F.col("card_title"))).alias("position", "subquery"))
+    return table(spark, d, "research_result_items").where("card_title IS NOT NULL").select("ord", F.posexplode(queries.subqueries(F.col("card_title"))).alias("position", "subquery"))
 
 
 def _ranked_citations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -177,22 +242,35 @@ def first_case_hits(spark: SparkSession, d: str) -> DataFrame:
     return search.top_k(best, TOP, "ord", ["retrieval_source"]).select("retrieval_source", "case_id", "ord", "rank", F.round("score", 6).alias("score"))
 
 
+def _rule_table(spark: SparkSession) -> DataFrame:
+    """Rules of a regression pack, one of each kind."""
+    rows = [("R1", "case_number_at_rank", 1, 1, "417/2021", None), ("R2", "case_number_in_top_k", 3, 3, "417/2021", None), ("R3", "any_case_number_in_top_k", 5, 5, None, ["417/2021", "1/1999"]), ("R4", "unheard_of", 1, 1, "417/2021", None)]
+    return spark.createDataFrame(rows, "query_id string, rule_type string, rank int, top_k int, case_number string, case_numbers array<string>")
+
+
 def pass_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Three kinds of rules held against the ranked cases of each source."""
+    """Rules of a pack held against the ranked cases of each source, ten at most."""
     per = first_case_hits(spark, d).groupBy("retrieval_source").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "case_id"))), lambda x: x["case_id"]).alias("cases"))
-    kinds = {"case_number_at_rank": 1, "case_number_in_top_k": 3, "any_case_number_in_top_k": 5, "unheard_of": 1}
-    rules = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(n).alias("rule_type"), F.lit(k).alias("rank"), F.lit(k).alias("top_k"), F.lit("417/2021").alias("case_number"), F.array(F.lit("417/2021"), F.lit("1/1999")).alias("case_numbers"))
-                for n, k in kinds.items()
-            ]
-        )
-    )
-    x = per.select("retrieval_source", "cases", rules.alias("rule"))
+    rules = _rule_table(spark)
+    x = per.join(F.broadcast(rules.select("query_id", F.struct(*[c for c in rules.columns if c != "query_id"]).alias("rule"))))  # a pack is a few rows
     return x.select("retrieval_source", "rule.rule_type", evaluation.pass_rule(F.col("rule"), F.col("cases")).alias("passed"))
 
 
+def pass_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the pack that passes, per source."""
+    r = pass_rules(spark, d).groupBy("retrieval_source").agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.round(F.avg(F.col("passed").cast("double")), 6).alias("pass_rate"))
+    return r
+
+
+def source_changes(spark: SparkSession, d: str) -> DataFrame:
+    """First hit rank of every chunk by one source against another, and what became of it."""
+    cites, truth = _ranked_citations(spark, d)
+    hit = cites.join(truth, "chunk_id").where(F.col("case_id") == F.col("truth")).groupBy("chunk_id", "retrieval_source").agg(F.min("source_rank").alias("first_rank"))
+    keys = cites.select("chunk_id").distinct()
+    of = lambda s: keys.join(hit.where(F.col("retrieval_source") == s), "chunk_id", "left").select("chunk_id", "first_rank")
+    return evaluation.before_after(of("bm25"), of("dense"), "chunk_id", "first_rank").groupBy("change").agg(F.count("*").alias("chunks"))
+
+
 def citation_ranks(spark: SparkSession, d: str) -> DataFrame:
     """Citations of each chunk in score order with label and group key."""
     from foliant.operators import cards
@@ -201,6 +279,14 @@ def citation_ranks(spark: SparkSession, d: str) -> DataFrame:
     return cards.citations(c, [F.col("score").desc_nulls_last(), F.col("ord")]).select("ord", "source_rank", "citation_label", "source_group_key")
 
 
+def preliminary_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of the best citations of every source, read as one request each."""
+    c = table(spark, d, "citation_records").where("retrieval_source IS NOT NULL AND score > 0")
+    best = search.top_k(c.withColumn("query_id", F.col("retrieval_source")).drop("source_rank"), 2, "ord").withColumnRenamed("rank", "source_rank")
+    x = research.findings(best).select("query_id", F.posexplode("findings").alias("position", "f"))
+    return x.select(F.col("query_id").alias("retrieval_source"), "position", F.md5("f.finding_text").alias("finding"), F.array_join("f.citation_labels", ",").alias("labels"))
+
+
 def overlap_scores(spark: SparkSession, d: str) -> DataFrame:
     """Set overlap, token overlap and containment of returned items against the metadata of their case, averaged per language."""
     items = table(spark, d, "research_result_items").where("trim(pdf_url) <> ''")
@@ -221,7 +307,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_top, light_bm25_top, term_statistics, exact_case_lookup, dense_top, hashed_ngram_top, fused_top, fan_out_merged, overlap_top, routes,
-        query_parts, hit_rates_by_source, slice_table, strongest_slice, first_case_hits, pass_rules, citation_ranks, overlap_scores,
+        query_parts, route_paths, routed_hits, responses, pass_rates, source_changes, preliminary_findings, hit_rates_by_source, slice_table, strongest_slice, first_case_hits, pass_rules, citation_ranks, overlap_scores,
     )
 }
 
@@ -231,29 +317,28 @@ _CASE_ID = (
     "regexp_extract(h, '([0-9]{1,6})\\s*/\\s*([0-9]{4})', 2) || CASE WHEN regexp_extract(h, '[0-9]{1,6}\\s*/\\s*[0-9]{4}\\s*[-/]\\s*([A-Za-z]{1,3})\\b', 1) <> '' "
     "THEN '-' || upper(regexp_extract(h, '[0-9]{1,6}\\s*/\\s*[0-9]{4}\\s*[-/]\\s*([A-Za-z]{1,3})\\b', 1)) ELSE '' END END"
 )
+_WHOLE_SQL = f"concat_ws(' ', coalesce(authoritative_case_number, ''), {sql.ranking_text("coalesce(chunk_text, '')")}, coalesce(chunk_text, ''))"
+_POOL_SQL = sql.bm25("case_chunks", "ord", {"t": (sql.light_tokens(_WHOLE_SQL), 1.0)}, f"SELECT ord AS query_id, {sql.light_tokens("coalesce(authoritative_case_number, '')")} AS tokens FROM research_result_items WHERE ord % {EVERY} = 0", "ord", 2 * TOP).replace("round(score, 4)", "round(score, 9)")
 _EXACT_SQL = f"""
-WITH ask AS (SELECT ord AS query_id, authoritative_case_number AS a, {_CASE_ID} AS c FROM (SELECT *, {sql.half('authoritative_case_number')} AS h FROM research_result_items WHERE ord % {EVERY} = 0)),
- docs AS (SELECT ord, {_CASE_ID} AS c, {sql.light_tokens("concat_ws(chr(10), authoritative_case_number, case_type)")} AS toks FROM (SELECT *, {sql.half('authoritative_case_number')} AS h FROM case_chunks)),
+WITH ask AS (SELECT ord AS query_id, {_CASE_ID} AS c FROM (SELECT *, {sql.half('authoritative_case_number')} AS h FROM research_result_items WHERE ord % {EVERY} = 0)),
+ docs AS (SELECT ord, {_CASE_ID} AS c FROM (SELECT *, {sql.half('authoritative_case_number')} AS h FROM case_chunks)),
  e AS (SELECT query_id, docs.ord FROM ask JOIN docs USING (c)),
  enough AS (SELECT query_id FROM e GROUP BY 1 HAVING count(*) >= 3),
- pool AS ({sql.bm25('docs', 'ord', {'t': ('toks', 1.0)}, f"SELECT query_id, {sql.light_tokens('a')} AS tokens FROM ask WHERE c IS NOT NULL", 'ord', 2 * TOP).strip().replace('WITH tok', 'WITH tok', 1).replace('round(score, 4)', 'round(score, 9)')}),
- u AS (SELECT query_id, ord, 100.0 AS score, 'exact' AS source FROM e UNION ALL
-       SELECT query_id, ord, least(score, 9.9), 'fallback' FROM pool p WHERE query_id NOT IN (SELECT query_id FROM enough) AND NOT EXISTS (SELECT 1 FROM e WHERE e.query_id = p.query_id AND e.ord = p.ord)),
- r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS rank FROM u)
+ pool AS ({_POOL_SQL}),
+ u AS (SELECT query_id, ord, 100.0 AS score, 100.0 AS own, 'exact' AS source FROM e UNION ALL
+       SELECT query_id, ord, least(score, 9.9), score, 'fallback' FROM pool p WHERE query_id NOT IN (SELECT query_id FROM enough) AND NOT EXISTS (SELECT 1 FROM e WHERE e.query_id = p.query_id AND e.ord = p.ord)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, own DESC, ord) AS rank FROM u)
 SELECT query_id, ord, rank, round(score, 4) AS score, source FROM r WHERE rank <= {TOP}"""
 
 
-def _grams(c: str) -> str:
-    t = f"regexp_replace(lower({sql.half(c)}), {sql.q(text.BLANK)}, '', 'g')"
-    parts = [f"list_transform(range(1, length({t}) - {n - 2}), lambda i: substr({t}, i, {n}))" for n in (2, 3, 4)]
-    return " || ".join([*[f"coalesce({p}, [])" for p in parts], f"coalesce(regexp_extract_all({t}, '[{text.HAN}]'), [])"])
-
-
 def _vectors(rel: str, idc: str, c: str) -> str:
     h = "md5(g)"
+    parts = [f"coalesce(list_transform(range(1, length(t) - {n - 2}), lambda i: substr(t, i, {n})), [])" for n in (2, 3, 4)]
+    grams = " || ".join([*parts, f"coalesce(regexp_extract_all(t, '[{text.HAN}]'), [])"])
+    texts = f"SELECT {idc} AS id, regexp_replace(lower({sql.nfkc(c)}), {sql.q(text.BLANK)}, '', 'g') AS t FROM {rel}"
     return (
         f"SELECT id, b, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (SELECT id, ('0x' || substr({h}, 1, 8))::BIGINT % 768 AS b, "
-        f"sum(CASE WHEN ('0x' || substr({h}, 9, 2))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END) AS w FROM (SELECT {idc} AS id, unnest({_grams(c)}) AS g FROM {rel}) GROUP BY ALL) WHERE w <> 0"
+        f"sum(CASE WHEN ('0x' || substr({h}, 9, 2))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END) AS w FROM (SELECT id, unnest({grams}) AS g FROM ({texts})) GROUP BY ALL) WHERE w <> 0"
     )
 
 
@@ -278,8 +363,16 @@ _SLICE_SQL = (
 SELECT slice, position, coalesce(queries, 0) AS queries, coalesce(hits, 0) AS hits, CASE WHEN queries > 0 THEN round(hits / queries, 6) ELSE 0.0 END AS hit_rate, coalesce(queries, 0) < 3 AS small FROM d LEFT JOIN a USING (slice)"""
 )
 
+
+
+def _unknown(c: str) -> str:
+    return f"CASE WHEN coalesce(trim({c}), '') = '' THEN 'unknown' ELSE trim({c}) END"
+
+
+_LABEL_SQL = f"concat_ws('｜', {_unknown('court')}, {_unknown('authoritative_case_number')}, {_unknown('authoritative_decision_date')})"
+
 ORACLE_SQL = {
-    "bm25_top": sql.bm25("case_chunks", "ord", _BM25_FIELDS, _ITEMS_SQL, "ord", TOP),
+    "bm25_top": sql.bm25("case_chunks", "ord", _BM25_FIELDS, _ITEMS_SQL, "ord", TOP, "authoritative_case_number"),
     "light_bm25_top": _LIGHT_SQL,
     "term_statistics": f"SELECT term, count(DISTINCT ord) AS df, count(*) AS total FROM (SELECT ord, unnest({sql.mixed_tokens('case_summary')}) AS term FROM research_result_items) GROUP BY term",
     "exact_case_lookup": _EXACT_SQL,
@@ -301,9 +394,19 @@ ORACLE_SQL = {
     "pass_rules": f"""WITH f AS ({_FIRST_SQL}), k AS (SELECT unnest(['case_number_at_rank', 'case_number_in_top_k', 'any_case_number_in_top_k', 'unheard_of']) AS rule_type, unnest([1, 3, 5, 1]) AS k)
  SELECT retrieval_source, rule_type, bool_or(CASE rule_type WHEN 'case_number_at_rank' THEN rank = k AND case_id = '417/2021' WHEN 'case_number_in_top_k' THEN rank <= k AND case_id = '417/2021'
  WHEN 'any_case_number_in_top_k' THEN rank <= k AND case_id IN ('417/2021', '1/1999') ELSE false END) AS passed FROM f, k GROUP BY ALL""",
-    "citation_ranks": """SELECT ord, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC NULLS LAST, ord) AS source_rank,
- concat_ws('｜', CASE WHEN coalesce(trim(court), '') = '' THEN 'unknown' ELSE court END, CASE WHEN coalesce(trim(authoritative_case_number), '') = '' THEN 'unknown' ELSE authoritative_case_number END, CASE WHEN coalesce(trim(authoritative_decision_date), '') = '' THEN 'unknown' ELSE authoritative_decision_date END) AS citation_label,
- concat_ws('::', CASE WHEN coalesce(trim(court), '') = '' THEN 'unknown' ELSE court END, CASE WHEN coalesce(trim(authoritative_case_number), '') = '' THEN 'unknown' ELSE authoritative_case_number END, CASE WHEN coalesce(trim(language), '') = '' THEN 'unknown' ELSE language END, CASE WHEN coalesce(trim(case_type), '') = '' THEN 'unknown' ELSE case_type END) AS source_group_key FROM citation_records""",
+    "citation_ranks": f"""SELECT ord, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC NULLS LAST, ord) AS source_rank,
+ {_LABEL_SQL} AS citation_label, concat_ws('::', {_unknown('court')}, {_unknown('authoritative_case_number')}, {_unknown('authoritative_decision_date')}, {_unknown('retrieval_source')}) AS source_group_key FROM citation_records""",
+    "pass_rates": f"WITH f AS ({{0}}) SELECT retrieval_source, count(*) AS total, count(*) FILTER (passed) AS passed, round(count(*) FILTER (passed) / count(*), 6) AS pass_rate FROM f GROUP BY 1",
+    "source_changes": f"""WITH t AS (SELECT chunk_id, {sql.case_key('arg_min(authoritative_case_number, ord)')} AS truth FROM case_chunks WHERE authoritative_case_number IS NOT NULL GROUP BY 1), c AS (SELECT * FROM citation_records WHERE source_rank IS NOT NULL),
+ h AS (SELECT chunk_id, retrieval_source AS s, min(source_rank) AS r FROM c JOIN t USING (chunk_id) WHERE {sql.case_key('c.authoritative_case_number')} = truth GROUP BY ALL),
+ k AS (SELECT DISTINCT chunk_id FROM c), x AS (SELECT b.r AS b, a.r AS a FROM k LEFT JOIN (SELECT * FROM h WHERE s = 'bm25') b USING (chunk_id) LEFT JOIN (SELECT * FROM h WHERE s = 'dense') a USING (chunk_id))
+ SELECT CASE WHEN b IS NULL AND a IS NOT NULL THEN 'gained' WHEN b IS NOT NULL AND a IS NULL THEN 'lost' ELSE 'kept' END AS change, count(*) AS chunks FROM x GROUP BY 1""",
+    "preliminary_findings": f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY retrieval_source ORDER BY score DESC, ord) AS rk FROM citation_records WHERE retrieval_source IS NOT NULL AND score > 0),
+ p AS (SELECT *, CASE WHEN length({sql.squeeze("coalesce(chunk_text_preview, '')")}) <= 180 THEN {sql.squeeze("coalesce(chunk_text_preview, '')")} ELSE rtrim(substr({sql.squeeze("coalesce(chunk_text_preview, '')")}, 1, 179)) || '…' END AS pv, {_LABEL_SQL} AS lb FROM c WHERE rk <= 2),
+ n AS (SELECT retrieval_source, count(*) AS n FROM p GROUP BY 1),
+ f AS (SELECT retrieval_source, rk - 1 AS position, 'Retrieved excerpt suggests: ' || pv || ' (court=' || coalesce(court, '') || ', date=' || coalesce(authoritative_decision_date, '') || ', rank=' || rk || ').' AS t, lb FROM p
+   UNION ALL SELECT retrieval_source, unnest(range(n, 3)), 'Additional supporting excerpt reused due to limited unique hits; source preview: ' || pv || '.', lb FROM p JOIN n USING (retrieval_source) WHERE rk = n)
+ SELECT retrieval_source, position::INT AS position, md5(t) AS finding, lb AS labels FROM f""",
 }
 
 
@@ -311,7 +414,7 @@ def _any(c: str, terms) -> str:
     return f"len(list_filter({sql.listed(terms)}, lambda x: contains({c}, x)))"
 
 
-def _routes_sql() -> str:
+def _routes_sql(more: str = "") -> str:
     low = "lower(n)"
     for k, v in sorted(lexicon.VARIANTS.items(), key=lambda kv: -len(kv[0])):
         low = f"replace({low}, {sql.q(k)}, {sql.q(v)})"
@@ -321,8 +424,12 @@ def _routes_sql() -> str:
     strategy = "CASE query_type " + kinds % tuple(f"'{v[0]}'" for v in routing.STRATEGIES.values()) + " END"
     mode = "CASE query_type " + kinds % tuple(f"'{v[1]}'" for v in routing.STRATEGIES.values()) + " END"
     decompose = "CASE query_type " + kinds % tuple({True: "true", False: "false", None: "multi_issue"}[v[2]] for v in routing.STRATEGIES.values()) + " END"
+    n = f"translate(trim({sql.nfkc("coalesce(card_title, '')")}), '（）　', '() ')"
+    for sign in queries.NUMBER_SIGNS:
+        n = f"replace({n}, {sql.q(sign)}, 'nº')"
+    n = f"regexp_replace({n}, '(?i)\\bprocesso\\s+n\\s*[ºo]?\\b', 'processo nº', 'g')"
     return f"""
-WITH a AS (SELECT ord, {sql.squeeze("regexp_replace(" + sql.half("card_title") + ", '\\s*/\\s*', '/', 'g')")} AS n FROM research_result_items),
+WITH a AS (SELECT ord, {sql.squeeze("regexp_replace(" + n + ", '\\s*/\\s*', '/', 'g')")} AS n FROM research_result_items),
  b AS (SELECT *, {low} AS l FROM a),
  c AS (SELECT *, {_any('l', lexicon.PT_WORDS)} AS pt, length(regexp_replace(n, '[^{text.HAN}]', '', 'g')) AS han, len(regexp_extract_all(l, '[a-zà-öø-ÿ]+')) AS words,
    length(regexp_replace(n, '[^A-Za-z]', '', 'g')) AS letters, regexp_matches(l, {sql.q(edge + '[0-9]{1,6}/[0-9]{4}(?:/[a-z]{1,3})?' + end)}) AS has_case,
@@ -333,16 +440,11 @@ WITH a AS (SELECT ord, {sql.squeeze("regexp_replace(" + sql.half("card_title") +
  e AS (SELECT *, CASE WHEN has_case AND (pt > 0 OR mixed) THEN 'case_number_lookup_pt_mixed' WHEN is_case THEN 'case_number_lookup' WHEN pt > 0 OR (letters >= 6 AND han >= 2) OR mixed THEN 'portuguese_or_mixed'
    WHEN noisy THEN 'ambiguous_or_noisy' WHEN concepts >= 1 AND facts >= 1 THEN 'mixed_fact_legal_query' WHEN concepts >= 2 OR (concepts >= 1 AND connectors >= 2) THEN 'multi_issue_legal_query'
    WHEN concepts = 1 THEN 'single_legal_concept' ELSE 'ambiguous_or_noisy' END AS query_type FROM d)
-SELECT ord, query_type, {strategy} AS routing_strategy, {mode} AS retrieval_mode, {decompose} AS decomposition_recommended FROM e"""
+SELECT ord, query_type, {strategy} AS routing_strategy, {mode} AS retrieval_mode, {decompose} AS decomposition_recommended{more} FROM e"""
 
 
 def _parts_sql() -> str:
-    n = sql.squeeze("regexp_replace(" + sql.half("card_title") + ", '\\s*/\\s*', '/', 'g')")
-    return f"""
-WITH a AS (SELECT ord, {n} AS n FROM research_result_items WHERE card_title IS NOT NULL),
- b AS (SELECT ord, n, list_filter([n] || list_transform(regexp_split_to_array(n, '[,，;；、和與及]|(?i) e | ou '), lambda x: trim(x)) || list_filter({sql.listed(lexicon.CONCEPTS)}, lambda x: contains(n, x)), lambda x: length(x) >= 2) AS p FROM a),
- c AS (SELECT ord, CASE WHEN len(p) = 0 THEN [n] ELSE list_filter(p, lambda x, i: list_position(p, x) = i)[1:{routing.SUBQUERIES}] END AS p FROM b)
-SELECT ord, unnest(range(0, len(p)))::INT AS position, unnest(p) AS subquery FROM c"""
+    return f"WITH {fields.issue_parts_sql('(SELECT * FROM research_result_items WHERE card_title IS NOT NULL)', 'ord', 'card_title')} SELECT ord, unnest(range(0, len(parts)))::INT AS position, unnest(parts) AS subquery FROM (SELECT ord, CASE WHEN len(parts) > 0 THEN parts ELSE [raw] END AS parts FROM i7)"
 
 
 def _overlap_sql() -> str:
@@ -359,18 +461,58 @@ SELECT language, count(*) AS rows, round(avg({share('e1', 'p1')}), 6) AS set_ove
 ORACLE_SQL |= {"routes": _routes_sql(), "query_parts": _parts_sql(), "overlap_scores": _overlap_sql()}
 
 
-def _fan_out_sql() -> str:
-    n = sql.squeeze("regexp_replace(" + sql.half("text") + ", '\\s*/\\s*', '/', 'g')")
-    asked = f"SELECT query_id, {sql.light_tokens('sub')} AS tokens FROM s"
-    ranked = sql.bm25("research_result_items", "ord", {"t": (sql.light_tokens("case_summary"), 1.0)}, asked, "ord", TOP)
-    return f"""
-WITH a AS (SELECT item_id AS qid, {n} AS n FROM eval_items WHERE item_id % {EVERY} = 0),
- b AS (SELECT qid, n, list_filter([n] || list_transform(regexp_split_to_array(n, '[,，;；、和與及]|(?i) e | ou '), lambda x: trim(x)) || list_filter({sql.listed(lexicon.CONCEPTS)}, lambda x: contains(n, x)), lambda x: length(x) >= 2) AS p FROM a),
- c AS (SELECT qid, CASE WHEN len(p) = 0 THEN [n] ELSE list_filter(p, lambda x, i: list_position(p, x) = i)[1:{routing.SUBQUERIES}] END AS p FROM b),
- s AS (SELECT qid * 100 + i AS query_id, sub FROM (SELECT qid, unnest(range(0, len(p))) AS i, unnest(p) AS sub FROM c)),
- h AS ({ranked})
-SELECT (h.query_id // 100)::VARCHAR || ':' || h.ord AS chunk_id, r.language, max(h.score) AS score, count(DISTINCT s.sub)::INT AS queries
-FROM h JOIN s ON s.query_id = h.query_id JOIN research_result_items r ON r.ord = h.ord GROUP BY ALL"""
+def _fan_out_sql(k: int, name: str = "f") -> str:
+    """CTEs ending in ``name``: (query_id, chunk_id, rank, score, queries)."""
+    parts = fields.issue_parts_sql(f"(SELECT * FROM eval_items WHERE item_id % {EVERY} = 0)", "item_id", "text")
+    asked = f"WITH {fields.forms_sql('subs', 'query_id', 'sub')} SELECT query_id, {sql.mixed_tokens('expanded')} AS tokens FROM forms"
+    ranked = sql.bm25("case_chunks", "ord", _BM25_FIELDS, asked, "ord", k, "authoritative_case_number").replace("round(score, 4)", "round(score, 9)")
+    return f"""{parts},
+ subs AS (SELECT item_id * 8 + i AS query_id, sub FROM (SELECT item_id, unnest(range(0, len(parts))) AS i, unnest(parts) AS sub FROM (SELECT item_id, CASE WHEN len(parts) > 0 THEN parts ELSE [raw] END AS parts FROM i7))),
+ hits AS ({ranked}),
+ mrg AS (SELECT h.query_id // 8 AS query_id, c.chunk_id, max(h.score) AS score, count(DISTINCT s.sub)::INT AS queries FROM hits h JOIN subs s ON s.query_id = h.query_id JOIN case_chunks c ON c.ord = h.ord GROUP BY ALL),
+ {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM mrg) WHERE rank <= {k})"""
+
 
+ORACLE_SQL["fan_out_merged"] = f"WITH {_fan_out_sql(TOP)} SELECT query_id, chunk_id, rank, round(score, 4) AS score, queries FROM f"
+ORACLE_SQL["pass_rates"] = ORACLE_SQL["pass_rates"].replace("{0}", ORACLE_SQL["pass_rules"])
 
-ORACLE_SQL["fan_out_merged"] = _fan_out_sql()
+
+def _paths_sql() -> str:
+    flag = lambda c: f"CASE WHEN {c} THEN 'True' ELSE 'False' END"
+    words = sorted(lexicon.PT_WORDS, key=lambda w: (-len(w), w))
+    held = f"list_filter({sql.listed(words)}, lambda x: contains(l, x))"
+    summary = (
+        f"'pt_lexicon_hits=' || pt || '[' || CASE WHEN pt > 0 THEN array_to_string({held}[1:6], ', ') ELSE 'none' END || ']; latin_words=' || words || '; cjk_chars=' || han || '; case_number=' || {flag('has_case')} "
+        f"|| '; pt_case_style=' || {flag(_any('l', lexicon.PT_CASE_HINTS) + ' > 0')} || '; mixed_language=' || {flag('mixed')} || '; multi_issue_hint=' || {flag('multi_issue')}"
+    )
+    inner = _routes_sql(f", n, mixed, {summary} AS summary")
+    heed = "routing_strategy IN ('language_aware_bm25_path', 'exact_case_number_heavy_with_pt_context_retention', 'prefer_exact_case_number_path_then_hybrid_fallback')"
+    signs = f"({_any('lower(n)', ('legis artis', 'erro ostensivo', 'liberdade condicional', 'processo'))} > 0 OR mixed)"
+    return f"""SELECT ord, CASE WHEN starts_with(retrieval_mode, 'exact_case_number_heavy') THEN 'exact' WHEN decomposition_recommended THEN 'fan_out' ELSE 'direct' END AS path, CASE WHEN decomposition_recommended THEN 'fan_out' ELSE 'direct' END AS demo_path,
+ CASE WHEN NOT {signs} THEN true WHEN query_type = 'ambiguous_or_noisy' THEN false ELSE {heed} END AS heeds_language, summary FROM ({inner})"""
+
+
+ORACLE_SQL["route_paths"] = _paths_sql()
+
+
+def _responses_sql() -> str:
+    core = ["authoritative_case_number", "court", "language", "case_type", "case_summary", "holding", "pdf_url", "text_url_or_action"]
+    full = lambda a: " AND ".join([sql.present(f"{a}.{c}") for c in core] + [f"coalesce(len({a}.{c}) > 0, false)" for c in ("legal_basis", "disputed_issues")])
+    src = lambda n: f"(SELECT * FROM (SELECT *, trim(authoritative_case_number) AS k, row_number() OVER (PARTITION BY trim(authoritative_case_number) ORDER BY ord DESC) AS rn FROM case_metadata WHERE metadata_source = '{n}' AND {sql.present('authoritative_case_number')}) WHERE rn = 1)"
+    pick = lambda f: f"coalesce(nullif(CASE w WHEN 'm' THEN m.{f} WHEN 'b' THEN b.{f} END, ''), " + ("case_id" if f == core[0] else f"trim(coalesce(h.{f}, ''))") + f") AS {f}"
+    given = lambda c, word: f"CASE WHEN coalesce({c}, '') = '' THEN '{word}' ELSE {c} END"
+    return f"""WITH {_fan_out_sql(research.DEFAULT_TOP_K)},
+ ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ord) AS rn FROM case_chunks) WHERE rn = 1),
+ hh AS (SELECT f.query_id, f.rank AS hit_rank, ch.*, trim(ch.authoritative_case_number) AS case_id FROM f JOIN ch USING (chunk_id) WHERE {sql.present('ch.authoritative_case_number')}),
+ fh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, case_id ORDER BY hit_rank) AS r1 FROM hh) WHERE r1 = 1),
+ w AS (SELECT h.query_id, h.case_id, h.hit_rank, CASE WHEN m.k IS NOT NULL AND {full('m')} THEN 'm' WHEN b.k IS NOT NULL AND {full('b')} THEN 'b' WHEN m.k IS NOT NULL THEN 'm' WHEN b.k IS NOT NULL THEN 'b' ELSE 'hit' END AS w FROM fh h LEFT JOIN {src('model_generated')} m ON m.k = h.case_id LEFT JOIN {src('deterministic_baseline')} b ON b.k = h.case_id),
+ e AS (SELECT h.query_id, h.hit_rank, w.w, coalesce(h.authoritative_decision_date, '') AS dd, {', '.join(pick(c) for c in core if c not in ('case_summary', 'holding'))} FROM fh h JOIN w USING (query_id, case_id) LEFT JOIN {src('model_generated')} m ON m.k = h.case_id LEFT JOIN {src('deterministic_baseline')} b ON b.k = h.case_id),
+ g AS (SELECT *, CASE WHEN w = 'm' THEN 'model_generated' ELSE 'deterministic_baseline' END AS ms FROM e),
+ t AS (SELECT query_id, count(*) AS n, count(*) FILTER (w = 'm') AS mm, bool_and({' AND '.join(f"{c} <> ''" for c in core if c not in ('case_summary', 'holding'))}) AS ok,
+   string_agg(coalesce(nullif(concat_ws('｜', nullif(authoritative_case_number, ''), nullif(case_type, ''), nullif(court, '')), ''), '未命名案例'), '; ' ORDER BY hit_rank) AS titles,
+   string_agg({given('language', 'unknown-language')} || ' · ' || {given('dd', 'unknown-date')} || ' · metadata:' || ms, '; ' ORDER BY hit_rank) AS subtitles FROM g GROUP BY 1)
+SELECT i.item_id AS query_id, {research.DEFAULT_TOP_K} AS top_k, coalesce(n, 0)::INT AS result_count, coalesce(mm, 0) AS model_generated_metadata_used_count, coalesce(n - mm, 0) AS deterministic_fallback_used_count, coalesce(ok AND n > 0, false) AS success_flag, coalesce(titles, '') AS titles, coalesce(subtitles, '') AS subtitles
+FROM eval_items i LEFT JOIN t ON t.query_id = i.item_id WHERE i.item_id % {EVERY} = 0"""
+
+
+ORACLE_SQL["responses"] = _responses_sql()

@@ -62,10 +62,53 @@ def test_dense_top_k_against_brute_force(spark):
 
 
 def test_hashed_vectors_are_units(spark):
-    df = spark.createDataFrame([(1, "abc abc"), (2, "abc"), (3, None)], "id int, t string")
-    v = search.hashed_postings(df, "id", text.char_ngrams(F.col("t")))
-    norms = {r.id: r.n for r in v.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("n")).collect()}
-    assert set(norms) == {1, 2} and all(abs(n - 1) < 1e-9 for n in norms.values())
+    import hashlib
+
+    df = spark.createDataFrame([(1, "abc abc"), (2, "abc"), (3, None), (4, "")], "id int, t string")
+    v = {r.id: r.vector for r in search.hashed_vectors(df, "id", text.char_ngrams(F.col("t"))).collect()}
+    assert set(v) == {1, 2} and all(abs(sum(x * x for x in w) - 1) < 1e-9 for w in v.values())
+    want = [0.0] * 768
+    for n in (2, 3, 4):
+        for i in range(len("abcabc") - n + 1):
+            h = hashlib.md5("abcabc"[i : i + n].encode()).digest()
+            want[int.from_bytes(h[:4], "big") % 768] += 1 if h[4] % 2 == 0 else -1
+    norm = math.sqrt(sum(x * x for x in want))
+    assert all(abs(a - b / norm) < 1e-9 for a, b in zip(v[1], want))
+
+
+def test_case_bonus_counts_parts_of_a_number_once(spark):
+    docs = spark.createDataFrame([(1, "253/2026"), (2, "3/2026"), (3, None), (4, "9/2020")], "id int, n string")
+    q = spark.createDataFrame([(1, ["3/2026", "253/2026"]), (2, ["7/1999"]), (3, [])], "query_id int, refs array<string>")
+    s = spark.createDataFrame([(1, 1, 0.5), (1, 4, 0.25), (2, 2, 1.0)], "query_id int, id int, score double")
+    got = {(r.query_id, r.id): r.score for r in search.case_bonus(s, docs, "id", F.col("n"), q, F.col("refs")).collect()}
+    assert got == {(1, 1): 4.5, (1, 2): 4.0, (1, 4): 0.25, (2, 2): 1.0}
+
+
+def test_many_query_terms_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame(DOCS, "id int, t string")
+    q = spark.createDataFrame([(1, "recurso recurso civil"), (2, "ausente")], "query_id int, q string")
+    toks = F.filter(F.split(F.col("t"), " "), lambda x: x != "")
+    run = lambda: {r.id: round(r.score, 9) for r in search.bm25(df, "id", {"a": toks}, {"a": 2.0}, q, F.split("q", " ")).collect()}
+    few = run()
+    monkeypatch.setattr(search, "LITERAL_TERMS", 0)
+    assert run() == few and set(few) == {1, 2, 6}
+
+
+def test_capped_fallback_keeps_its_order(spark):
+    e = spark.createDataFrame([], "query_id int, id int, ord int")
+    f = spark.createDataFrame([(1, 5, 5, 12.0), (1, 4, 4, 11.0), (1, 3, 3, 2.0)], "query_id int, id int, ord int, score double")
+    assert [r.id for r in search.exact_with_fallback(e, f, 5).orderBy("rank").collect()] == [5, 4, 3]
+
+
+def test_numbers_of_a_hot_key(spark):
+    from foliant.operators.ranks import numbered
+
+    df = spark.range(5000).select(F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 3 == 0, "b").otherwise("hot").alias("k"), (F.col("id") * 7919 % 5000).alias("o"))
+    got = numbered(df, ["k"], [F.col("o").desc()], "n").collect()
+    assert len(got) == 5000
+    for key in ("hot", "b", None):
+        rows = sorted((r for r in got if r.k == key), key=lambda r: -r.o)
+        assert [r.n for r in rows] == list(range(1, len(rows) + 1))
 
 
 def test_fusion(spark):
@@ -101,5 +144,5 @@ def test_chunk_id(spark):
     import hashlib
 
     df = spark.createDataFrame([("1/2020", None, "pt", 0, "texto")], "a string, b string, c string, d int, e string")
-    want = "chunk_" + hashlib.sha1(b"1/2020||pt|0|texto").hexdigest()[:12]
+    want = "1_2020_pt_c0000_" + hashlib.sha1(b"1/2020||pt|0|texto").hexdigest()[:12]
     assert df.select(chunking.chunk_id(*[F.col(c) for c in "abcde"]).alias("x")).first().x == want
