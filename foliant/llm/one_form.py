@@ -4,7 +4,10 @@ DuckDB runs inside Arrow partitions: embedded SQL folds width forms, blanks,
 look-alike letters and ligatures with ``translate``/``replace``, drops shapeless
 characters with a regular expression and composes accents with
 ``nfc_normalize``. Raised signs, circled figures and Han variants stay as they
-are. Only fixed-size digests leave the partitions, so the search for equal
+are. A joiner between Arabic or Indic letters is kept, as it changes their shape. The
+one form is for comparing; beside it a readable form keeps words of one script in that
+script and puts look-alike letters right only inside words of mixed script. Only
+fixed-size digests leave the partitions, so the search for equal
 looks shuffles some 50 bytes a row whatever the length of the texts.
 
 Defined results: null, empty and blank texts take part in nothing; equal texts
@@ -26,6 +29,8 @@ from foliant.sources.tables import cut_lineage
 from .charforms import INVISIBLE_CLASS, ONE_FORM
 
 
+#: parts of a hot key in the joins of pairs
+SALTS = 8
 INVISIBLE_SQL = f"[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F{INVISIBLE_CLASS}]"
 
 
@@ -47,29 +52,50 @@ def _group(c: str) -> str:
     return "letters" if 0x0250 <= ord(c) <= 0x058F else "others"
 
 
-def _steps() -> list[str]:
-    """SQL expressions over column ``c``, applied one after the other."""
+#: a joiner that shapes the letters around it, and the sign that stands for it while the others are dropped
+_SHAPED = "\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}\\x{0900}-\\x{0DFF}"
+STAND_IN = "\ue0cc"
+JOINED, KEPT = f"([{_SHAPED}])\\x{{200C}}([{_SHAPED}])", f"\\1{STAND_IN}\\2"
+
+
+def _table_step(table: dict[str, str]) -> str:
+    one = {k: v for k, v in table.items() if len(v) == 1}
+    expr = f"translate(c, {_sql_text(''.join(one))}, {_sql_text(''.join(one.values()))})" if one else "c"
+    expr = reduce(lambda e, kv: f"replace({e}, {_sql_text(kv[0])}, {_sql_text(kv[1])})", ((k, v) for k, v in table.items() if len(v) > 1), expr)
+    held = "[" + "".join(sorted({_block_of(k) if ord(k) > 0xFF else f"\\x{{{ord(k):X}}}" for k in table})) + "]"
+    return f"CASE WHEN regexp_matches(c, {_sql_text(held)}) THEN {expr} ELSE c END"
+
+
+def _steps() -> tuple[list[str], str]:
+    """SQL expressions over column ``c``, applied one after the other; and the last one, for look-alike letters."""
     steps = ["replace(c, chr(13) || chr(10), chr(10))"]
     bad = _sql_text(INVISIBLE_SQL)
+    # twice, as letters with joiners on both sides are met once only
+    shaped = f"regexp_replace(regexp_replace(c, {_sql_text(JOINED)}, {_sql_text(KEPT)}, 'g'), {_sql_text(JOINED)}, {_sql_text(KEPT)}, 'g')"
+    steps.append(f"CASE WHEN contains(c, chr(8204)) THEN {shaped} ELSE c END")
     steps.append(f"CASE WHEN regexp_matches(c, {bad}) THEN regexp_replace(c, {bad}, '', 'g') ELSE c END")
+    steps.append(f"replace(c, {_sql_text(STAND_IN)}, chr(8204))")
     groups: dict[str, dict[str, str]] = {}
     for k, v in ONE_FORM.items():
         groups.setdefault(_group(k), {})[k] = v
-    for table in groups.values():
-        one = {k: v for k, v in table.items() if len(v) == 1}
-        expr = f"translate(c, {_sql_text(''.join(one))}, {_sql_text(''.join(one.values()))})" if one else "c"
-        expr = reduce(lambda e, kv: f"replace({e}, {_sql_text(kv[0])}, {_sql_text(kv[1])})", ((k, v) for k, v in table.items() if len(v) > 1), expr)
-        held = "[" + "".join(sorted({_block_of(k) if ord(k) > 0xFF else f"\\x{{{ord(k):X}}}" for k in table})) + "]"
-        steps.append(f"CASE WHEN regexp_matches(c, {_sql_text(held)}) THEN {expr} ELSE c END")
-    return [*steps, "nfc_normalize(c)"]
+    letters = groups.pop("letters")
+    return [*steps, *map(_table_step, groups.values())], _table_step(letters)
 
 
-def one_form_query(source: str, text: str, others: str) -> str:
-    """DuckDB query over ``source`` giving the columns ``others`` and ``c``, the text in its one form."""
+def one_form_query(source: str, text: str, others: str, readable: bool = False) -> str:
+    """DuckDB query over ``source`` giving the columns ``others``, ``c``, the text in its one form, and on demand ``r``, the readable one."""
     sql = f"SELECT {others}, {text} AS raw, {text} AS c FROM {source}"
-    for step in _steps():
+    steps, letters = _steps()
+    for step in steps:
         sql = f"SELECT {others}, raw, {step} AS c FROM ({sql})"
-    return sql
+    r = ""
+    if readable:
+        word = letters.replace("(c,", "(w,").replace("ELSE c END", "ELSE w END")
+        mixed = f"CASE WHEN regexp_matches(w, '[A-Za-z\\x{{00C0}}-\\x{{024F}}]') THEN {word} ELSE w END"
+        lines = f"list_transform(string_split(c, chr(10)), lambda l: array_to_string(list_transform(string_split(l, ' '), lambda w: {mixed}), ' '))"
+        sql = f"SELECT {others}, raw, c, nfc_normalize(array_to_string({lines}, chr(10))) AS r FROM ({sql})"
+        r = ", r"
+    return f"SELECT {others}, raw, nfc_normalize(c) AS c{r} FROM (SELECT {others}, raw, {letters} AS c{r} FROM ({sql}))"
 
 
 def _duck() -> duckdb.DuckDBPyConnection:
@@ -88,8 +114,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     con = _duck()
-    sql = f"SELECT ord, c AS one_form FROM ({one_form_query('src', 't', 'ord')})"
-    schema = pa.schema([("ord", pa.int64()), ("one_form", pa.string())])
+    sql = f"SELECT ord, c AS one_form, r AS readable_form FROM ({one_form_query('src', 't', 'ord', readable=True)})"
+    schema = pa.schema([("ord", pa.int64()), ("one_form", pa.string()), ("readable_form", pa.string())])
     for b in batches:
         for lo in range(0, b.num_rows, 4000):
             con.register("src", pa.Table.from_batches([b.slice(lo, 4000)]))
@@ -105,8 +131,8 @@ def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def one_form(df: DataFrame, id_col: str = "ord", text_col: str = "chunk_text") -> DataFrame:
-    """One row (ord, one_form) per row: the text in its one form; null stays null."""
-    return _source(df, id_col, text_col).mapInArrow(_forms, "ord bigint, one_form string")
+    """One row (ord, one_form, readable_form) per row: the text in the form for comparing and in that for reading; null stays null."""
+    return _source(df, id_col, text_col).mapInArrow(_forms, "ord bigint, one_form string, readable_form string")
 
 
 def look_alike_pairs(df: DataFrame, id_col: str = "ord", text_col: str = "chunk_text") -> DataFrame:
@@ -132,10 +158,13 @@ def look_alike_pairs(df: DataFrame, id_col: str = "ord", text_col: str = "chunk_
     pairs = a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.spelling") < F.col("b.spelling"))).select(
         F.col("a.look").alias("look"), F.col("a.spelling").alias("sa"), F.col("b.spelling").alias("sb")
     )
-    left = rows.select("look", F.col("spelling").alias("sa"), F.col("ord").alias("oa"))
-    right = rows.select("look", F.col("spelling").alias("sb"), F.col("ord").alias("ob"))
+    # a popular text is a key of both joins: its rows are spread by salt, the other side is repeated for each salt
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    left = rows.select("look", F.col("spelling").alias("sa"), F.col("ord").alias("oa"), F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int").alias("salt"))
+    right = rows.select("look", F.col("spelling").alias("sb"), F.col("ord").alias("ob"), salts.alias("salt"))
     return (
-        pairs.join(left, ["look", "sa"])
-        .join(right, ["look", "sb"])
+        pairs.withColumn("salt", salts)
+        .join(left, ["look", "sa", "salt"])
+        .join(right, ["look", "sb", "salt"])
         .select(F.least("oa", "ob").alias("ord_a"), F.greatest("oa", "ob").alias("ord_b"))
     )

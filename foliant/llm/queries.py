@@ -30,12 +30,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_one_form(spark: SparkSession, d: str) -> DataFrame:
     """Every summary in its one form."""
-    return one_form.one_form(table(spark, d, "research_result_items"), text_col="case_summary")
+    return one_form.one_form(table(spark, d, "research_result_items"), text_col="case_summary").select("ord", "one_form")
 
 
 def p2_chunk_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk in its one form."""
-    return one_form.one_form(table(spark, d, "case_chunks"), text_col="chunk_text")
+    return one_form.one_form(table(spark, d, "case_chunks"), text_col="chunk_text").select("ord", "one_form")
+
+
+def p2_readable_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every summary in the readable form: look-alike letters only put right inside words of mixed script."""
+    return one_form.one_form(table(spark, d, "research_result_items"), text_col="case_summary").select("ord", "readable_form")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +90,15 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.oversized_pieces(table(spark, d, "case_chunks"))
 
 
+def p6_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Every oversized chunk put together again from its pieces: digest, whether all are within the limit, whether all overlaps are exact."""
+    x = pieces.oversized_pieces(table(spark, d, "case_chunks"))
+    g = x.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start_at", "end_at", "piece_text"))).alias("p"))
+    again = F.array_join(F.transform("p", lambda r, i: F.when(i == 0, r["piece_text"]).otherwise(F.substr(r["piece_text"], F.lit(pieces.OVERLAP + 1)))), "")
+    exact = F.forall(F.sequence(F.lit(2), F.size("p")), lambda i: F.element_at("p", i)["start_at"] == F.element_at("p", i - 1)["end_at"] - pieces.OVERLAP)
+    return g.select("ord", F.md5(again).alias("digest"), F.forall("p", lambda r: F.length(r["piece_text"]) <= pieces.LIMIT).alias("within_limit"), exact.alias("overlap_exact"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encoding.encode(table(spark, d, "documents"))
@@ -118,7 +132,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_one_form, p2_chunk_forms, p3_found, p3_records, p3_merge_records, p4_found, p4_shares, p6_found, p6_pieces, p7_ids, p7_decoded, p8_found, p8_items, p9_found)
+    for f in (p1_found, p2_found, p2_one_form, p2_chunk_forms, p2_readable_forms, p3_found, p3_records, p3_merge_records, p4_found, p4_shares, p6_found, p6_pieces, p6_cover, p7_ids, p7_decoded, p8_found, p8_items, p9_found)
 }
 
 _VALUE = "({0} IS NOT NULL AND lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13) || '　')) NOT IN ({1}))"
@@ -147,13 +161,25 @@ ORACLE_SQL: dict[str, str] = {
     + " UNION ALL "
     + _p3_sql("case_metadata", survivor.METADATA_FIELDS, "generated_at", _TRUST),
     "p6_found": "SELECT ord FROM case_chunks WHERE length(chunk_text) > 1600",
+    "p6_cover": "SELECT ord, md5(chunk_text) AS digest, true AS within_limit, true AS overlap_exact FROM case_chunks WHERE length(chunk_text) > 1600",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
 
 
+def _by_sign(relation: str, column: str) -> str:
+    """(ord, raw, c): the one form of every value, sign by sign through a map, by another way than the operator's."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    table = {k: v for k, v in one_form.ONE_FORM.items()}
+    pairs = "MAP([" + ", ".join(map(q, table)) + "], [" + ", ".join(map(q, table.values())) + "])"
+    bad = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F" + one_form.INVISIBLE_CLASS + "]"
+    joiner = f"regexp_replace(regexp_replace(replace({column}, chr(13) || chr(10), chr(10)), {q(one_form.JOINED)}, {q(one_form.KEPT)}, 'g'), {q(one_form.JOINED)}, {q(one_form.KEPT)}, 'g')"
+    clean = f"replace(regexp_replace({joiner}, {q(bad)}, '', 'g'), {q(one_form.STAND_IN)}, chr(8204))"
+    return f"SELECT ord, {column} AS raw, nfc_normalize(array_to_string(list_transform(string_split({clean}, ''), lambda x: coalesce(m[x], x)), '')) AS c FROM (SELECT *, {pairs} AS m FROM {relation})"
+
+
 def _p2_sql() -> str:
     def pairs(name: str, col: str) -> str:
-        forms = one_form.one_form_query(f"(SELECT * FROM {name} WHERE {col} IS NOT NULL)", col, "ord")
+        forms = _by_sign(f"(SELECT * FROM {name} WHERE {col} IS NOT NULL)", col)
         f = f"(SELECT ord, raw, c FROM ({forms}) WHERE trim(c, ' ' || chr(10)) <> '')"
         return f"SELECT '{name}' AS table_name, a.ord AS ord_a, b.ord AS ord_b FROM {f} a JOIN {f} b ON a.c = b.c AND a.ord < b.ord AND a.raw <> b.raw"
 
@@ -161,8 +187,8 @@ def _p2_sql() -> str:
 
 
 ORACLE_SQL["p2_found"] = _p2_sql()
-ORACLE_SQL["p2_one_form"] = f"SELECT ord, c AS one_form FROM ({one_form.one_form_query('research_result_items', 'case_summary', 'ord')})"
-ORACLE_SQL["p2_chunk_forms"] = f"SELECT ord, c AS one_form FROM ({one_form.one_form_query('case_chunks', 'chunk_text', 'ord')})"
+ORACLE_SQL["p2_one_form"] = f"SELECT ord, c AS one_form FROM ({_by_sign('research_result_items', 'case_summary')})"
+ORACLE_SQL["p2_chunk_forms"] = f"SELECT ord, c AS one_form FROM ({_by_sign('case_chunks', 'chunk_text')})"
 ORACLE_SQL["p3_records"] = (
     "WITH f AS (" + ORACLE_SQL["p3_found"] + "), g AS (SELECT sentence_id, field_name, ord FROM f WHERE table_name = 'case_metadata'), v AS (SELECT ord, "
     + ", ".join(f"any_value({c}) AS {c}" for c in survivor.METADATA_FIELDS)

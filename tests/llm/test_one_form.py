@@ -50,3 +50,19 @@ def test_chunks_come_out_in_one_form(spark, tmp_path):
     con.execute(f"CREATE VIEW case_chunks AS FROM read_parquet('{tmp_path}/case_chunks.parquet/*.parquet')")
     assert got == set(con.execute(ORACLE_SQL["p2_chunk_forms"]).fetchall())
     assert len({f for i, f in got if i < len(SAME)}) == 1 and len(got) == len(rows)
+
+
+def test_words_of_one_script_stay_readable(spark):
+    rows = [(1, "Москва столица"), (2, "Mосква"), (3, "Аcórdão\nМосква"), (4, "می‌خواهم"), (5, "میخواهم"), (6, "a‌b"), (7, None)]
+    df = spark.createDataFrame(rows, "ord bigint, chunk_text string")
+    got = {r.ord: r for r in one_form(df).collect()}
+    assert got[1].readable_form == "Москва столица" and got[3].readable_form == "Acórdão\nМосква"
+    assert got[4].one_form == got[4].readable_form == "می‌خواهم" != got[5].one_form and got[6].one_form == "ab" and got[7].one_form is None
+    alike = spark.createDataFrame([(1, "Москва"), (2, "Mосква"), (3, "Mосквa")], "ord bigint, chunk_text string")
+    assert {(r.ord_a, r.ord_b) for r in look_alike_pairs(alike).collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_a_hot_look_gives_all_its_pairs(spark):
+    rows = [(i, "texto igual" if i % 2 else "texto\u00a0igual") for i in range(120)] + [(500 + i, f"outro {i}") for i in range(50)]
+    got = look_alike_pairs(spark.createDataFrame(rows, "ord bigint, chunk_text string")).collect()
+    assert len(got) == len(set(got)) == 60 * 60
