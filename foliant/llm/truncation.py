@@ -39,7 +39,8 @@ from .sentences import _HEADING, MAYBE_FINAL, NEVER_FINAL, split_spans
 
 CONTEXTS = (24, 12, 6)
 COUNTS = ("ends", "goes", "open", "dot_ends", "dot_goes", "dots_end", "dots_go")
-SLOTS = 1 << 22
+#: least and most slots of the bit table (powers of two), and slots for each context
+LEAST_BITS, MOST_BITS, ROOM = 22, 27, 16
 #: cases a context needs, and the share of ends that makes a place an end
 CASES, END_SHARE = 3, 0.5
 #: the same away from any limit, and the share that means "never"
@@ -54,7 +55,6 @@ _STRONG = re.compile(r"[。｡！？!?](?:[\"”»」』’')）\]》]|\s)*$")
 _DOT = re.compile(r"[.．](?:[\"”»」』’')）\]》]|\s)*$")
 _OPEN_END = frozenset(",;:，；：､、(（[«“「『《/&–—-")
 _DOTTED_WORD = re.compile(r"([^\W\d_]+)[.．]$")
-_LAST_WORD = re.compile(r"[^\W\d_一-鿿]+$")
 _PAIRS = {"「": "」", "『": "』", "«": "»", "“": "”", "(": ")", "《": "》"}
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -162,6 +162,14 @@ def _final(text: str) -> tuple[str, str, bool, list[tuple[int, int]], bool]:
     return t, kind, heading, spans, bool(m)
 
 
+def _last_word(t: str) -> str | None:
+    """The letters a text ends in, however many, in small letters; None where it ends in none."""
+    e = len(t)
+    while e and t[e - 1].isalpha() and not "一" <= t[e - 1] <= "鿿":
+        e -= 1
+    return t[e:].lower() or None
+
+
 _VALUE_SCHEMA = pa.schema(
     [("t", pa.int32()), ("ord", pa.int64()), ("source", pa.string()), ("len", pa.int32()), ("kind", pa.string()), ("heading", pa.bool_()),
      ("marked", pa.bool_()), ("single", pa.bool_()), ("short", pa.bool_()), ("word", pa.string()), ("c24", pa.int64()), ("c12", pa.int64()),
@@ -197,11 +205,11 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     contexts.append(pa.array(h[np.minimum(end - k + 1, len(h) - 1)], pa.int64(), mask=~ok))
                 else:
                     contexts.append(pa.nulls(len(rows), pa.int64()))
-            words = [(_LAST_WORD.search(f[0], max(0, len(f[0]) - 40)) if f[1] == "none" else None) for f in finals]
+            words = [_last_word(f[0]) if f[1] == "none" else None for f in finals]
             yield _rows(
                 [
                     [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [len(r[3]) for r in rows], [f[1] for f in finals], [f[2] for f in finals],
-                    [f[4] for f in finals], [len(f[3]) == 1 and len(f[0]) <= 40 for f in finals], size <= 6, [w.group().lower() if w else None for w in words],
+                    [f[4] for f in finals], [len(f[3]) == 1 and len(f[0]) <= 40 for f in finals], size <= 6, words,
                     *contexts, [f[0] for f in finals], [[p for ab in f[3] for p in ab] for f in finals],
                 ],
                 _VALUE_SCHEMA,
@@ -212,12 +220,11 @@ _EVENT_SCHEMA = pa.schema([("h", pa.int64()), ("word", pa.string())] + [(c, pa.i
 _WORD = re.compile(r"[^\W\d_一-鿿]+")
 
 
-def _events(slots: np.ndarray):
+def _events(bits: int, table: bytes):
     """Second pass: what follows the contexts asked for, and the words of the corpus, counted per batch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = np.zeros(SLOTS, dtype=bool)
-        asked[slots] = True
+        asked, mask = np.frombuffer(table, np.uint64), (1 << bits) - 1
         words: Counter = Counter()
         for b in batches:
             for lo in range(0, b.num_rows, BATCH):
@@ -236,7 +243,8 @@ def _events(slots: np.ndarray):
                 for k, h in _hashes(x.signs).items():
                     at = place[place - begin[place] + 1 >= k]
                     hk = h[at - k + 1]
-                    sel = asked[hk & (SLOTS - 1)]
+                    slot = hk & mask
+                    sel = ((asked[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
                     at, hk = at[sel], hk[sel]
                     if not len(at):
                         continue
@@ -271,8 +279,15 @@ def judged(values: DataFrame) -> DataFrame:
     ends = passed.drop("bare", "spans")
     asked = ends.select("t", "ord", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("h")) for k in CONTEXTS])).alias("x"))
     asked = asked.where("x.h IS NOT NULL").select("t", "ord", "x.k", "x.h")
-    slots = asked.select(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
-    counts = passed.select("bare", "spans").mapInArrow(_events(slots), _ddl(_EVENT_SCHEMA))
+    n = asked.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    bits = min(max(LEAST_BITS, (ROOM * n).bit_length()), MOST_BITS)
+    slot = asked.select(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("s"))
+    marked = slot.selectExpr("cast(shiftright(s, 6) as int) AS i", "shiftleft(1L, cast(s & 63 as int)) AS b")
+    # 64 slots a row: at most 2**21 rows come to the driver
+    marked = marked.groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[marked["i"].to_numpy()] = marked["b"].to_numpy()
+    counts = passed.select("bare", "spans").mapInArrow(_events(bits, table.tobytes()), _ddl(_EVENT_SCHEMA))
     counts = cut_lineage(counts.groupBy("h", "word").agg(*[F.sum(c).alias(c) for c in COUNTS]))
     events = counts.where("h IS NOT NULL").select("h", F.struct(*COUNTS).alias("e"))
     # one row a value: the counts of its contexts
