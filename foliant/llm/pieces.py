@@ -13,6 +13,7 @@ repeated rows each give their own pieces.
 from __future__ import annotations
 
 import re
+import unicodedata as ud
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -53,6 +54,27 @@ def cut_points(text: str) -> list[list[int]]:
     ]
 
 
+def _joined(text: str, e: int) -> bool:
+    """Whether the characters before and behind a place make one sign: marks, joiners, variation selectors, skin tones, flags."""
+    a, b = text[e - 1], text[e]
+    if ud.category(b)[0] == "M" or "\u200d" in (a, b) or "\U0001f3fb" <= b <= "\U0001f3ff" or "\U000e0020" <= b <= "\U000e007f":
+        return True
+    if not ("\U0001f1e6" <= a <= "\U0001f1ff" and "\U0001f1e6" <= b <= "\U0001f1ff"):
+        return False
+    k = e
+    while k and "\U0001f1e6" <= text[k - 1] <= "\U0001f1ff":
+        k -= 1
+    return (e - k) % 2 == 1
+
+
+def _whole_sign(text: str, far: int, near: int) -> int:
+    """The last place up to ``far`` that parts no sign, if there is one from ``near`` on."""
+    e = far
+    while e > near and _joined(text, e):
+        e -= 1
+    return far if _joined(text, e) else e
+
+
 def cut(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """Start and end of the pieces of a text longer than ``limit``; none otherwise."""
     if text is None or len(text) <= limit:
@@ -66,7 +88,7 @@ def cut(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
                 e = ends[k - 1]
                 break
         else:
-            e = far
+            e = _whole_sign(text, far, near)
         out.append((s, e))
         s = e - overlap
     out.append((s, n))

@@ -39,3 +39,16 @@ def test_rows(spark):
     for r in got.collect():
         assert len(r.piece_text) == r.end_at - r.start_at <= 1600
     assert oversized_pieces(df.limit(0)).count() == 0
+
+
+def test_no_sign_is_parted():
+    from foliant.llm.pieces import cut
+
+    for sign in ("é", "👩‍⚖️", "👍🏽", "🇵🇹", "क्ष"):
+        text = "x" + sign * 3000
+        for _, e in cut(text, 1600, 100)[:-1]:
+            rest = text[e:]
+            assert not rest or rest.startswith(sign), (sign, e)
+    marks = "a" + "́" * 5000
+    spans = cut(marks, 1600, 100)
+    assert all(e - s <= 1600 for s, e in spans) and spans[-1][1] == len(marks)
