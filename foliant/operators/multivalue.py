@@ -6,9 +6,10 @@ hold a delimiter themselves, and dynamic programming picks the cheapest cover of
 the atoms by single atoms and known values, so that a delimiter inside a
 legitimate value stays. The dictionary is learnt from the column: values whose
 borders are certain (quoted values, elements of JSON lists) and that hold a
-delimiter; other values cannot change any cover and stay out of it. It has at
-most as many entries as there are distinct such names, which the caller's bound
-checks.
+delimiter; other values cannot change any cover and stay out of it. Up to
+DICTIONARY_ROWS such values, as counted, go to the workers as an automaton. More are
+joined: the spans of the fields that could be known values meet the dictionary by
+shuffle, and the same dynamic programming covers each field with what was found.
 
 Defined results: null, empty and blank fields and empty slots give no row;
 positions count values, not slots; unbalanced quotes and brackets are plain text.
@@ -24,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: entries of the dictionary beyond which the column does not hold names
-DICTIONARY_BOUND = 5_000_000
+from foliant.sources.tables import cut_lineage
+
+#: values of the dictionary that are sent to the workers; more of them are joined
+DICTIONARY_ROWS = 200_000
 
 # Delimiters. Words count between blanks, Han conjunctions between Han signs.
 _SIGNS = ";；|｜/／&＆\n\r\t　、,，•"
@@ -141,33 +144,24 @@ class Segmenter:
     """Splits fields with the help of known whole values."""
 
     def __init__(self, known: list[str]) -> None:
-        self.automaton, self.known = None, set(known)
-        try:
-            import ahocorasick
-        except ImportError:
-            return
+        import ahocorasick
+
+        self.automaton = None
         if known:
             self.automaton = ahocorasick.Automaton()
-            for v in self.known:
+            for v in set(known):
                 self.automaton.add_word(v, len(v))
             self.automaton.make_automaton()
 
-    def _whole(self, field: str, parts: list[tuple[int, int, bool]]) -> dict[int, list[int]]:
-        """Last atom -> first atoms of the known values that cover several atoms exactly."""
+    def _whole(self, field: str, parts: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
+        """(first, last) atoms of the known values that cover several atoms exactly."""
         first = {a: k for k, (a, _, _) in enumerate(parts)}
         last = {z: k for k, (_, z, _) in enumerate(parts)}
-        if self.automaton is not None:
-            found = ((e + 1 - n, e + 1) for e, n in self.automaton.iter(field))
-        else:
-            found = ((a, z) for i, (a, _, _) in enumerate(parts) for _, z, _ in parts[i + 1 : i + 6] if field[a:z] in self.known)
-        out: dict[int, list[int]] = {}
-        for a, z in found:
-            if a in first and z in last and first[a] < last[z]:
-                out.setdefault(last[z], []).append(first[a])
-        return out
+        found = ((e + 1 - n, e + 1) for e, n in self.automaton.iter(field))
+        return [(first[a], last[z]) for a, z in found if a in first and z in last and first[a] < last[z]]
 
-    def split(self, field: str | None) -> list[str]:
-        """Values of a field in order."""
+    def split(self, field: str | None, spans: list[tuple[int, int]] | None = None) -> list[str]:
+        """Values of a field in order; ``spans`` are the known ones where they were looked up elsewhere."""
         if not field or not field.strip():
             return []
         field = field.strip()
@@ -177,7 +171,11 @@ class Segmenter:
         parts = atoms(field)
         if not parts:
             return []
-        whole = self._whole(field, parts) if self.known and len(parts) > 1 else {}
+        if spans is None:
+            spans = self._whole(field, parts) if self.automaton is not None and len(parts) > 1 else []
+        whole: dict[int, list[int]] = {}
+        for f, k in spans:
+            whole.setdefault(k, []).append(f)
         # cost 2 for an atom by itself, 1 for a known value: the cheapest cover, the fewest values on a tie
         best: list[tuple[int, int]] = [(0, 0)]
         for k in range(len(parts)):
@@ -211,25 +209,55 @@ def dictionary(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(text_col).where(F.length(text_col) > 0).mapInArrow(run, "value string").distinct()
 
 
+def spans_of(field: str | None) -> list[tuple[int, int, str]]:
+    """(first, last atom, text) of every run of several atoms of a field, each a possible value."""
+    if not field or not field.strip() or _json(field.strip()) is not None:
+        return []
+    field = field.strip()
+    parts = atoms(field)
+    return [(i, k, field[parts[i][0] : parts[k][1]]) for i in range(len(parts)) for k in range(i + 1, len(parts))]
+
+
 def split_values(df: DataFrame, id_col: str = "ord", text_col: str = "assistant_judges", value_col: str = "judge") -> DataFrame:
     """(ord, pos from 1, value) of every value in the field."""
-    known = [r[0] for r in dictionary(df, text_col).limit(DICTIONARY_BOUND + 1).toLocalIterator()]
-    if len(known) > DICTIONARY_BOUND:
-        raise ValueError(f"more than {DICTIONARY_BOUND} known values with delimiters: the column holds no names")
     schema = pa.schema([("ord", pa.int64()), ("pos", pa.int32()), (value_col, pa.string())])
+    ddl = f"ord bigint, pos int, {value_col} string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = Segmenter(known)
+    def put(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    src = df.select(df[id_col].cast("bigint").alias("ord"), df[text_col].alias("t")).where(F.length("t") > 0)
+    words = cut_lineage(dictionary(df, text_col))
+    if words.count() <= DICTIONARY_ROWS:
+        known = [r[0] for r in words.collect()]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seg = Segmenter(known)
+            for b in batches:
+                rows = [(o, k, v) for o, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, v in enumerate(seg.split(t), 1)]
+                if rows:
+                    yield put(rows)
+
+        return src.mapInArrow(run, ddl)
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(t, *s) for t in b.column(0).to_pylist() for s in spans_of(t)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f) for x, f in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["t", "i", "k", "value"])
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg = Segmenter([])
         for b in batches:
             rows = [
-                (o, k, v)
-                for o, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-                for k, v in enumerate(seg.split(t), 1)
+                (o, n, v)
+                for o, t, met in zip(*(c.to_pylist() for c in b.columns), strict=True)
+                for n, v in enumerate(seg.split(t, [(m["i"], m["k"]) for m in met or []]), 1)
             ]
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema
-                )
+                yield put(rows)
 
-    src = df.select(df[id_col].cast("bigint").alias("ord"), df[text_col].alias("t")).where(F.length("t") > 0)
-    return src.mapInArrow(run, f"ord bigint, pos int, {value_col} string")
+    # equal fields are looked up once
+    asked = src.select("t").distinct().mapInArrow(spans, "t string, i int, k int, value string")
+    met = asked.join(words, "value").groupBy("t").agg(F.collect_list(F.struct("i", "k")).alias("met"))
+    return src.join(met, "t", "left").select("ord", "t", "met").mapInArrow(cover, ddl)

@@ -261,6 +261,20 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "events", "mean_value")
 
 
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of every user, ended by half an hour without an event: how many, their events and the longest (batch form of the stream)."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).where("user_id IS NOT NULL")
+    s = e.groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"), F.max("n").alias("longest"))
+
+
+def sliding_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events per window of two hours that begins every hour."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    g = e.groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("events"))
+    return g.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("begin"), "events")
+
+
 def event_properties(spark: SparkSession, d: str) -> DataFrame:
     """A property taken from the JSON text of every event, counted."""
     e = table(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
@@ -300,7 +314,7 @@ QUERIES = {
     for f in (
         p5_found, ordered_dedupe_reasons, first_cards, duplicate_keys, card_addresses, page_repeats, corpus_layout, packed_chunks, chunk_counters, case_profiles,
         metadata_attached, row_choice, field_choice, coverage_counts, baseline_against_model, two_key_lookup, population, text_quality, page_validity, card_metrics,
-        contaminated_cards, card_lines, card_sets, link_metrics, boundary_metrics, populated_leaves, normal_texts, case_cards, envelopes, latest_by_court, new_per_day, event_windows, event_properties, card_headers, clean_bases, sentence_counts, text_routes, paragraphs_kept,
+        contaminated_cards, card_lines, card_sets, link_metrics, boundary_metrics, populated_leaves, normal_texts, case_cards, envelopes, latest_by_court, new_per_day, event_windows, event_sessions, sliding_events, event_properties, card_headers, clean_bases, sentence_counts, text_routes, paragraphs_kept,
     )
 }
 
@@ -465,6 +479,10 @@ ORACLE_SQL = {
  s AS (SELECT *, sum((new_keys = 0)::INT) OVER (PARTITION BY run ORDER BY d) AS quiet FROM q)
  SELECT d::VARCHAR AS round, records, new_keys, quiet AS quiet_rounds, CASE WHEN quiet >= 2 THEN 'converged' WHEN no >= 60 THEN 'round_limit' ELSE 'go_on' END AS decision FROM s""",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS events, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2",
+    "sliding_events": "SELECT strftime(b, '%Y-%m-%d %H:%M') AS begin, count(*) AS events FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS b FROM events) GROUP BY 1",
+    "event_sessions": """WITH a AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WHERE user_id IS NOT NULL),
+ b AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a), c AS (SELECT user_id, s, count(*) AS n FROM b GROUP BY ALL)
+ SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events, max(n) AS longest FROM c GROUP BY 1""",
     "event_properties": "SELECT event_type, (props->>'$.k')::INT AS k, count(*) AS events FROM events GROUP BY 1, 2",
 }
 

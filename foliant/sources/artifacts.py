@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,13 +50,13 @@ def inspected(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     Missing files have no row. A file with one bad line counts as not parseable.
     """
-    there = [p for p in paths if glob.glob(p)]
+    there = [p for p in paths if os.path.isfile(p)]
     schema = "path string, case_count bigint, parseable boolean, schema_compatible boolean, modified timestamp, priority int, has_report boolean"
     if not there:
         return spark.createDataFrame([], schema)
-    lines = spark.read.text(there).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
-    # an empty file still has a row
-    files = spark.read.format("binaryFile").load(there).select("path", F.col("modificationTime").alias("modified"))
+    lines = spark.read.text(there).select(F.col("_metadata.file_path").alias("path"), "value")
+    # an empty file has no line but still a row
+    files = spark.createDataFrame([(p, os.path.getmtime(p)) for p in there], "path string, m double").select("path", F.timestamp_seconds("m").alias("modified"))
     payload = F.try_parse_json("value")
     x = lines.where(F.trim("value") != "").select(F.regexp_replace("path", "^file:/*", "/").alias("path"), payload.alias("p"))
     ok = F.coalesce(F.schema_of_variant("p").startswith("OBJECT"), F.lit(False))
@@ -63,9 +64,9 @@ def inspected(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.count_distinct(F.when(ok, F.nullif(case_number(F.col("p")), F.lit("")))).alias("case_count"), F.bool_and(ok).alias("parseable"),
         F.bool_or(F.coalesce(ok & compatible(F.col("p")), F.lit(False))).alias("schema_compatible"),
     )
-    reports = [p for p in there if any(glob.glob(p.rsplit(".", 1)[0] + e) for e in REPORT_ENDS)]
+    reports = [p for p in there if any(os.path.exists(p.rsplit(".", 1)[0] + e) for e in REPORT_ENDS)]
     listed = F.col("path").isin(reports) if reports else F.lit(False)
-    f = files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "modified").join(g, "path", "left")
+    f = files.join(g, "path", "left")
     good = F.coalesce("parseable", F.lit(True))
     return f.select(
         "path", F.when(good, F.coalesce("case_count", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("case_count"), good.alias("parseable"),

@@ -40,6 +40,23 @@ def bad_lines(spark: SparkSession, path: str, column: str = "value") -> DataFram
     return lines.where(bad).select("file", (F.col("i") + 1).alias("line_no"), F.col("line").alias(column))
 
 
+def strict_with_place(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Rows of JSON lines; a malformed line fails the read with its file and line number.
+
+    Lines are parsed where they are; only if one is malformed are the numbers of its
+    file's lines counted, by ``bad_lines``.
+    """
+    bad = bad_lines(spark, path).orderBy("file", "line_no").limit(1).collect() if _malformed(spark, path) else []
+    if bad:
+        raise ValueError(f"{bad[0].file}, line {bad[0].line_no}: no JSON object")
+    return strict(spark, path, schema)
+
+
+def _malformed(spark: SparkSession, path: str) -> bool:
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return not lines.where(F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{")).isEmpty()
+
+
 def document(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Files of one JSON value each."""
     reader = spark.read.option("multiLine", True)
@@ -59,12 +76,13 @@ def required(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(F.coalesce(F.assert_true(ok, F.lit(f"missing one of {', '.join(columns)}")).isNull(), F.lit(True)))
 
 
-def window(df: DataFrame, order: str, start: int, end: int | None, language: str | None = None) -> DataFrame:
-    """Rows of an ordinal range (start included, end not), optionally of one language, case aside."""
+def window(df: DataFrame, order: str, start: int, end: int | None, language: str | None = None, limit: int = 0) -> DataFrame:
+    """Rows of an ordinal range (start included, end not), optionally of one language, case aside, then the first ``limit`` (0: all)."""
     out = df.where(F.col(order) >= start)
     if end is not None:
         out = out.where(F.col(order) < end)
-    return out if not language else out.where(F.lower(F.trim("language")) == language.strip().lower())
+    out = out if not language else out.where(F.lower(F.trim("language")) == language.strip().lower())
+    return out.orderBy(order).limit(limit) if limit > 0 else out
 
 
 def done_ids(spark: SparkSession, path: str, key: str) -> DataFrame:

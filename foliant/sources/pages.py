@@ -142,11 +142,11 @@ def signature_stats(found: DataFrame, least: int = 2) -> DataFrame:
     x = found.where("text <> ''").withColumn("signature", signature()).withColumn("len", F.length("text"))
     hit = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     g = x.groupBy("page", "signature").agg(
-        F.count("*").alias("n"), F.min("len").alias("shortest"), F.percentile_disc("len", 0.5).alias("lower"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY len DESC)").alias("median"),
+        F.count("*").alias("n"), F.min("len").alias("shortest"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY len DESC)").alias("median"),
         F.round(F.avg("len"), 2).alias("mean"), F.max("len").alias("longest"), hit(F.col("text").rlike(extract.ANY_DATE)).alias("dates"), hit(F.col("text").rlike(quality.CASE)).alias("cases"),
         hit(F.col("links") > 0).alias("linked"),
     ).where(F.col("n") >= least)
-    return g.drop("lower").withColumn("score", F.col("dates") + F.col("cases") + F.col("linked"))
+    return g.withColumn("score", F.col("dates") + F.col("cases") + F.col("linked"))
 
 
 def result_likelihood(items: Column, cases: Column, dates: Column, blocks: Column, empty_marks: Column) -> Column:

@@ -16,8 +16,9 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that setting is
-    absent (local runs and tests) a temporary folder is used instead.
+    The cluster names it in ``spark.checkpoint.dir``. Where that setting is absent a
+    local master gets a temporary folder; on a cluster it is an error, as a folder of
+    one machine is none to the others. Tables written there go with the folder.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,6 +26,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "foliant-checkpoints")
     sc.setCheckpointDir(named)
     return named
@@ -42,7 +45,7 @@ def written(df: DataFrame) -> DataFrame:
 
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
