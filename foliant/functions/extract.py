@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text
@@ -199,6 +199,27 @@ def best_holding(language: Column, c: Column) -> Column:
     return text.let(sentences(text.squeeze(c)), of)
 
 
+def best_holdings(df: DataFrame, keys: list[str], language: str, c: str) -> DataFrame:
+    """(keys..., score, sentence) of every text with a sentence: ``best_holding`` over rows of sentences.
+
+    Scores are compiled here, where an expression over an array is interpreted; the
+    sentences of a text meet again in a map-side maximum.
+    """
+    x = df.select(*keys, F.col(language).alias("__lang"), sentences(text.squeeze(F.col(c))).alias("__s"), F.monotonically_increasing_id().alias("__row")).where("size(__s) > 0")
+    skip = F.when(F.size("__s") > 4, F.floor(F.size("__s") / 2).cast("int")).otherwise(0)
+    tail = F.array_join(F.slice("__s", F.greatest(F.size("__s") - 1, F.lit(1)), 2), " ")
+    rows = x.select(*keys, "__lang", "__row", skip.alias("__skip"), tail.alias("__tail"), F.posexplode("__s").alias("__i", "__x"))
+    low, lang = F.lower("__x"), F.coalesce("__lang", F.lit(""))
+    points = lambda k: reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") * n for words, n in zip(HOLDING[k], (4, 1), strict=True) for w in words])
+    rows = rows.withColumn("__score", F.when(F.col("__i") < F.col("__skip"), 0).otherwise(F.when(lang == "zh", points("zh")).otherwise(points("pt")) - F.when((F.length("__x") > 260) | (F.length("__x") < 8), 2).otherwise(0)))
+    # without a sentence above 0 the last two stand in: they are carried by the first row
+    good = F.col("__score") > 0
+    last = F.when(F.col("__i") == 0, F.col("__tail"))
+    best = F.max(F.when(good, F.struct("__score", (-F.length("__x")).alias("__short"), "__i", "__x"))).alias("b")
+    g = rows.groupBy(*keys, "__lang", "__row").agg(best, F.max(last).alias("__t"))
+    return g.select(*keys, F.col("b.__score").alias("score"), clipped(summary_sentence(F.coalesce("b.__x", "__t"), F.col("__lang")), 220).alias("sentence"))
+
+
 def holding(language: Column, c: Column) -> Column:
     """The sentence of ``best_holding``."""
     return _some(best_holding(language, c)["sentence"])

@@ -157,15 +157,21 @@ def occurrences(c: Column, term: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(term), F.lit("")))) / len(term)).cast("int")
 
 
-def han_tokens(c: Column, hints: tuple[str, ...] = lexicon.HINTS) -> Column:
-    """Of every Han run: the run, its pairs of signs and the hints in it."""
-    listed = F.array(*[F.lit(h) for h in hints]) if hints else F.array().cast("array<string>")
+def _pairs(c: Column) -> Column:
+    """Every pair of neighbouring Han signs; one pass of a pattern that consumes nothing."""
+    return F.regexp_extract_all(c, F.lit(f"(?=([{HAN}]{{2}}))"))
 
-    def of_run(r: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))
-        return F.when(F.length(r) == 1, F.array(r)).otherwise(F.concat(F.array(r), pairs, F.filter(listed, lambda h: F.contains(r, h))))
 
-    return F.flatten(F.transform(F.regexp_extract_all(c, F.lit(f"([{HAN}]+)")), of_run))
+def han_tokens(c: Column, hints: tuple[str, ...] = lexicon.HINTS) -> Column:
+    """The Han runs, the pairs of signs in them, and of every run the hints it holds."""
+    runs = F.regexp_extract_all(c, F.lit(f"([{HAN}]+)"))
+    if not hints:
+        return F.concat(runs, _pairs(c))
+    listed = F.array(*[F.lit(h) for h in hints])
+    held = F.flatten(F.transform(runs, lambda r: F.filter(listed, lambda h: F.contains(r, h))))
+    # few texts hold any hint: only their runs are looked at one by one
+    some = c.rlike("|".join(hints))
+    return F.concat(runs, _pairs(c), F.when(some, held).otherwise(F.array().cast("array<string>")))
 
 
 def mixed_tokens(c: Column, hints: tuple[str, ...] = lexicon.HINTS) -> Column:
@@ -191,13 +197,9 @@ def mixed_tokens(c: Column, hints: tuple[str, ...] = lexicon.HINTS) -> Column:
 def light_tokens(c: Column) -> Column:
     """Latin and figure runs, and Han pairs (single signs kept)."""
 
-    def pairs(r: Column) -> Column:
-        two = F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))
-        return F.when(F.length(r) == 1, F.array(r)).otherwise(two)
-
     def of(t: Column) -> Column:
-        han = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(f"([{HAN}]+)")), pairs))
-        return F.concat(F.regexp_extract_all(t, F.lit("([a-zà-öø-ÿ0-9]+)")), han)
+        alone = F.regexp_extract_all(t, F.lit(f"(?<![{HAN}])([{HAN}])(?![{HAN}])"))
+        return F.concat(F.regexp_extract_all(t, F.lit("([a-zà-öø-ÿ0-9]+)")), alone, _pairs(t))
 
     return let(F.lower(nfkc(c)), of)
 
@@ -210,12 +212,8 @@ def overlap_tokens(c: Column) -> Column:
 def char_ngrams(c: Column, low: int = 2, high: int = 4) -> Column:
     """n-grams over the non-blank characters of a text, and its Han signs."""
 
-    def of(t: Column, n: int) -> Column:
-        parts = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))
-        return F.when(F.length(t) >= n, parts).otherwise(F.array().cast("array<string>"))
-
     def every(t: Column) -> Column:
-        return F.concat(*[of(t, n) for n in range(low, high + 1)], F.regexp_extract_all(t, F.lit(f"([{HAN}])")))
+        return F.concat(*[F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))")) for n in range(low, high + 1)], F.regexp_extract_all(t, F.lit(f"([{HAN}])")))
 
     return let(F.regexp_replace(F.lower(nfkc(c)), BLANK, ""), every)
 

@@ -78,8 +78,7 @@ def v1_sources(spark: SparkSession, d: str) -> DataFrame:
 
 def holding_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Best holding sentence of every chunk with its score; without one the last two sentences and a null score."""
-    b = extract.best_holding(F.col("language"), F.col("chunk_text"))
-    return table(spark, d, "case_chunks").select("ord", b.alias("b")).where("b IS NOT NULL").select("ord", "b.score", "b.sentence")
+    return extract.best_holdings(table(spark, d, "case_chunks").where("chunk_text IS NOT NULL"), ["ord"], "language", "chunk_text")
 
 
 def legal_basis_counts(spark: SparkSession, d: str) -> DataFrame:
