@@ -149,7 +149,7 @@ def field_completeness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def issue_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Rows whose disputed issues share most tokens with the type of the stated rows; token sets meet once, whatever the number of rows that have them."""
+    """Rows whose disputed issues share most tokens with the first issue of the stated rows, read as a query; token sets meet once, whatever the number of rows that have them."""
     from foliant.operators import search
 
     rows = table(spark, d, "research_result_items")
@@ -157,7 +157,7 @@ def issue_matches(spark: SparkSession, d: str) -> DataFrame:
     sets = rows.select("ord", tokens.alias("s")).where("size(s) > 0")
     # the best k rows of a set are its first k; others of the set can only follow
     first = search.first_of_each(sets, "s", "ord", 5)
-    asked = rows.where(F.col("ord") % 20 == 0).select(F.col("ord").alias("query_id"), F.array_distinct(extract.usage_tokens(F.col("case_type"))).alias("q")).where("size(q) > 0")
+    asked = rows.where(F.col("ord") % 20 == 0).select(F.col("ord").alias("query_id"), F.array_distinct(extract.usage_tokens(F.try_element_at("disputed_issues", F.lit(1)))).alias("q")).where("size(q) > 0")
     terms = sets.select("s").distinct().select("s", F.explode("s").alias("t"))
     meet = asked.select("query_id", "q", F.explode("q").alias("t")).join(terms, "t").groupBy("query_id", "q", "s").agg(F.count("*").alias("n"))
     scores = meet.select("query_id", "s", F.round(F.col("n") / F.size("q"), 6).alias("score")).join(first, "s").select("query_id", "ord", "score")
@@ -421,7 +421,7 @@ ORACLE_SQL = {
     ),
     "query_forms": f"WITH {forms_sql('research_result_items', 'ord', 'card_title')} SELECT ord, normalized, expanded, rules FROM forms",
     "issue_parts": f"WITH {issue_parts_sql('(SELECT * FROM research_result_items WHERE holding IS NOT NULL)', 'ord', 'holding')} SELECT ord, main AS main_issue, array_to_string(subs, ' | ') AS sub_issues, array_to_string(terms, ' | ') AS query_terms, len(parts)::INT AS subqueries FROM i7",
-    "issue_matches": f"""WITH s AS (SELECT ord, list_distinct({_usage("array_to_string(disputed_issues, ' ')")}) AS s FROM research_result_items), q AS (SELECT ord AS query_id, list_distinct({_usage('case_type')}) AS q FROM research_result_items WHERE ord % 20 = 0),
+    "issue_matches": f"""WITH s AS (SELECT ord, list_distinct({_usage("array_to_string(disputed_issues, ' ')")}) AS s FROM research_result_items), q AS (SELECT ord AS query_id, list_distinct({_usage("coalesce(disputed_issues[1], '')")}) AS q FROM research_result_items WHERE ord % 20 = 0),
  x AS (SELECT query_id, ord, round(len(list_intersect(q, s)) / len(q), 6) AS score FROM q, s WHERE len(q) > 0 AND len(s) > 0 AND len(list_intersect(q, s)) > 0)
  SELECT query_id, ord, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS rank FROM x) WHERE rank <= 5""",
     "contains_all": """WITH t AS (SELECT * FROM (VALUES ('appeal', ['上訴', '理由']), ('court', ['tribunal', 'decisão']), ('evidence', ['recurso', 'sentença', 'autos'])) v(term_list, terms)),
