@@ -66,17 +66,11 @@ WITH f AS (SELECT row, tok, count(*) AS n FROM words GROUP BY ALL),
      r AS (SELECT f.row, f.tok, f.n, p.p, p.lang, row_number() OVER (PARTITION BY f.row ORDER BY f.n DESC, f.tok) AS r,
                   sum(f.n) OVER (PARTITION BY f.row) AS total
            FROM f LEFT JOIN profile p ON p.tok = f.tok),
-     c AS (SELECT row, max(total)::BIGINT AS tokens, count(*)::BIGINT AS words, coalesce(max_by(lang, w), '') AS lang,
-       coalesce(any_value(slope), 0)::DOUBLE AS slope, coalesce(any_value(residual), 0)::DOUBLE AS residual,
-       any_value(ce)::DOUBLE AS cross_entropy, any_value(kl)::DOUBLE AS divergence
-FROM (SELECT *, sum(CASE WHEN lang IS NOT NULL THEN n END) OVER (PARTITION BY row, lang) AS w,
-             regr_slope(ln(n), ln(r)) OVER page AS slope,
-             sqrt(greatest(0, regr_syy(ln(n), ln(r)) OVER page * (1 - regr_r2(ln(n), ln(r)) OVER page)) / count(*) OVER page) AS residual,
-             -sum(n / total * ln(coalesce(p, {FLOOR}))) OVER page AS ce,
-             sum(n / total * ln(n / total / coalesce(p, {FLOOR}))) OVER page AS kl
-      FROM r WINDOW page AS (PARTITION BY row))
-GROUP BY row)
-SELECT s.doc, s.digest, c.tokens, c.words, c.lang, s.lang AS label, c.slope, c.residual, c.cross_entropy, c.divergence FROM c JOIN src s USING (row)
+     c AS (SELECT row, max(total)::BIGINT AS tokens, count(*)::BIGINT AS words, coalesce(regr_slope(ln(n), ln(r)), 0)::DOUBLE AS slope,
+       coalesce(sqrt(greatest(0, regr_syy(ln(n), ln(r)) * (1 - regr_r2(ln(n), ln(r)))) / count(*)), 0)::DOUBLE AS residual,
+       -sum(n / total * ln(coalesce(p, {FLOOR})))::DOUBLE AS cross_entropy, sum(n / total * ln(n / total / coalesce(p, {FLOOR})))::DOUBLE AS divergence FROM r GROUP BY row),
+     l AS (SELECT row, max_by(lang, w) AS lang FROM (SELECT row, lang, sum(n) AS w FROM r WHERE lang IS NOT NULL GROUP BY row, lang) GROUP BY row)
+SELECT s.doc, s.digest, c.tokens, c.words, coalesce(l.lang, '') AS lang, s.lang AS label, c.slope, c.residual, c.cross_entropy, c.divergence FROM c JOIN src s USING (row) LEFT JOIN l USING (row)
 """
 
 
