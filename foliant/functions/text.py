@@ -194,6 +194,25 @@ def mixed_tokens(c: Column, hints: tuple[str, ...] = lexicon.HINTS) -> Column:
     return let(F.trim(F.lower(nfkc(c))), of)
 
 
+def tokenizer(mode: str = "deterministic", segment: Callable[[Column], Column] | None = None) -> Callable[[Column], Column]:
+    """Tokens by mode: ``deterministic``; ``auto`` adds the Han words of a dictionary segmenter if there is one; ``dictionary`` needs one.
+
+    ``segment`` takes a text column and gives an array of words, for example an Arrow function over a segmenting library.
+    """
+    if mode not in ("deterministic", "auto", "dictionary"):
+        raise ValueError(f"no tokenizer mode {mode}")
+    if mode == "dictionary" and segment is None:
+        raise ValueError("the dictionary mode needs a segmenter")
+    if mode == "deterministic" or segment is None:
+        return mixed_tokens
+
+    def both(c: Column) -> Column:
+        words = F.filter(F.transform(segment(F.lower(nfkc(c))), squeeze_ends), lambda w: w.rlike(f"[{HAN}]"))
+        return F.concat(mixed_tokens(c), words)
+
+    return both
+
+
 def light_tokens(c: Column) -> Column:
     """Latin and figure runs, and Han pairs (single signs kept)."""
 

@@ -72,3 +72,26 @@ def envelope(cards: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
         F.struct(F.coalesce("model_used", F.lit(0)).alias("model_generated_used"), F.coalesce("fallback_used", F.lit(0)).alias("fallback_used"), (n > 0).alias("success")).alias("diagnostics"),
         "results",
     )
+
+
+def shown(rows: DataFrame, source: str = "ALL", language: str = "ALL") -> DataFrame:
+    """Cards of a metadata source and a language; ALL passes every card, a missing value is met by '-'."""
+    as_shown = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-"))
+    return rows.where((F.lit(source) == "ALL") | (as_shown("metadata_source") == source)).where((F.lit(language) == "ALL") | (as_shown("language") == language))
+
+
+def order_of(column: str, descending: bool = False) -> list[Column]:
+    """Order of cards by a column: dates (dd/MM/yyyy) as days with unread ones lowest, case numbers by year and number, other texts as they are."""
+    c = F.col(column)
+    if column.endswith("date"):
+        keys = [F.try_to_date(c, "dd/MM/yyyy")]
+    elif column.endswith("case_number"):
+        keys = [F.regexp_extract(c, "/([0-9]{4})", 1).try_cast("int"), F.regexp_extract(c, "([0-9]+)/", 1).try_cast("int"), c]
+    else:
+        keys = [F.lower(c)]
+    return [k.desc_nulls_last() if descending else k.asc_nulls_first() for k in keys]
+
+
+def short_preview(c: Column, n: int = 100) -> Column:
+    """First characters of a text, '' for none."""
+    return F.substring(F.coalesce(c, F.lit("")), 1, n)

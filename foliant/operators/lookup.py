@@ -32,6 +32,11 @@ def complete(fields: list[str], lists: list[str], prefix: str = "") -> Column:
     return reduce(lambda a, b: a & b, parts)
 
 
+def missing(fields: list[str], lists: list[str], prefix: str = "") -> Column:
+    """True where any text is blank or any list empty."""
+    return ~complete(fields, lists, prefix)
+
+
 def row_priority(df: DataFrame, sources: list[tuple[str, Column, Column]]) -> Column:
     """Row-level choice: complete sources in order, then any present source in order, else 'fallback'.
 

@@ -98,6 +98,16 @@ def card_metrics(cards: DataFrame) -> DataFrame:
     return out
 
 
+def true_cards(metrics: DataFrame) -> DataFrame:
+    """Whether case, date and document each reach their share: the counters of ``card_metrics`` with ``are_cards``."""
+    return metrics.withColumn("are_cards", F.col("case_ok") & F.col("date_ok") & F.col("document_ok"))
+
+
+def partial_success(useful: Column, finished: Column) -> Column:
+    """State of a crawl: done, partial where it stopped after useful work, failed otherwise."""
+    return F.when(finished, "success").when(useful, "partial_success").otherwise("failed")
+
+
 def success(attempted: Column, failed: Column, least: int = 1, worst: float = 0.5) -> Column:
     """Enough successes and not too many failures; nothing attempted counts as all failed."""
     ratio = F.when(attempted > 0, failed / attempted).otherwise(1.0)

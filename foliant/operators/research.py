@@ -20,7 +20,7 @@ LISTS = ["legal_basis", "disputed_issues"]
 
 # Sentences of a report.
 SCOPE = (
-    'Local deterministic legal retrieval pass over prepared Macau court chunks; query="{0}", hits={1}, citations={2}. '
+    'Local deterministic legal retrieval pass over prepared {3} chunks; query="{0}", hits={1}, citations={2}. '
     "Findings are assembled from bound citation previews only."
 )
 NO_FINDING = "No preliminary finding could be grounded because no citation record was produced for the current query."
@@ -152,8 +152,8 @@ def findings(citations: DataFrame) -> DataFrame:
     return rows.select("query_id", F.concat(first, fill).alias("findings"))
 
 
-def report(requests: DataFrame, citations: DataFrame, hits: DataFrame, cases: int = 5) -> DataFrame:
-    """Scope, findings, first cases and sources of every request; a request without hits has one placeholder finding."""
+def report(requests: DataFrame, citations: DataFrame, hits: DataFrame, cases: int = 5, corpus: str = "court") -> DataFrame:
+    """Scope (which names the corpus), findings, first cases and sources of every request; a request without hits has one placeholder finding."""
     counts = hits.groupBy("query_id").agg(F.count("*").alias("hits"))
     cited = citations.groupBy("query_id").agg(F.count("*").alias("citations"))
     sources = citations.groupBy("query_id", "chunk_id").agg(F.min("source_rank").alias("r")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("r", "chunk_id"))).alias("s"))
@@ -161,7 +161,7 @@ def report(requests: DataFrame, citations: DataFrame, hits: DataFrame, cases: in
     top = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("r", "n"))).alias("t"))
     x = requests.join(counts, "query_id", "left").join(cited, "query_id", "left").join(findings(citations), "query_id", "left").join(sources, "query_id", "left").join(top, "query_id", "left")
     none = F.array(F.struct(F.lit(NO_FINDING).alias("finding_text"), F.array().cast("array<string>").alias("citation_labels")))
-    scope = F.lit(SCOPE.split("{0}")[0])
+    scope = F.lit(SCOPE.split("{0}")[0].replace("{3}", corpus))
     head, mid = SCOPE.split("{0}")[1].split("{1}")
     between, tail = mid.split("{2}")
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")

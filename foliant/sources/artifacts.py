@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIGEST_FIELDS = ("case_summary", "holding", "legal_basis", "disputed_issues")
-_DIGEST = "case_summary string, holding string, legal_basis array<string>, disputed_issues array<string>"
+CORE_FIELDS = ("authoritative_case_number", "authoritative_decision_date", "court", "language", "case_type")
 # Priority of an artifact by its file name, the first that holds wins.
 NAME_PRIORITIES = (("holds", "expanded_current_default_model_generation_batch_output", 3), ("begins", "model_output__", 2), ("holds", "model_generated_metadata_output", 1))
 REPORT_ENDS = ("_report.txt", "_generation_report.txt")
@@ -35,6 +35,13 @@ def compatible(payload: Column) -> Column:
     return F.arrays_overlap(held, F.array(*[F.lit(f) for f in DIGEST_FIELDS]))
 
 
+def comparable(payload: Column) -> Column:
+    """Whether a record (variant) has every core key and every digest key, so that runs can be compared on it."""
+    keys = lambda path: F.coalesce(F.json_object_keys(F.to_json(F.try_variant_get(payload, path, "variant"))), F.array().cast("array<string>"))
+    has = lambda path, names: F.size(F.array_except(F.array(*[F.lit(n) for n in names]), keys(path))) == 0
+    return has("$.core_case_metadata", CORE_FIELDS) & has("$.generated_digest_metadata", DIGEST_FIELDS)
+
+
 def name_priority(path: Column) -> Column:
     """3 to 0 by the file name."""
     name = F.element_at(F.split(path, "/"), -1)

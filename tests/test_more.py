@@ -54,3 +54,51 @@ def test_model_calls(spark):
     df = spark.createDataFrame([(1, "ok"), (2, "falha"), (3, None)], "id int, p string")
     got = {r.id: (r.output, r.attempts, r.source) for r in generate(df, "id", "p", backend, 1, lambda p: "regra").collect()}
     assert got == {"1": ("OK", 1, "model"), "2": ("regra", 2, "fallback"), "3": (None, 0, "skipped")}
+
+
+def test_tokenizer_modes(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from foliant.functions import text
+
+    df = spark.createDataFrame([("假釋 abc",)], "t string")
+    plain = df.select(text.tokenizer()(F.col("t")).alias("x")).first().x
+    words = lambda c: F.split(F.concat(c, F.lit("|釋放|xyz")), r"\|")
+    assert df.select(text.tokenizer("auto")(F.col("t")).alias("x")).first().x == plain
+    assert df.select(text.tokenizer("dictionary", words)(F.col("t")).alias("x")).first().x == [*plain, "假釋 abc", "釋放"]
+    for mode in ("dictionary", "unknown"):
+        with pytest.raises(ValueError):
+            text.tokenizer(mode)
+
+
+def test_cards_shown_and_ordered(spark):
+    from pyspark.sql import functions as F
+
+    from foliant.operators import cards, lookup, quality, search
+
+    df = spark.createDataFrame([("9/2020", "05/03/2020", "a", "pt"), ("10/2020", "01/12/2019", None, "zh"), ("2/2021", "?", "", "zh")], "authoritative_case_number string, decision_date string, metadata_source string, language string")
+    numbers = lambda x: [r.authoritative_case_number for r in x.collect()]
+    assert numbers(df.orderBy(*cards.order_of("authoritative_case_number"))) == ["9/2020", "10/2020", "2/2021"]
+    assert numbers(df.orderBy(*cards.order_of("decision_date"))) == ["2/2021", "10/2020", "9/2020"]
+    assert numbers(df.orderBy(*cards.order_of("decision_date", descending=True))) == ["9/2020", "10/2020", "2/2021"]
+    assert cards.shown(df).count() == 3 and cards.shown(df, source="-").count() == 2 and numbers(cards.shown(df, source="-", language="zh").orderBy("decision_date")) == ["10/2020", "2/2021"]
+    x = spark.createDataFrame([("a" * 300, 0.1234565, ["b"]), (None, 2.0, [])], "t string, score double, l array<string>")
+    assert [len(r.p) for r in x.select(cards.short_preview(F.col("t")).alias("p")).collect()] == [100, 0]
+    assert search.reported(x).first().score == 0.123456 and [r.m for r in x.select(lookup.missing(["t"], ["l"]).alias("m")).collect()] == [False, True]
+    m = spark.createDataFrame([(True, True, False), (True, True, True)], "case_ok boolean, date_ok boolean, document_ok boolean")
+    assert [r.are_cards for r in quality.true_cards(m).collect()] == [False, True]
+    s = spark.createDataFrame([(True, False), (False, False), (False, True)], "u boolean, f boolean")
+    assert [r.s for r in s.select(quality.partial_success(F.col("u"), F.col("f")).alias("s")).collect()] == ["partial_success", "failed", "success"]
+
+
+def test_comparable_records(spark):
+    from pyspark.sql import functions as F
+
+    from foliant.sources import artifacts
+
+    core = ", ".join(f'"{f}": ""' for f in artifacts.CORE_FIELDS)
+    digest = ", ".join(f'"{f}": ""' for f in artifacts.DIGEST_FIELDS)
+    rows = [(f'{{"core_case_metadata": {{{core}}}, "generated_digest_metadata": {{{digest}}}}}',), (f'{{"core_case_metadata": {{{core}}}}}',), ("{}",)]
+    df = spark.createDataFrame(rows, "t string").select(F.parse_json("t").alias("v"))
+    assert [r.x for r in df.select(artifacts.comparable(F.col("v")).alias("x")).collect()] == [True, False, False]
