@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import search
+from foliant.operators import research, search
 from foliant.plans import retrieval
 
 
@@ -60,3 +60,16 @@ def test_only_queries_without_enough_exact_rows_are_ranked(spark, monkeypatch, t
     assert sorted(ranked) == [11, 12, 13]
     assert [x[0] for x in got[10]] == [1, 2, 3] and got[11][0] == (4, "exact") and len(got[11]) == 3 and got[11][1][1] == "fallback"
     assert [x[0] for x in got[12]] == [5, 1, 2] and 13 not in got
+
+
+def test_only_branches_that_are_taken_are_run(spark):
+    routed = spark.createDataFrame([(1, "1/2020", "exact_case_number_heavy_bm25", False)], "query_id bigint, normalized_query string, retrieval_mode string, decomposition_recommended boolean")
+    found = lambda asked, k: asked.select("query_id", F.lit(7).alias("id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+
+    def never(asked, k):
+        raise AssertionError("the documents are indexed for no query")
+
+    assert [(r.query_id, r.id, r.path) for r in research.by_route(routed, found, never, 3).collect()] == [(1, 7, "exact")]
+    assert research.by_route(routed.limit(0), never, found, 3).count() == 0
+    both = routed.unionByName(spark.createDataFrame([(2, "a", "conservative_direct_bm25", False)], routed.schema))
+    assert {(r.query_id, r.path) for r in research.by_route(both, found, found, 3).collect()} == {(1, "exact"), (2, "direct")}
